@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bagminhash, chat, decontaminate, quality, shards, vector_packing
+from pyspark.sql import functions as F
+
+from tessera.llm import bagminhash, chat, decontaminate, html_wrapper, nn_descent, packing, quality, shards, suffix_tree, vector_packing
 from tessera.llm.common import table
 
 
@@ -14,6 +16,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_rows(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
 
@@ -34,6 +48,10 @@ def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.best_fit_sequences(table(spark, sf_dir, "documents"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -41,7 +59,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_classifier, op4_sharding, op5_bagminhash, op6_decontamination, op8_chat_formatting, op9_vector_best_fit, pipeline)
+    named = (
+        op1_quality_classifier, op2_packed_token_ids, op3_html_extraction, op4_sharding, op5_bagminhash, op6_decontamination,
+        op7_suffix_tree_scoring, op8_chat_formatting, op9_vector_best_fit, op10_nn_descent, pipeline,
+    )
     return {f.__name__: f for f in named}
 
 
