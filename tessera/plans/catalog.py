@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "episodes_v4"
+from tessera.plans import documents, observations, relational, relations  # noqa: F401  they register their queries
+from tessera.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "lab_trend"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
