@@ -7,7 +7,7 @@ intact; a shorter item uses its own length. Every window of every document gets
 that differ in at most RADIUS = 3 bits agree in one block at least, so looking up each
 block finds all item windows within the radius. Each hit proposes a place for the
 whole item, where the weighted (multiset) Jaccard similarity of five-word shingles is
-computed exactly.
+computed exactly. Words are compared with A-Z as a-z.
 
 Documents never shuffle: detection is one expression over their text. The items travel
 to the tasks in blocks of at most BLOCK_WORDS words; more items take more blocks.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import utf8
-from tessera.llm.words import U, shingles, word_blocks
+from tessera.llm.words import LOWER, U, shingles, word_blocks
 
 RADIUS = 3
 THRESHOLD = 0.8
@@ -94,7 +94,7 @@ class ItemIndex:
         self.bags: list[Counter] = []
         self.lengths: list[int] = []
         by_size: dict[int, list] = {}
-        for i, _, hashes, ends, _ in word_blocks(data, offsets):
+        for i, _, hashes, ends, _ in word_blocks(LOWER[data], offsets):
             for k in range(len(ends) - 1):
                 words = hashes[ends[k] : ends[k + 1]]
                 self.lengths.append(len(words))
@@ -135,7 +135,7 @@ class ItemIndex:
 
     def matches(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[list[tuple[int, float, int]]]:
         out: list[list[tuple[int, float, int]]] = []
-        for i, j, hashes, ends, _ in word_blocks(data, offsets):
+        for i, j, hashes, ends, _ in word_blocks(LOWER[data], offsets):
             best: list[dict[int, tuple[float, int]]] = [{} for _ in range(i, j)]
             done = set()
             # windows are formed across the block; the check looks inside one text only

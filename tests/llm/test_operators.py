@@ -214,7 +214,7 @@ def test_contaminated_documents_are_found(spark):
     edited[60] = "changed"
     far = items[2].split()
     far[10] = far[20] = far[30] = "changed"
-    texts = [*clean, *holding, " ".join(edited), " ".join(far), items[3].replace(" ", "  \n"), "", None, "z " * 30000 + items[1]]
+    texts = [*clean, *holding, " ".join(edited), " ".join(far), items[3].upper().replace(" ", "  \n"), "", None, "z " * 30000 + items[1]]
     bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, matches int")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
     want = {(20 + i, i % 7) for i in range(14)} | {(34, 6), (36, 3), (39, 1)}
