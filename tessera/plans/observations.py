@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import episodes, series
@@ -121,13 +121,16 @@ def _episodes(spark: SparkSession, sf_dir: str, windows: dict, resolved) -> Data
     return episodes.sessionize(df, SERIES, ORDER, "day", episodes.lookup(F.col("event_type"), windows), resolved)
 
 
-_V4_RESOLVED = F.col("value") < LOW
+def _v4_resolved() -> Column:
+    return F.col("value") < LOW
+
+
 _SUMMARY = "SELECT user_id, event_type, CAST(episode AS BIGINT) AS episode, min(day) AS onset, max(day) AS last_day, count(*) AS evidence, arg_max(res, (ts, event_id)) AS is_resolved FROM e GROUP BY ALL"
 
 
 @query(_episode_sql(_CASES, f"value < {LOW}") + _SUMMARY)
 def episodes_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.episode_table(_episodes(spark, sf_dir, WINDOWS, _V4_RESOLVED), SERIES, ORDER, "day", _V4_RESOLVED)
+    return episodes.episode_table(_episodes(spark, sf_dir, WINDOWS, _v4_resolved()), SERIES, ORDER, "day", _v4_resolved())
 
 
 @query(_episode_sql("WHEN 'click' THEN 3 WHEN 'error' THEN 4", "value < 2") + _SUMMARY)
@@ -138,7 +141,7 @@ def episodes_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_episode_sql(_CASES, f"value < {LOW}") + "SELECT user_id, event_type, CAST(episode AS BIGINT) AS episode, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY episode) AS INT) AS recurrence FROM (SELECT DISTINCT user_id, event_type, episode FROM e)")
 def recurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _episodes(spark, sf_dir, WINDOWS, _V4_RESOLVED).select(*SERIES, "episode").distinct()
+    df = _episodes(spark, sf_dir, WINDOWS, _v4_resolved()).select(*SERIES, "episode").distinct()
     return series.recurrence_index(df, SERIES, ["episode"])
 
 
@@ -171,4 +174,4 @@ def conflict_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"purchase": "procedure", "error": "symptom", "click": "medication", "view": "laboratory_finding"}
     df = observations(spark, sf_dir).withColumn("category", F.coalesce(episodes.lookup(F.col("event_type"), kinds), F.lit("other")))
-    return episodes.roles(df, ["user_id", "day"], "category", ORDER, _V4_RESOLVED).select("event_id", "role")
+    return episodes.roles(df, ["user_id", "day"], "category", ORDER, _v4_resolved()).select("event_id", "role")
