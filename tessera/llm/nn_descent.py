@@ -27,7 +27,7 @@ LEAF, BROUGHT = 256, 12
 #: Of the nodes a block only brings in, so many best partners are handed on.
 ECHO = 10
 ROUNDS, LEAST_CHANGE = 6, 0.02
-BEAM, EXPANDED, HOPS = 64, 24, 6
+BEAM, EXPANDED, HOPS = 64, 6, 4
 #: Vectors that fit the projection trees, and the fewest of them in a leaf.
 SAMPLE, LEAF_SAMPLE = 20_000, 24
 
