@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import evidence, identity, labs, toxicity
-from tessera.plans.observations import observations
+from tessera.plans.observations import LOW, observations
 from tessera.plans.registry import query, read
 
 _UNIT = ["mg/dl", "G/dL", "ug/L", "zz"]
@@ -119,3 +119,54 @@ def correction_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(k % 5 == 0, "remove").when(k % 3 == 0, "edit").otherwise("add")
     corrections = df.where("event_id % 4 = 0").select("event_id", action.alias("action"), F.lit("fixed").alias("organ"), F.lit(1).alias("seq"))
     return toxicity.corrected(df.where("event_id % 3 = 0"), corrections, "event_id", "organ")
+
+
+@query("""WITH t AS (SELECT o_custkey AS subject, CASE WHEN o_orderkey % 3 > 0 THEN 'linea_' || o_orderkey % 3 ELSE 'unspecified_' || replace(lower(o_orderpriority[3:]), ' ', '_') END AS line_key, lower(o_orderpriority) AS drug, CAST(o_orderdate AS DATE) AS day, o_orderkey AS k,
+    CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'suspended' END AS status FROM orders),
+  d AS (SELECT subject, line_key, drug, min((day, k)) AS f FROM t GROUP BY ALL)
+  SELECT subject, line_key, min(day) AS start_date, arg_max(status, (day, k)) AS status, count(*) AS evidence, CASE WHEN arg_max(status, (day, k)) IN ('completed', 'suspended') THEN max(day) END AS end_date,
+    (SELECT string_agg(drug, ',' ORDER BY f) FROM d WHERE d.subject = t.subject AND d.line_key = t.line_key) AS drugs FROM t GROUP BY subject, line_key""")
+def treatment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.projections import treatment_lines as lines_of
+
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "active").otherwise("suspended")
+    df = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus").select(
+        F.col("o_custkey").alias("subject"), F.when(k % 3 > 0, F.concat(F.lit("Linea "), (k % 3).cast("string"))).alias("line"), F.lower(F.substring("o_orderpriority", 3, 30)).alias("name"), F.lower("o_orderpriority").alias("drug"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", status.alias("status")
+    )
+    df = df.withColumn("line", F.coalesce("line", F.concat(F.lit("unspecified "), "name")))
+    out = lines_of(df, "subject", "line", "drug", ["day", "o_orderkey"], "status")
+    return out.withColumn("drugs", F.array_join("drugs", ","))
+
+
+@query("""WITH o AS (SELECT *, CAST(ts AS DATE) AS day, event_type AS entity, CASE WHEN event_type IN ('click', 'view') THEN 'web' ELSE 'account' END AS system, user_id % 7 AS document, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS category FROM events),
+  c AS (SELECT * FROM o WHERE value < 5), e AS (SELECT * FROM o WHERE value > 100),
+  p AS (SELECT c.event_id AS item_id, e.event_id, e.day, c.entity = e.entity AS same, CASE WHEN c.entity = e.entity THEN 7 ELSE 0 END + CASE WHEN c.category = e.category THEN 2 ELSE 0 END + CASE WHEN c.system = e.system THEN 3 ELSE 0 END + CASE WHEN c.document = e.document THEN 3 ELSE 0 END
+    + CASE WHEN abs(c.day - e.day) <= 7 THEN 2 WHEN abs(c.day - e.day) <= 30 THEN 1 ELSE 0 END AS score FROM c JOIN e USING (user_id) WHERE c.entity = e.entity OR (c.system = e.system AND c.document = e.document)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, day DESC, event_id DESC) AS n FROM p WHERE same OR score >= 7) SELECT item_id, event_id, CAST(score AS INT) AS score FROM r WHERE n = 1""")
+def contextual_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.projections import attach_context
+
+    df = observations(spark, sf_dir).select(
+        "user_id", "event_id", "day", "value", F.col("event_type").alias("entity"), F.when(F.col("event_type").isin("click", "view"), "web").otherwise("account").alias("system"), (F.col("user_id") % 7).alias("document"), F.when(F.col("value") > 50, "high").otherwise("low").alias("category")
+    )
+    return attach_context(df.where("value < 5").withColumnRenamed("event_id", "item_id"), df.where("value > 100"), "user_id")
+
+
+@query("""SELECT user_id, string_agg(CAST(CAST(ts AS DATE) AS VARCHAR) || ' | ' || event_type, chr(10) ORDER BY CAST(ts AS DATE), event_id) AS listing FROM events GROUP BY user_id""")
+def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.projections import listing
+
+    return listing(observations(spark, sf_dir), "user_id", ["day", "event_id"], [F.col("day").cast("string"), F.col("event_type")])
+
+
+@query()
+def event_bundle_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.graph import _checkpoint_dir
+    from tessera.operators.projections import merge_bundles
+
+    df = observations(spark, sf_dir)
+    _checkpoint_dir(df)
+    text = F.concat_ws(" ", F.lit("summary of"), "event_type", F.lit("value"), F.round("value", 0).cast("long").cast("string"), F.lit("for subject"), F.col("user_id").cast("string"))
+    rows = df.select("user_id", "event_id", text.alias("text"), "day", "event_type", F.when(F.col("value") < LOW, "absent").otherwise("present").alias("polarity"), (F.lit(0.5) + F.col("event_id") % 4 / 10).alias("confidence"))
+    return merge_bundles(rows, "user_id", "event_id", "text", "day", "event_type", "polarity", "confidence")
