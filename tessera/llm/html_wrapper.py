@@ -55,7 +55,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
         if key in ("class", "id"):
             words = value.split()
             names += [re.sub(r"\d+", "0", w) for w in words]
-            parts = set(words) | {p for w in words for p in re.split(r"[-_]+", w)}
+            parts = set(words) | {p for w in words if not re.match(r"(with|without|has|no)[-_]", w) for p in re.split(r"[-_]+", w)}
             main |= not MAIN_NAMES.isdisjoint(words)
             out |= tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(parts) and MAIN_NAMES.isdisjoint(words)
         elif key == "role":
@@ -122,6 +122,7 @@ class Page:
                         break
             label, out, main = _label(tag, m[3])
             _, path, above, children, link = stack[-1]
+            out |= tag == "header" and "*" not in path  # an article's own header holds its title
             here = f"{path}/{'*' if main else ''}{label}"
             inner: list = []
             if not (out or above):
