@@ -193,6 +193,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The scores come from one expression over the text, so rows are kept by their own
     text and not by their id.
     """
-    stats = docs.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit_discriminant(stats.select("doc_id", statistics_udf("text").alias("stats")), labels.where(~held_out()))
+    stats = write_scratch(docs.where(~held_out()).select("doc_id", statistics_udf("text").alias("stats")), "statistics")
+    model = fit_discriminant(stats, labels.where(~held_out()))
     return docs.where(score_column(model, statistics_udf(docs["text"])) >= 0.5)
