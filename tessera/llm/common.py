@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,41 @@ def text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
 
 
+#: Bits of a key filter: some for each key, and at most so many (16 MB); with fewer than LEAST_BITS a key it would let most rows pass.
+BITS_A_KEY, MOST_BITS, LEAST_BITS = 8, 1 << 27, 2
+
+
+def key_filter(keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> Callable[[DataFrame, Column], tuple[DataFrame, DataFrame]]:
+    """A function that parts rows: those whose key may be among ``keys``, and those whose key is surely not.
+
+    A hashed bit map of at most ``most_bits`` bits is made in Spark and broadcast, so rows
+    that no join can match need not be shuffled. It errs only by letting rows pass. For
+    more keys than it can tell apart it is not made, and all rows may be among them. A
+    null key is a key like others.
+    """
+    n = keys.count()
+    if n * LEAST_BITS > most_bits:
+        return lambda rows, value: (rows, rows.limit(0))
+    size = max(1 << 15, min(most_bits, 1 << (BITS_A_KEY * max(n, 1) - 1).bit_length()))
+    place = lambda value: F.xxhash64(F.lit(29), value).bitwiseAND(F.lit(size - 1))
+    at = keys.select(place(F.col(key)).alias("_at"))
+    made = at.groupBy(F.shiftright("_at", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND(F.lit(32767))).alias("_bits"))
+    made = write_scratch(made, "filter")
+
+    def part(rows: DataFrame, value: Column) -> tuple[DataFrame, DataFrame]:
+        names = rows.columns
+        tag = "_" * (1 + max((len(c) for c in names), default=0))  # clashes with no column
+        bits = F.broadcast(made.select(F.col("_part").alias(f"{tag}part"), F.col("_bits").alias(f"{tag}bits")))
+        placed = rows.withColumn(f"{tag}at", place(value))
+        joined = placed.join(bits, F.shiftright(f"{tag}at", 15) == F.col(f"{tag}part"), "left")
+        inner = F.col(f"{tag}at").bitwiseAND(F.lit(32767))
+        byte = F.conv(F.hex(F.substring(f"{tag}bits", (F.shiftright(inner, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.coalesce((byte / F.pow(F.lit(2), inner % 8)).cast("int") % 2 == 1, F.lit(False))
+        return joined.where(bit).select(names), joined.where(~bit).select(names)
+
+    return part
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n+1 offsets; nulls count as empty."""
     if array.null_count:
