@@ -2,14 +2,16 @@
 
 A text is lower-cased (A-Z), its words are joined by one space and closed by an end
 symbol. Contexts are the up to DEPTH bytes before a byte. Spark counts all n-grams of
-all training texts; a context is retained if its share of the corpus is at least
-MIN_SHARE and if its next-byte distribution diverges from its suffix's by DIVERGENCE
-nats or more for each distinct next byte, and the tree holds at most MAX_CONTEXTS. Distributions are smoothed by absolute discounting toward the
-suffix. The retained tree becomes an automaton whose state is the longest retained
-suffix; scoring walks many stretches of text side by side.
-
-The unigram base is exact: a bounded head of frequent words is looked up where the
-tasks run, all other words are joined with their counts.
+all training texts; a context is retained if it occurs LEAST_COUNT times or more and if
+its next-byte distribution diverges from its suffix's by DIVERGENCE nats or more for
+each distinct next byte. Nothing else bounds the contexts: the tree is a table that
+grows with the corpus. Distributions are smoothed by absolute discounting toward the
+suffix.
+
+A text's score is a sum over its grams (DEPTH bytes and the next one). A bounded head of
+frequent grams, with their chances, is looked up where the tasks run; the chances of all
+others are found by joining their contexts with the tree. The unigram base is made
+likewise, and is exact: frequent words by a head table, all other words by a join.
 """
 
 from __future__ import annotations
@@ -23,17 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import list_array, utf8, write_scratch
+from tessera.llm.common import key_filter, list_array, utf8, write_scratch
 from tessera.llm.words import LOWER, SPACE, U, word_blocks
 
 DEPTH = 6
-MIN_SHARE = 3e-6
+#: Fewest occurrences of a retained context, whatever the size of the corpus.
+LEAST_COUNT = 50
 DIVERGENCE = 1.0
-#: The model's size: of more contexts that pass, those with the greatest divergence are retained.
-MAX_CONTEXTS = 100_000
 DISCOUNT = 0.75
 #: Most words in the head table, and its slots (a word that finds its slot taken counts as tail).
 HEAD_WORDS, HEAD_SLOTS = 1 << 18, 1 << 20
+#: The same for grams.
+HEAD_GRAMS, GRAM_SLOTS = 1 << 21, 1 << 22
 END = 0x0A
 #: Key of the end token among the words; the kinds of counted rows.
 END_WORD, WORD, GRAM = 0, 0, 1
@@ -148,7 +151,10 @@ def count_texts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class SuffixTree:
-    """An automaton: symbol of each byte, next state and log10 probability by state and symbol."""
+    """The plain form of a tree that the driver can hold; tests hold the table's scores against it.
+
+    An automaton: symbol of each byte, next state and log10 probability by state and symbol.
+    """
 
     symbol: np.ndarray
     step: np.ndarray
@@ -185,44 +191,65 @@ class SuffixTree:
         return out
 
 
-def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, discount: float = DISCOUNT, most: int = MAX_CONTEXTS) -> SuffixTree:
-    """Select contexts in Spark, fetch the retained ones (at most ``most``) and link them."""
+def select_contexts(counts: DataFrame, depth: int = DEPTH, least: float = LEAST_COUNT, divergence: float = DIVERGENCE, min_share: float | None = None) -> tuple[DataFrame, np.ndarray]:
+    """The tree as a table (k, context, state, whole, kinds, follow: next byte to count), and the root's counts raised by a half.
+
+    ``state`` is one key of the context and its length. A ``min_share`` of the corpus takes
+    the place of ``least`` occurrences.
+    """
     level = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
     levels = {depth: level}
     for k in range(depth - 1, -1, -1):
         level = write_scratch(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
         levels[k] = level
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
     root = np.full(256, 0.5)
     for gram, n in levels[0].collect():
         root[gram] += n
-    if not total:
-        return SuffixTree(np.zeros(256, np.uint8), np.zeros((1, 1), np.int32), np.full((1, 1), -np.log10(256)))
-    rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    total = int(root.sum() - 128)
+    least = least if min_share is None else min_share * total
     parents = levels[0].select(F.lit(0).cast("long").alias("context"), F.col("gram").alias("next"), "n").withColumn("whole", F.lit(total))
-    tested = []
+    passed = []
     for k in range(1, depth + 1):
         split = levels[k].select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n")
-        whole = split.groupBy("context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds")).where(F.col("whole") >= min_share * total)
+        whole = split.groupBy("context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds")).where(F.col("whole") >= least)
         here = split.join(whole, "context").withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)))
         above = parents.select(F.col("context").alias("suffix"), "next", F.col("n").alias("n_above"), F.col("whole").alias("whole_above"))
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") * F.col("whole_above") / F.col("n_above")))
         both = write_scratch(here.join(above, ["suffix", "next"]), "contexts")
-        judged = both.groupBy("context").agg(gain.alias("gain"), F.first("kinds").alias("kinds")).where(F.col("gain") >= divergence * F.col("kinds"))
-        tested.append((k, both, judged.select(F.lit(k).alias("k"), "context", "gain")))
+        follow = F.map_from_entries(F.collect_list(F.struct("next", "n")))
+        judged = both.groupBy("context", "whole", "kinds").agg(gain.alias("gain"), follow.alias("follow")).where(F.col("gain") >= divergence * F.col("kinds"))
+        passed.append(judged.select(F.lit(k).alias("k"), "context", F.col("context").bitwiseOR(F.lit(k << 48)).alias("state"), "whole", "kinds", "follow"))
         parents = both.select("context", "next", "n", "whole")
-    passed = write_scratch(reduce(DataFrame.unionByName, [j for _, _, j in tested]), "passed")
-    if passed.count() > most:
-        least = passed.select(F.percentile_approx("gain", 1 - most / passed.count(), 10_000)).first()[0]
-        passed = passed.where(F.col("gain") > least)
-    for k, both, _ in tested:
-        table = both.join(passed.where(F.col("k") == k).select("context"), "context", "left_semi").select("context", "next", "n").toArrow()
-        context, follow, n = (table.column(c).to_numpy() for c in ("context", "next", "n"))
-        order = np.argsort(context, kind="stable")
-        context, follow, n = context[order], follow[order], n[order]
-        cuts = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-        for lo, hi in zip(cuts, np.append(cuts, len(context))[1:], strict=True):
-            rows[k, int(context[lo])] = (follow[lo:hi], n[lo:hi])
+    return write_scratch(reduce(DataFrame.unionByName, passed), "tree"), root
+
+
+def gram_chances(grams: DataFrame, tree: DataFrame, root: np.ndarray, discount: float = DISCOUNT) -> DataFrame:
+    """``grams`` (distinct gram, other columns) with log10, the probability of the last byte after the others.
+
+    Each gram meets those of its contexts that are retained, by joins; from the shortest
+    to the longest, a context keeps a share of its suffix's chance and adds its own.
+    """
+    follows = F.col("gram").bitwiseAND(F.lit(255)).cast("int")
+    least = F.get(F.array(*[F.lit(float(x)) for x in root / root.sum()]), follows)
+    start = grams.select("*", F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("keep"), least.alias("add")).alias("part"))
+    placed = grams.select("*", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("k"))
+    placed = placed.withColumn("state", F.expr("shiftright(gram, 8) & (shiftleft(1L, 8 * k) - 1L) | shiftleft(CAST(k AS BIGINT), 48)"))
+    placed, _ = key_filter(tree, "state")(placed, F.col("state"))
+    n = F.coalesce(F.try_element_at("follow", F.col("gram").bitwiseAND(F.lit(255))), F.lit(0))
+    part = F.struct("k", (discount * F.col("kinds") / F.col("whole")).alias("keep"), (F.greatest(n - discount, F.lit(0.0)) / F.col("whole")).alias("add"))
+    met = placed.join(tree.drop("k", "context"), "state").select(*grams.columns, part.alias("part"))
+    parts = start.unionByName(met).groupBy(*grams.columns).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return parts.select(*grams.columns, F.log10(F.aggregate("parts", F.lit(0.0), lambda p, x: p * x["keep"] + x["add"])).alias("log10"))
+
+
+def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float | None = None, divergence: float = DIVERGENCE, discount: float = DISCOUNT, least: float = LEAST_COUNT) -> SuffixTree:
+    """All retained contexts in the driver, linked; for small corpora."""
+    tree, root = select_contexts(counts, depth, least, divergence, min_share)
+    if root.sum() == 128:
+        return SuffixTree(np.zeros(256, np.uint8), np.zeros((1, 1), np.int32), np.full((1, 1), -np.log10(256)))
+    rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for k, context, follow in tree.select("k", "context", "follow").collect():
+        rows[k, context] = np.array(list(follow.keys())), np.array(list(follow.values()))
     # every suffix and every prefix of a retained context is a state as well
     states, waiting = {(0, 0)}, list(rows)
     while waiting:
@@ -267,12 +294,26 @@ _SCORED = T.StructType(
         T.StructField("score", T.DoubleType()),
         T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("times", T.ArrayType(T.LongType())),
+        T.StructField("grams", T.ArrayType(T.LongType())),
+        T.StructField("gram_times", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def _scorer(tree, head, end_base: float):
-    """Columns of a text; ``words`` and ``times`` are its words outside the head."""
+def _gram_slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - GRAM_SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each owner, their times, and how many each of ``n`` owners has."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first].view(np.int64), np.diff(np.append(first, len(keys))), np.bincount(owner[first], minlength=n)
+
+
+def _scorer(head_grams, head, end_base: float):
+    """Columns of a text; ``words`` and ``grams`` with their times are those outside the heads."""
 
     @F.arrow_udf(_SCORED)
     def score(text: pa.Array) -> pa.Array:
@@ -280,7 +321,7 @@ def _scorer(tree, head, end_base: float):
         data = LOWER[data]
         slots, logs = head.value
         n = len(text)
-        tokens, known, base = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, end_base)
+        tokens, known, base, sums = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, end_base), np.zeros(n)
         words, times, many = [], [], np.zeros(n, np.int64)
         for i, j, hashes, ends, _ in word_blocks(data, offsets):
             counts = np.diff(ends)
@@ -290,20 +331,40 @@ def _scorer(tree, head, end_base: float):
             tokens[i:j] += counts
             known[i:j] += np.bincount(owner[found], minlength=j - i)
             base[i:j] += np.bincount(owner[found], logs[slot[found]], j - i)
-            rest, of = hashes[~found], owner[~found]
-            order = np.lexsort((rest, of))
-            rest, of = rest[order], of[order]
-            first = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (of[1:] != of[:-1]))) if len(rest) else np.zeros(0, np.int64)
-            words.append(rest[first].view(np.int64))
-            times.append(np.diff(np.append(first, len(rest))))
-            many[i:j] = np.bincount(of[first], minlength=j - i)
-        flat = lambda parts: list_array(np.concatenate(parts) if parts else np.zeros(0, np.int64), many)
-        out = [pa.array(tokens), pa.array(known), pa.array(base), pa.array(tree.value.score(data, offsets)), flat(words), flat(times)]
+            rest, often, many[i:j] = _distinct(hashes[~found], owner[~found], j - i)
+            words.append(rest)
+            times.append(often)
+        slots, logs = head_grams.value
+        grams, gram_times, many_grams = [], [], np.zeros(n, np.int64)
+        for i, j in text_blocks(offsets, 1 << 20):
+            stream, ends = streams(data, offsets[i : j + 1])
+            keys = _grams(stream, ends)
+            owner = np.repeat(np.arange(j - i), np.diff(ends) - DEPTH)
+            slot = _gram_slot(keys)
+            found = slots[slot] == keys
+            sums[i:j] = np.bincount(owner[found], logs[slot[found]], j - i)
+            rest, often, many_grams[i:j] = _distinct(keys[~found], owner[~found], j - i)
+            grams.append(rest)
+            gram_times.append(often)
+        flat = lambda parts, many: list_array(np.concatenate(parts) if parts else np.zeros(0, np.int64), many)
+        out = [pa.array(tokens), pa.array(known), pa.array(base), pa.array(sums), flat(words, many), flat(times, many), flat(grams, many_grams), flat(gram_times, many_grams)]
         return pa.StructArray.from_arrays(out, _SCORED.names)
 
     return score
 
 
+def _frequent(rows: DataFrame, room: int) -> DataFrame:
+    """The most frequent rows (n), by whole steps of a logarithmic scale, as many as there is room for."""
+    step = F.floor(8 * F.log2("n"))
+    least = None
+    for at, n in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = at
+    return rows.where(step >= least) if least is not None else rows.limit(0)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 1 when divided by 5; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
@@ -325,27 +386,31 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     size, ends = size or 0, ends or 0
     whole = size + 0.5 * (kinds + 1)
     log = lambda c: float(np.log10((c + 0.5) / whole))
-    # the most frequent words, by whole steps of a logarithmic scale, as many as the head can hold
-    steps = sorted(words.groupBy(F.floor(8 * F.log2("n")).alias("step")).count().collect(), reverse=True)
-    least, room = None, HEAD_WORDS
-    for step, n in steps:
-        room -= n
-        if room < 0:
-            break
-        least = step
     slots, logs = np.zeros(HEAD_SLOTS, U), np.zeros(HEAD_SLOTS)
-    if least is not None:
-        table = words.where((F.floor(8 * F.log2("n")) >= least) & (F.col("word") != END_WORD)).toArrow()
-        word, n = table.column("word").to_numpy().view(U), table.column("n").to_numpy()
-        slot = (word & U(HEAD_SLOTS - 1)).astype(np.int64)
-        slots[slot], logs[slot] = word, np.log10((n + 0.5) / whole)
-    head, tree = spark.sparkContext.broadcast((slots, logs)), spark.sparkContext.broadcast(build_tree(counts))
-    scored = source.select("doc_id", held_out().alias("held_out"), _scorer(tree, head, log(ends))("text").alias("s"))
+    table = _frequent(words, HEAD_WORDS).where(F.col("word") != END_WORD).toArrow()
+    word, n = table.column("word").to_numpy().view(U), table.column("n").to_numpy()
+    slot = (word & U(HEAD_SLOTS - 1)).astype(np.int64)
+    slots[slot], logs[slot] = word, np.log10((n + 0.5) / whole)
+    head = spark.sparkContext.broadcast((slots, logs))
+    tree, root = select_contexts(counts, least=LEAST_COUNT)
+    grams = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
+    # no gram has more than DEPTH + 1 bytes, so none is found in an empty slot; of two in one slot the more frequent stays
+    slots, logs = np.full(GRAM_SLOTS, ~U(0)), np.zeros(GRAM_SLOTS)
+    table = gram_chances(_frequent(grams, HEAD_GRAMS), tree, root).toArrow()
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")
+    gram, log10 = table.column("gram").to_numpy().view(U)[order], table.column("log10").to_numpy()[order]
+    slot = _gram_slot(gram)
+    slots[slot], logs[slot] = gram, log10
+    head_grams = spark.sparkContext.broadcast((slots, logs))
+    scored = source.select("doc_id", held_out().alias("held_out"), _scorer(head_grams, head, log(ends))("text").alias("s"))
     scored = write_scratch(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"), "scored")
     tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     valued = tail.join(words, "word", "left").select("row", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))).alias("base"))
-    added = valued.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"))
-    full = scored.drop("words", "times").join(added, "row", "left")
+    rare = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))
+    chances = gram_chances(rare.select("gram").distinct(), tree, root)
+    summed = rare.join(chances, "gram").select("row", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("log10")).alias("score"))
+    added = valued.withColumn("score", F.lit(0.0)).unionByName(summed).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
+    full = scored.drop("words", "times", "grams", "gram_times").join(added, "row", "left")
     end_known = F.lit(1 if ends else 0)
     return full.select(
         "doc_id",
@@ -354,5 +419,5 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + end_known).cast("long").alias("n_known"),
         F.lit(size).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
