@@ -7,7 +7,9 @@ intact; a shorter item uses its own length. Every window of every document gets
 that differ in at most RADIUS = 3 bits agree in one block at least, so looking up each
 block finds all item windows within the radius. Each hit proposes a place for the
 whole item, where the weighted (multiset) Jaccard similarity of five-word shingles is
-computed exactly. Words are compared with A-Z as a-z.
+computed exactly; two hits whose places differ, as words were inserted or left out
+between them, also propose the span from the one's start to the other's end, if it has
+SHORTEST to LONGEST times the item's words. Words are compared with A-Z as a-z.
 
 Documents never shuffle: detection is one expression over their text. The items travel
 to the tasks in blocks of at most BLOCK_WORDS words; more items take more blocks.
@@ -15,6 +17,7 @@ to the tasks in blocks of at most BLOCK_WORDS words; more items take more blocks
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +34,7 @@ from tessera.llm.words import LOWER, U, shingles, word_blocks
 RADIUS = 3
 THRESHOLD = 0.8
 SHINGLE = 5
+SHORTEST, LONGEST = 0.8, 1.25
 GRID = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Most words of benchmark items in one block (about 100 bytes a word in a task).
 BLOCK_WORDS = 200_000
@@ -138,18 +142,31 @@ class ItemIndex:
         for i, j, hashes, ends, _ in word_blocks(LOWER[data], offsets):
             best: list[dict[int, tuple[float, int]]] = [{} for _ in range(i, j)]
             done = set()
+            places: dict[tuple[int, int], list[int]] = {}
+
+            def verify(text: int, item: int, start: int, end: int) -> None:
+                lo, hi = max(start, int(ends[text])), min(end, int(ends[text + 1]))
+                if hi <= lo or (lo, hi, item) in done:
+                    return
+                done.add((lo, hi, item))
+                similarity = _similarity(_bag(hashes[lo:hi]), self.bags[item])
+                if similarity >= threshold - 1e-12 and (item not in best[text] or similarity > best[text][item][0]):
+                    best[text][item] = (similarity, lo - int(ends[text]))
+
             # windows are formed across the block; the check looks inside one text only
             for start, item in self.hits(hashes).tolist():
                 n = self.lengths[item]
                 middle = min(max(start + n // 2, 0), len(hashes) - 1)
                 for text in {int(np.searchsorted(ends, place, "right")) - 1 for place in (min(max(start, 0), len(hashes) - 1), middle, min(start + n - 1, len(hashes) - 1))}:
-                    lo, hi = max(start, int(ends[text])), min(start + n, int(ends[text + 1]))
-                    if hi <= lo or (lo, hi, item) in done:
-                        continue
-                    done.add((lo, hi, item))
-                    similarity = _similarity(_bag(hashes[lo:hi]), self.bags[item])
-                    if similarity >= threshold - 1e-12 and (item not in best[text] or similarity > best[text][item][0]):
-                        best[text][item] = (similarity, lo - int(ends[text]))
+                    verify(text, item, start, start + n)
+                    places.setdefault((text, item), []).append(start)
+            for (text, item), starts in places.items():  # in order, as the hits are
+                n = self.lengths[item]
+                for start in starts:
+                    if best[text].get(item, (0.0, 0))[0] == 1.0:
+                        break
+                    for other in starts[bisect_left(starts, start - (1 - SHORTEST) * n) : bisect_right(starts, start + (LONGEST - 1) * n)]:
+                        verify(text, item, start, other + n)
             out += [[(item, s, at) for item, (s, at) in sorted(x.items())] for x in best]
         return out
 
