@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by NN-descent in blocks and greedy graph search.
 
-Inner products become nearness of unit-like vectors by one more component that makes
-all norms equal. Equal vectors are one node with its least vec_ids as members. Each
+Nearness in the graph is the squared distance of the vectors in double precision; as the
+answers are ranked by inner product, every search also starts at the STARTS vectors of
+largest norm. Equal vectors are one node with its least vec_ids as members. Each
 round deals the nodes to blocks by a random-projection tree of its own (split points
 from a bounded sample; over-full leaves are divided by a hash), brings every block's
 nodes and their present neighbours together, and compares them, so neighbours of
@@ -28,6 +29,8 @@ LEAF, BROUGHT = 256, 12
 ECHO = 10
 ROUNDS, LEAST_CHANGE = 6, 0.02
 BEAM, EXPANDED, HOPS = 64, 6, 4
+#: Nodes of largest norm that every query compares itself with.
+STARTS = 64
 #: Vectors that fit the projection trees, and the fewest of them in a leaf.
 SAMPLE, LEAF_SAMPLE = 20_000, 24
 
@@ -63,7 +66,7 @@ class ProjectionTree:
                 self.cuts[node] = np.median(own @ self.normals[node]) if len(own) else 0.0
             at = self._down(sample, at)
         self.extra = rng.normal(size=(d, max(0, want - self.depth)))
-        self.middle = sample.mean(axis=0) if len(sample) else np.zeros(d)
+        self.middle = np.median(sample, axis=0) if len(sample) else np.zeros(d)
 
     def _down(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 2 * at + (np.einsum("ij,ij->i", x, self.normals[at]) > self.cuts[at])
@@ -96,10 +99,12 @@ _EDGES = T.StructType([T.StructField("node", T.LongType()), T.StructField("other
 def _compare(block: pa.Table) -> pa.Table:
     """Best partners inside one block: all NEIGHBOURS for nodes it owns, ECHO for those brought in."""
     node, own = block.column("node").to_numpy(), block.column("own").to_numpy(zero_copy_only=False).astype(bool)
-    x = _matrix(block.column("lifted").combine_chunks(), len(node)).astype(np.float32)
+    x = _matrix(block.column("vector").combine_chunks(), len(node))
+    square = np.einsum("ij,ij->i", x, x)
     out_node, out_other, out_near = [], [], []
     for i in range(0, len(node), 512):
-        near = x[i : i + 512] @ x.T
+        near = 2 * (x[i : i + 512] @ x.T) - square[i : i + 512, None] - square
+        near[np.isnan(near)] = -np.inf  # squares that overflow
         rows = np.arange(len(near))
         near[rows, i + rows] = -np.inf
         k = min(NEIGHBOURS, len(node) - 1)
@@ -123,15 +128,15 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def neighbour_graph(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, other, near, rank: each node's list, from ``points`` (node, lifted)."""
+    """node, other, near, rank: each node's list, from ``points`` (node, vector)."""
     n = points.count()
     share = min(1.0, 1.2 * SAMPLE / max(n, 1))
-    sample = points.select("lifted").where(F.rand(11) < share).limit(SAMPLE).toArrow().column("lifted").combine_chunks()
+    sample = points.select("vector").where(F.rand(11) < share).limit(SAMPLE).toArrow().column("vector").combine_chunks()
     sample = _matrix(sample, len(sample)) if len(sample) else np.zeros((0, 1))
     graph = None
     for turn in range(rounds):
         tree = ProjectionTree(sample, n, 100 + turn)
-        placed = points.select("node", _leaf_column(tree, "lifted").alias("leaf"))
+        placed = points.select("node", _leaf_column(tree, "vector").alias("leaf"))
         placed = write_scratch(placed, "leaves")
         sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
         blocks = placed.join(sizes, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("node", F.lit(turn)), "parts")).alias("block"))
@@ -153,7 +158,12 @@ def neighbour_graph(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def greedy_search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """query, node, score: the best ``beam`` nodes for each query node of ``starts`` (query), itself among them."""
+    """query, node, score: the best ``beam`` nodes for each query node of ``starts`` (query), itself among them.
+
+    ``vectors``: node, vector, square.
+    """
+    large = vectors.orderBy(F.desc("square"), "node").limit(STARTS).select("node")
+    vectors = vectors.select("node", "vector")
     lists = graph.select("node", "other")
     target = starts.join(vectors, starts["query"] == vectors["node"]).select("query", F.col("vector").alias("sought"))
 
@@ -162,6 +172,7 @@ def greedy_search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam:
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     first = starts.select("query", F.col("query").alias("node")).unionByName(starts.join(lists, starts["query"] == lists["node"]).select("query", F.col("other").alias("node")))
+    first = first.unionByName(starts.select("query").crossJoin(F.broadcast(large))).distinct()
     seen = write_scratch(scored(first).withColumn("expanded", F.col("node") == F.col("query")), "beam")
     for _ in range(hops):
         ranked = seen.withColumn("place", F.row_number().over(best))
@@ -192,12 +203,10 @@ def search(embeddings: DataFrame, query_filter: Column, k: int = 20) -> DataFram
     vectors = groups.join(keyed, (groups["node"] == keyed["vec_id"]) & (groups["h1"] == keyed["h1"]) & (groups["h2"] == keyed["h2"])).select("node", "vector")
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     vectors = write_scratch(vectors.withColumn("square", square(F.col("vector"))), "points")
-    most = vectors.agg(F.max("square")).first()[0] or 0.0
-    lifted = F.concat("vector", F.array(F.sqrt(F.greatest(F.lit(float(most)) - F.col("square"), F.lit(0.0)))))
-    graph = neighbour_graph(vectors.select("node", lifted.alias("lifted")))
+    graph = neighbour_graph(vectors.select("node", "vector"))
     askers = keyed.where(query_filter).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(groups.select("h1", "h2", "node"), ["h1", "h2"]).select("query_id", "node")
     askers = write_scratch(askers, "queries")
-    found = greedy_search(askers.select(F.col("node").alias("query")).distinct(), vectors.select("node", "vector"), graph)
+    found = greedy_search(askers.select(F.col("node").alias("query")).distinct(), vectors, graph)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     spread = found.join(groups.select("node", "members"), "node").select("query", "score", F.explode("members").alias("vec_id"))
     top = spread.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
