@@ -11,20 +11,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, one machine).
+#: Used only where the session names no spark.checkpoint.dir and all tasks run in this machine.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else a local default."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, the context's checkpoint folder, else a local default on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a recomputation. The files belong to
-    the folder's owner, whose retention rule removes them.
+    A lost executor then costs a re-read, not a recomputation. drop_scratch() removes
+    the files of tables that are read no more; those that a returned DataFrame still
+    reads belong to the folder's owner, whose retention rule removes them.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
@@ -32,6 +36,14 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(*tables: DataFrame) -> None:
+    """Remove the files that write_scratch() wrote for these tables; no later plan may read them."""
+    for df in tables:
+        for path in {name[: name.index("/", name.index("/tessera-") + 1)] for name in df.inputFiles() if "/tessera-" in name}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,307 +1,321 @@
-"""LM scoring with a probabilistic suffix tree over the bytes of a text's words.
-
-A text is lower-cased (A-Z), its words are joined by one space and closed by an end
-symbol. Contexts are the up to DEPTH bytes before a byte. Spark counts all n-grams of
-all training texts; a context is retained if it occurs LEAST_COUNT times or more and if
-its next-byte distribution diverges from its suffix's by DIVERGENCE nats or more for
-each distinct next byte. Nothing else bounds the contexts: the tree is a table that
-grows with the corpus. Distributions are smoothed by absolute discounting toward the
-suffix.
-
-A text's score is a sum over its grams (DEPTH bytes and the next one). A bounded head of
-frequent grams, with their chances, is looked up where the tasks run; the chances of all
-others are found by joining their contexts with the tree. The unigram base is made
-likewise, and is exact: frequent words by a head table, all other words by a join.
+"""LM scoring with a probabilistic suffix tree over words.
+
+Symbols are the words of a text (A-Z as a-z) and one end. Contexts are the up to DEPTH
+symbols before a symbol. The tree grows level by level: a run of m symbols is counted
+only if both its shorter runs occur LEAST_COUNT times or more, so each pass over the
+texts counts few runs that cannot be kept. A context is retained if its next-symbol
+distribution diverges from its suffix's by DIVERGENCE nats or more for each distinct
+next symbol that it holds LEAST_COUNT times or more (the others count as one). Nothing
+else bounds the contexts: the tree is a table that grows with the corpus.
+
+Distributions are smoothed by absolute discounting of one: a context of ``whole``
+occurrences gives a next symbol seen n times (n - 1) / whole, and what is left over to
+its suffix; the root is the unigram base. So for every run x two numbers say what it
+adds to a text's log10 probability: how much its own chance exceeds what its suffix
+leaves it, and, as a context, which share it leaves to its suffix. The score of the
+longest suffix state is then a sum over the runs in a text: the chances of a bounded
+head of frequent runs are looked up where the tasks run, and all others are looked up by
+a shuffle that deals the runs of the texts and of the tree by the same hash.
+
+Runs travel as sorted arrays of keys, one array for each bucket that a task feeds, and
+never as rows: keys have 48 bits beside their bucket (56 from WIDE_BYTES of text on).
+The unigram base is exact up to 64-bit hashes of words.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import key_filter, list_array, utf8, write_scratch
-from tessera.llm.words import LOWER, SPACE, U, word_blocks
+from tessera.llm.common import drop_scratch, list_array, utf8, write_scratch
+from tessera.llm.words import LOWER, U, mix, word_blocks
 
-DEPTH = 6
-#: Fewest occurrences of a retained context, whatever the size of the corpus.
-LEAST_COUNT = 50
-DIVERGENCE = 1.0
-DISCOUNT = 0.75
+DEPTH = 3
+#: Fewest occurrences of a retained run, whatever the size of the corpus.
+LEAST_COUNT = 2
+DIVERGENCE = 1.5
 #: Most words in the head table, and its slots (a word that finds its slot taken counts as tail).
 HEAD_WORDS, HEAD_SLOTS = 1 << 18, 1 << 20
-#: The same for grams.
-HEAD_GRAMS, GRAM_SLOTS = 1 << 21, 1 << 22
-END = 0x0A
-#: Key of the end token among the words; the kinds of counted rows.
-END_WORD, WORD, GRAM = 0, 0, 1
-#: Distinct keys a task holds before it hands them on (Spark adds them up again before the shuffle), and rows it hands on at a time.
-HELD, HANDED = 300_000, 50_000
-#: Bytes of a stretch that is scored side by side with others.
-STRETCH = 256
-
-
-def streams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of texts (lower-cased bytes): DEPTH end symbols, the words with single spaces, an end symbol; and n+1 offsets."""
-    base = offsets[0]
-    raw = data[base : offsets[-1]]
-    at = offsets - base
-    n = len(at) - 1
-    keep = ~SPACE[raw]
-    begins = np.append(True, ~keep[:-1])[: len(raw)] & keep
-    new = np.zeros(len(raw) + 1, bool)
-    new[at] = True
-    word = begins | (keep & new[: len(raw)])
-    before = np.append(0, np.cumsum(keep))
-    spaced = np.flatnonzero(word & ~new[: len(raw)])
-    owner = np.searchsorted(at, spaced, "right") - 1
-    spaced = spaced[before[spaced] > before[at[owner]]]  # not the first word of its text
-    keep[spaced - 1] = True
-    count = np.append(0, np.cumsum(keep))[at]
-    size = np.diff(count)
-    ends = np.append(0, np.cumsum(size + DEPTH + 1))
-    out = np.full(ends[-1], END, np.uint8)
-    values = raw[keep]
-    values[SPACE[values]] = 0x20
-    shift = np.repeat(ends[:-1] + DEPTH - count[:-1], size)
-    out[np.arange(len(values)) + shift] = values
-    assert len(ends) == n + 1
-    return out, ends
-
-
-def text_blocks(offsets: np.ndarray, block: int = 2 << 20):
-    """Ranges of texts of about so many bytes."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block, "right")) - 1)
-        yield i, j
-        i = j
-
-
-def _grams(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """DEPTH bytes and the next one, packed, at every symbol after the first DEPTH of each text."""
-    key = np.zeros(len(symbols) - DEPTH, U)
-    for i in range(DEPTH + 1):
-        key = (key << U(8)) | symbols[i : len(symbols) - DEPTH + i]
-    across = np.ones(len(key), bool)
-    for i in range(DEPTH):  # windows that begin before the next text's start and end inside its padding
-        inner = ends[1:-1] - DEPTH + i
-        across[inner] = False
-    return key[across]
-
-
-def _counted(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if weight is not None:
-        order = np.argsort(key, kind="stable")
-        key, weight = key[order], weight[order]
-    else:
-        key = np.sort(key)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.diff(np.append(first, len(key))) if weight is None else np.add.reduceat(weight, first) if len(key) else weight
-
-
-_COUNTS = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-
-
-def _count_texts(batches):
-    """Words and n-grams of the texts with their counts, added up as far as a task can hold them."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
-
-    def flush(kind: int):
-        keys, counts = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-        keys, counts = _counted(keys, counts)
-        held[kind] = []
-        return keys, counts
-
-    def rows(kind, keys, counts):
-        for i in range(0, len(keys), HANDED):
-            k, n = keys[i : i + HANDED], counts[i : i + HANDED]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
-    for batch in batches:
-        data, offsets = utf8(batch.column(0))
-        data = LOWER[data]
-        held[WORD].append((np.array([END_WORD], U), np.array([len(offsets) - 1])))
-        for _, _, hashes, _, _ in word_blocks(data, offsets):
-            held[WORD].append(_counted(hashes))
-        for i, j in text_blocks(offsets, 1 << 20):
-            held[GRAM].append(_counted(_grams(*streams(data, offsets[i : j + 1]))))
-            for kind in (WORD, GRAM):
-                if sum(len(k) for k, _ in held[kind]) > 2 * HELD:
-                    keys, counts = flush(kind)
-                    if len(keys) > HELD:
-                        yield from rows(kind, keys, counts)
-                    else:
-                        held[kind] = [(keys, counts)]
-    for kind in (WORD, GRAM):
-        if held[kind]:
-            yield from rows(kind, *flush(kind))
-
-
-def count_texts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n) over all texts of a one-column table."""
-    parts = texts.mapInArrow(_count_texts, _COUNTS)
-    return write_scratch(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-
-
-@dataclass
-class SuffixTree:
-    """The plain form of a tree that the driver can hold; tests hold the table's scores against it.
-
-    An automaton: symbol of each byte, next state and log10 probability by state and symbol.
-    """
-
-    symbol: np.ndarray
-    step: np.ndarray
-    log10: np.ndarray
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; ``data`` is lower-cased."""
-        out = np.zeros(len(offsets) - 1)
-        width = self.step.shape[1]
-        step, log10 = self.step.ravel(), self.log10.ravel()
-        for i, j in text_blocks(offsets):
-            stream, ends = streams(data, offsets[i : j + 1])
-            stream = self.symbol[stream]
-            size = np.diff(ends) - DEPTH
-            parts = -(-size // STRETCH)
-            owner = np.repeat(np.arange(j - i), parts)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            length = np.minimum(STRETCH, size[owner] - place * STRETCH)
-            order = np.argsort(-length, kind="stable")
-            owner, length = owner[order], length[order]
-            start = (ends[:-1][owner] + place[order] * STRETCH).astype(np.int64)
-            state, total = np.zeros(len(owner), np.int32), np.zeros(len(owner))
-            for k in range(DEPTH):
-                state = step[state * width + stream[start + k]]
-            live = len(owner) - np.searchsorted(length[::-1], np.arange(STRETCH), "right")
-            for k in range(STRETCH):
-                n = live[k]
-                if not n:
-                    break
-                at = state[:n] * width + stream[start[:n] + DEPTH + k]
-                total[:n] += log10[at]
-                state = step[at]
-            out[i:j] = np.bincount(owner, total, j - i)
-        return out
-
-
-def select_contexts(counts: DataFrame, depth: int = DEPTH, least: float = LEAST_COUNT, divergence: float = DIVERGENCE, min_share: float | None = None) -> tuple[DataFrame, np.ndarray]:
-    """The tree as a table (k, context, state, whole, kinds, follow: next byte to count), and the root's counts raised by a half.
-
-    ``state`` is one key of the context and its length. A ``min_share`` of the corpus takes
-    the place of ``least`` occurrences.
+#: The same for runs.
+HEAD_RUNS, RUN_SLOTS = 1 << 19, 1 << 21
+END_WORD = 0
+#: Runs a task holds before it counts them and hands them on, and runs in a bucket.
+HELD, BUCKET = 3_000_000, 1_000_000
+#: Bytes of text a run is reckoned to take, and from which on keys are wider.
+RUN_BYTES, WIDE_BYTES = 6, 1 << 34
+#: Bits of a key filter: so many a key, at most so many.
+BITS_A_KEY, MOST_BITS = 8, 1 << 27
+_PREFIX = U(0x9FB21C651E98DF25)
+
+
+class Keys:
+    """How runs are named and dealt: so many bytes a key, so many buckets."""
+
+    def __init__(self, text_bytes: int):
+        self.width = 7 if text_bytes >= WIDE_BYTES else 6
+        self.mask = U((1 << (8 * self.width)) - 1)
+        self.buckets = max(1, -(-text_bytes // (RUN_BYTES * BUCKET)))
+
+    def join(self, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Key of the run whose first symbols are ``prefix`` and last ones ``suffix`` (all but one each)."""
+        return mix(prefix * _PREFIX + suffix) & self.mask
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return (((key >> U(8 * self.width - 32)) * U(self.buckets)) >> U(32)).astype(np.int32)
+
+    def bucket_column(self, key: str) -> Column:
+        return F.shiftright(F.shiftright(key, 8 * self.width - 32) * F.lit(self.buckets).cast("long"), 32).cast("int")
+
+    def pack(self, key: np.ndarray) -> bytes:
+        """The bytes of the keys, place by place, as sorted keys differ little in the first ones."""
+        return np.ascontiguousarray(np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, : self.width].T).tobytes()
+
+    def unpack(self, parts: list[bytes], width: int | None = None) -> np.ndarray:
+        width = width or self.width
+        planes = [np.frombuffer(p, np.uint8).reshape(width, -1) for p in parts]
+        out = np.zeros((sum(p.shape[1] for p in planes), 8), np.uint8)
+        if planes:
+            out[:, :width] = np.concatenate(planes, axis=1).T
+        return out.view(U).ravel()
+
+
+def symbols(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of texts with an end after each text, and the text of each symbol."""
+    counts = np.diff(ends)
+    text = np.repeat(np.arange(len(counts)), counts + 1)
+    out = np.zeros(len(text), U)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
+    return out, text
+
+
+def runs(keys: Keys, words: np.ndarray, text: np.ndarray, passes: list) -> list[np.ndarray]:
+    """Keys of the runs of 1, 2, ... symbols that start at each symbol, with 0 for those that cannot be kept.
+
+    ``passes`` holds a test (or None) for the runs of each length but the longest.
     """
-    level = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
-    levels = {depth: level}
-    for k in range(depth - 1, -1, -1):
-        level = write_scratch(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        levels[k] = level
-    root = np.full(256, 0.5)
-    for gram, n in levels[0].collect():
-        root[gram] += n
-    total = int(root.sum() - 128)
-    least = least if min_share is None else min_share * total
-    parents = levels[0].select(F.lit(0).cast("long").alias("context"), F.col("gram").alias("next"), "n").withColumn("whole", F.lit(total))
-    passed = []
-    for k in range(1, depth + 1):
-        split = levels[k].select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n")
-        whole = split.groupBy("context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds")).where(F.col("whole") >= least)
-        here = split.join(whole, "context").withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)))
-        above = parents.select(F.col("context").alias("suffix"), "next", F.col("n").alias("n_above"), F.col("whole").alias("whole_above"))
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") * F.col("whole_above") / F.col("n_above")))
-        both = write_scratch(here.join(above, ["suffix", "next"]), "contexts")
-        follow = F.map_from_entries(F.collect_list(F.struct("next", "n")))
-        judged = both.groupBy("context", "whole", "kinds").agg(gain.alias("gain"), follow.alias("follow")).where(F.col("gain") >= divergence * F.col("kinds"))
-        passed.append(judged.select(F.lit(k).alias("k"), "context", F.col("context").bitwiseOR(F.lit(k << 48)).alias("state"), "whole", "kinds", "follow"))
-        parents = both.select("context", "next", "n", "whole")
-    return write_scratch(reduce(DataFrame.unionByName, passed), "tree"), root
-
-
-def gram_chances(grams: DataFrame, tree: DataFrame, root: np.ndarray, discount: float = DISCOUNT) -> DataFrame:
-    """``grams`` (distinct gram, other columns) with log10, the probability of the last byte after the others.
-
-    Each gram meets those of its contexts that are retained, by joins; from the shortest
-    to the longest, a context keeps a share of its suffix's chance and adds its own.
-    """
-    follows = F.col("gram").bitwiseAND(F.lit(255)).cast("int")
-    least = F.get(F.array(*[F.lit(float(x)) for x in root / root.sum()]), follows)
-    start = grams.select("*", F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("keep"), least.alias("add")).alias("part"))
-    placed = grams.select("*", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("k"))
-    placed = placed.withColumn("state", F.expr("shiftright(gram, 8) & (shiftleft(1L, 8 * k) - 1L) | shiftleft(CAST(k AS BIGINT), 48)"))
-    placed, _ = key_filter(tree, "state")(placed, F.col("state"))
-    n = F.coalesce(F.try_element_at("follow", F.col("gram").bitwiseAND(F.lit(255))), F.lit(0))
-    part = F.struct("k", (discount * F.col("kinds") / F.col("whole")).alias("keep"), (F.greatest(n - discount, F.lit(0.0)) / F.col("whole")).alias("add"))
-    met = placed.join(tree.drop("k", "context"), "state").select(*grams.columns, part.alias("part"))
-    parts = start.unionByName(met).groupBy(*grams.columns).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return parts.select(*grams.columns, F.log10(F.aggregate("parts", F.lit(0.0), lambda p, x: p * x["keep"] + x["add"])).alias("log10"))
-
-
-def build_tree(counts: DataFrame, depth: int = DEPTH, min_share: float | None = None, divergence: float = DIVERGENCE, discount: float = DISCOUNT, least: float = LEAST_COUNT) -> SuffixTree:
-    """All retained contexts in the driver, linked; for small corpora."""
-    tree, root = select_contexts(counts, depth, least, divergence, min_share)
-    if root.sum() == 128:
-        return SuffixTree(np.zeros(256, np.uint8), np.zeros((1, 1), np.int32), np.full((1, 1), -np.log10(256)))
-    rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for k, context, follow in tree.select("k", "context", "follow").collect():
-        rows[k, context] = np.array(list(follow.keys())), np.array(list(follow.values()))
-    # every suffix and every prefix of a retained context is a state as well
-    states, waiting = {(0, 0)}, list(rows)
-    while waiting:
-        k, context = waiting.pop()
-        if (k, context) in states:
-            continue
-        states.add((k, context))
-        waiting.append((k - 1, context & ((1 << (8 * (k - 1))) - 1)))
-        waiting.append((k - 1, context >> 8))
-    ordered = sorted(states)
-    number = {s: i for i, s in enumerate(ordered)}
-    seen = np.flatnonzero(root > 0.5)
-    symbol = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.uint16)
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    chance = np.zeros((len(ordered), width), np.float32)
-    step = np.zeros((len(ordered), width), np.int32)
-    longer: dict[int, list[int]] = {}  # states that a state's next byte leads to
-    for i, (k, context) in enumerate(ordered[1:], 1):
-        longer.setdefault(number[k - 1, context >> 8], []).append(i)
-    for i, (k, context) in enumerate(ordered):
-        if k:
-            parent = number[k - 1, context & ((1 << (8 * (k - 1))) - 1)]
-            step[i], chance[i] = step[parent], chance[parent]
+    level = words & keys.mask
+    out = [level]
+    for test in passes:
+        known = np.ones(len(level), bool) if test is None else (level != 0) & test(level)
+        both = known[:-1] & known[1:] & (text[: len(level) - 1] == text[len(text) - len(level) + 1 :])
+        level = np.where(both, keys.join(level[:-1], level[1:]), U(0))
+        out.append(level)
+    return out
+
+
+class KeySet:
+    """A bit map that holds every key of a set (and, rarely, others); of bounded size."""
+
+    def __init__(self, keys: Keys, n: int, parts):
+        self.bits = max(15, min(MOST_BITS.bit_length() - 1, (BITS_A_KEY * max(n, 1) - 1).bit_length()))
+        self.shift = U(8 * keys.width - self.bits)
+        self.map = np.zeros(1 << (self.bits - 3), np.uint8)
+        for part, raw in parts(self.bits):
+            self.map[part << 12 : (part << 12) + len(raw)] = np.frombuffer(raw, np.uint8)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = key >> self.shift
+        return (self.map[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def key_set(keys: Keys, table: DataFrame, n: int) -> KeySet:
+    """The set of ``table``'s column key."""
+
+    def parts(bits: int):
+        at = F.shiftright("key", 8 * keys.width - bits)
+        made = table.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+        return ((r["part"], bytes(r["bits"])) for r in made.toLocalIterator())
+
+    return KeySet(keys, n, parts)
+
+
+_FED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("second", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+#: Bucket numbers below zero are those of words.
+_COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "prefix", "suffix", "n")])
+
+
+def _fed(bucket: int, first: bytes, second: bytes | None, counts: np.ndarray) -> tuple:
+    ones = (counts == 1).all()
+    return bucket, first, second, None if ones else counts.astype(np.uint32).tobytes()
+
+
+def _rows(fed: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*fed, strict=True)) if fed else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], _FED.names)
+
+
+def _count_runs(keys: Keys, length: int, passes: list, with_words: bool):
+    """A task: sorted distinct runs of ``length`` symbols (prefix, suffix) by bucket, and with the first pass the words."""
+
+    def count(batches):
+        tests = [p.value if p is not None else None for p in passes]
+        held, words, size = [], [], 0
+
+        def hand_on():
+            fed = []
+            if held:
+                prefix, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+                key = keys.join(prefix, suffix)
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                count = np.diff(np.append(first, len(key)))
+                at = order[first]
+                prefix, suffix, bucket = prefix[at], suffix[at], keys.bucket(key[first])
+                edges = np.searchsorted(bucket, np.arange(keys.buckets + 1))
+                for b in np.unique(bucket).tolist():
+                    lo, hi = edges[b], edges[b + 1]
+                    for chosen in (count[lo:hi] == 1, count[lo:hi] > 1):
+                        if chosen.any():
+                            p, s, n = prefix[lo:hi][chosen], suffix[lo:hi][chosen], count[lo:hi][chosen]
+                            by = np.argsort(p)
+                            fed.append(_fed(b, keys.pack(p[by]), keys.pack(s[by]), n[by]))
+            if words:
+                word, n = np.unique(np.concatenate(words), return_counts=True)
+                edges = np.searchsorted(word >> U(32), np.arange(keys.buckets + 1, dtype=U) * U(1 << 32) // U(keys.buckets))
+                edges[-1] = len(word)
+                for b in range(keys.buckets):
+                    lo, hi = edges[b], edges[b + 1]
+                    if hi > lo:
+                        fed.append(_fed(-1 - b, word[lo:hi].tobytes(), None, n[lo:hi]))
+            held.clear(), words.clear()
+            return _rows(fed)
+
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            data = LOWER[data]
+            for _, _, hashes, ends, _ in word_blocks(data, offsets):
+                stream, text = symbols(hashes, ends)
+                levels = runs(keys, stream, text, tests)
+                if length > 1:
+                    live = np.flatnonzero(levels[length - 1])
+                    held.append((levels[length - 2][live], levels[length - 2][live + 1]))
+                    size += len(live)
+                if with_words:
+                    words.append(stream)
+                    size += len(stream) if length == 1 else 0
+                if size > HELD:
+                    yield hand_on()
+                    size = 0
+        yield hand_on()
+
+    return count
+
+
+def _merge_runs(keys: Keys, least: int):
+    def merge(table: pa.Table) -> pa.Table:
+        words = table.column("bucket")[0].as_py() < 0
+        firsts, counts = table.column("first").to_pylist(), table.column("counts").to_pylist()
+        width = 8 if words else keys.width
+        n = np.concatenate([np.frombuffer(c, np.uint32).astype(np.int64) if c is not None else np.ones(len(f) // width, np.int64) for f, c in zip(firsts, counts, strict=True)])
+        if words:
+            prefix = suffix = key = np.concatenate([np.frombuffer(f, U) for f in firsts])
         else:
-            chance[0, :-1] = root[seen] / root.sum()
-            chance[0, -1] = 0.5 / root.sum()
-        for t in longer.get(i, ()):
-            step[i, symbol[ordered[t][1] & 255]] = t
-        if (k, context) in rows:
-            follow, n = rows[k, context]
-            chance[i] *= discount * len(n) / n.sum()
-            chance[i, symbol[follow]] += (n - discount) / n.sum()
-    return SuffixTree(symbol, step, np.log10(chance))
+            prefix, suffix = keys.unpack(firsts), keys.unpack(table.column("second").to_pylist())
+            key = keys.join(prefix, suffix)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.add.reduceat(n[order], first)
+        kept = np.ones(len(n), bool) if words else n >= least
+        at = order[first[kept]]
+        columns = [key[first[kept]], prefix[at], suffix[at]]
+        if words:
+            columns[1] = np.zeros(len(at), U)  # a word stands where the context of a run would
+            columns[2] = columns[0]
+            columns[0] = columns[0] & keys.mask
+        return pa.table([pa.array(c.view(np.int64)) for c in columns] + [pa.array(n[kept])], names=_COUNTED.names)
+
+    return merge
+
+
+def _counted(texts: DataFrame, keys: Keys, length: int, passes: list, with_words: bool = False, least: int = LEAST_COUNT) -> DataFrame:
+    fed = texts.mapInArrow(_count_runs(keys, length, passes, with_words), _FED)
+    return fed.groupBy("bucket").applyInArrow(_merge_runs(keys, least), _COUNTED)
+
+
+def _level(now: DataFrame, below: DataFrame, total: int, divergence: float, root: bool) -> DataFrame:
+    """The runs of one more symbol with their chances, and which of their contexts are retained.
+
+    key, n, above_n (of the suffix), chance, and where the context is retained: context,
+    keep (the share it leaves to its suffix) and gain (log10 of the chance over what the
+    suffix leaves).
+    """
+    suffix = below.select(F.col("key").alias("suffix"), F.col("n").alias("above_n"), F.col("chance").alias("above_chance"))
+    prefix = below.select(F.col("key").alias("prefix"), F.col("n").alias("whole"), (F.lit(total).cast("long") if root else F.col("above_n")).alias("above_whole"))
+    full = now.join(suffix, "suffix").drop("suffix").join(prefix, "prefix")
+    share, above = F.col("n") / F.col("whole"), F.col("above_n") / F.col("above_whole")
+    of = full.groupBy("prefix").agg(
+        F.first("whole").alias("whole"), F.sum("n").alias("held"), F.sum(F.col("n") - 1).alias("given"), F.count("*").alias("kinds"),
+        F.sum(F.col("n") * F.log(share / above)).alias("gain"), F.sum(above).alias("above"),
+    )
+    rest = F.col("whole") - F.col("held")
+    other = F.when(rest > 0, rest * F.log((rest / F.col("whole")) / F.greatest(1 - F.col("above"), F.lit(1e-9)))).otherwise(0.0)
+    retained = of.where(F.col("gain") + other >= divergence * (F.col("kinds") + (rest > 0).cast("int"))).select("prefix", (1 - F.col("given") / F.col("whole")).alias("keep"))
+    joined = full.join(retained, "prefix", "left")
+    chance = F.coalesce((F.col("n") - 1) / F.col("whole") + F.col("keep") * F.col("above_chance"), F.col("above_chance"))
+    gain = F.log10(chance / (F.col("keep") * F.col("above_chance")))
+    return joined.select("key", "n", "above_n", chance.alias("chance"), F.when(F.col("keep").isNotNull(), F.col("prefix")).alias("context"), "keep", gain.cast("float").alias("gain"))
+
+
+def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergence: float = DIVERGENCE) -> tuple[Keys, DataFrame, list[DataFrame], list]:
+    """The tree of a one-column table: how keys are made, the words (word, n, key), the levels of runs of two and more symbols, and their key sets."""
+    spark = texts.sparkSession
+    name = texts.columns[0]
+    keys = Keys(texts.agg(F.sum(F.octet_length(name) + 1)).first()[0] or 0)
+    both = write_scratch(_counted(texts, keys, min(2, depth + 1), [None] * min(1, depth), True, least), "counts")
+    words = both.where("prefix = 0 AND suffix IS NOT NULL AND (suffix & %d) = key" % int(keys.mask)).select(F.col("suffix").alias("word"), "n", "key")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    below = words.groupBy("key").agg(F.sum("n").alias("n"))
+    kinds = words.count()
+    below = below.withColumns({"above_n": F.lit(total), "chance": (F.col("n") + 0.5) / F.lit(float(total + 0.5 * (kinds + 1)))})
+    levels, sets, passes = [], [], [None]
+    for length in range(2, depth + 2):
+        now = both.where("prefix != 0") if length == 2 else _counted(texts, keys, length, passes, least=least)
+        level = write_scratch(_level(now, below, total, divergence, length == 2), "level")
+        levels.append(level)
+        below = level
+        if length <= depth:
+            held = spark.sparkContext.broadcast(key_set(keys, level, level.count()))
+            sets.append(held)
+            passes = [*passes, held]
+    return keys, words, levels, sets
+
+
+def tree_values(levels: list[DataFrame]) -> DataFrame:
+    """key, value, n: what each run adds to a text's log10 probability, as a context and as a whole."""
+    parts = []
+    for level in levels:
+        parts.append(level.where("gain IS NOT NULL").select("key", F.col("gain").cast("double").alias("value"), "n"))
+        parts.append(level.where("context IS NOT NULL").groupBy("context").agg(F.first(F.log10("keep")).alias("value"), F.sum("n").alias("n")).select(F.col("context").alias("key"), "value", "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
 
 
 _SCORED = T.StructType(
     [
-        T.StructField("n_tokens", T.LongType()),
+        T.StructField("chunk", T.LongType()),
+        T.StructField("place", T.IntegerType()),
         T.StructField("n_known", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
         T.StructField("base", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("added", T.DoubleType()),
         T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("times", T.ArrayType(T.LongType())),
-        T.StructField("grams", T.ArrayType(T.LongType())),
-        T.StructField("gram_times", T.ArrayType(T.LongType())),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("runs", T.BinaryType()),
+        T.StructField("places", T.BinaryType()),
     ]
 )
 
 
-def _gram_slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - GRAM_SLOTS.bit_length() + 1)).astype(np.int64)
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
 def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,47 +326,112 @@ def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return keys[first].view(np.int64), np.diff(np.append(first, len(keys))), np.bincount(owner[first], minlength=n)
 
 
-def _scorer(head_grams, head, end_base: float):
-    """Columns of a text; ``words`` and ``grams`` with their times are those outside the heads."""
+#: Rows scored side by side; their places fit 16 bits.
+CHUNK = 1 << 14
+
+
+def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, valued, head_runs, head, end_base: float):
+    """A task: a row for each text (base and what the heads give), and rows of other runs and their texts' places by bucket."""
+
+    def score(batches):
+        from pyspark import TaskContext
 
-    @F.arrow_udf(_SCORED)
-    def score(text: pa.Array) -> pa.Array:
-        data, offsets = utf8(text)
-        data = LOWER[data]
+        chunk = TaskContext.get().partitionId() << 40
+        tests, known_runs = [p.value if p is not None else None for p in passes], valued.value
         slots, logs = head.value
-        n = len(text)
-        tokens, known, base, sums = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, end_base), np.zeros(n)
-        words, times, many = [], [], np.zeros(n, np.int64)
-        for i, j, hashes, ends, _ in word_blocks(data, offsets):
-            counts = np.diff(ends)
-            owner = np.repeat(np.arange(j - i), counts)
-            slot = (hashes & U(HEAD_SLOTS - 1)).astype(np.int64)
-            found = slots[slot] == hashes
-            tokens[i:j] += counts
-            known[i:j] += np.bincount(owner[found], minlength=j - i)
-            base[i:j] += np.bincount(owner[found], logs[slot[found]], j - i)
-            rest, often, many[i:j] = _distinct(hashes[~found], owner[~found], j - i)
-            words.append(rest)
-            times.append(often)
-        slots, logs = head_grams.value
-        grams, gram_times, many_grams = [], [], np.zeros(n, np.int64)
-        for i, j in text_blocks(offsets, 1 << 20):
-            stream, ends = streams(data, offsets[i : j + 1])
-            keys = _grams(stream, ends)
-            owner = np.repeat(np.arange(j - i), np.diff(ends) - DEPTH)
-            slot = _gram_slot(keys)
-            found = slots[slot] == keys
-            sums[i:j] = np.bincount(owner[found], logs[slot[found]], j - i)
-            rest, often, many_grams[i:j] = _distinct(keys[~found], owner[~found], j - i)
-            grams.append(rest)
-            gram_times.append(often)
-        flat = lambda parts, many: list_array(np.concatenate(parts) if parts else np.zeros(0, np.int64), many)
-        out = [pa.array(tokens), pa.array(known), pa.array(base), pa.array(sums), flat(words, many), flat(times, many), flat(grams, many_grams), flat(gram_times, many_grams)]
-        return pa.StructArray.from_arrays(out, _SCORED.names)
+        run_slots, run_values = head_runs.value
+        names = fields.names
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), CHUNK):
+                batch = whole.slice(at, CHUNK)
+                n = batch.num_rows
+                data, offsets = utf8(batch.column(names.index("text")))
+                data = LOWER[data]
+                tokens, known, base, added = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, end_base), np.zeros(n)
+                words, times, many, rest_runs, rest_places = [], [], np.zeros(n, np.int64), [], []
+                for i, j, hashes, ends, _ in word_blocks(data, offsets):
+                    counts = np.diff(ends)
+                    owner = np.repeat(np.arange(j - i), counts)
+                    slot = (hashes & U(HEAD_SLOTS - 1)).astype(np.int64)
+                    found = slots[slot] == hashes
+                    tokens[i:j] += counts
+                    known[i:j] += np.bincount(owner[found], minlength=j - i)
+                    base[i:j] += np.bincount(owner[found], logs[slot[found]], j - i)
+                    rest, often, many[i:j] = _distinct(hashes[~found], owner[~found], j - i)
+                    words.append(rest)
+                    times.append(often)
+                    stream, text = symbols(hashes, ends)
+                    for level in runs(keys, stream, text, tests):
+                        live = np.flatnonzero((level != 0) & known_runs(level))
+                        key, of = level[live], text[live]
+                        slot = _slot(key, RUN_SLOTS)
+                        in_head = run_slots[slot] == key
+                        added[i:j] += np.bincount(of[in_head], run_values[slot[in_head]], j - i)
+                        rest_runs.append(key[~in_head])
+                        rest_places.append((of[~in_head] + i).astype(np.uint16))
+                flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                none = lambda kind: pa.nulls(n, kind)
+                own = [batch.column(k) if c != "text" else pa.nulls(n, pa.string()) for k, c in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[x for x, c in zip(own, names, strict=True) if c != "text"], pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(known), pa.array(tokens), pa.array(base), pa.array(added),
+                     list_array(flat(words), many), list_array(flat(times), many), none(pa.int32()), none(pa.binary()), none(pa.binary())],
+                    [*[c for c in names if c != "text"], *_SCORED.names],
+                )
+                key, place = flat(rest_runs).astype(U), flat(rest_places).astype(np.uint16)
+                order = np.argsort(key)
+                key, place = key[order], place[order]
+                bucket = keys.bucket(key)
+                edges = np.searchsorted(bucket, np.arange(keys.buckets + 1))
+                used = np.unique(bucket)
+                if len(used):
+                    m = len(used)
+                    packed = [keys.pack(key[edges[b] : edges[b + 1]]) for b in used]
+                    places = [place[edges[b] : edges[b + 1]].tobytes() for b in used]
+                    empty = [pa.nulls(m, batch.schema.field(k).type) for k, c in enumerate(names) if c != "text"]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [*empty, pa.array(np.full(m, chunk)), *[pa.nulls(m, k) for k in kinds], pa.array(used.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(places, pa.binary())],
+                        [*[c for c in names if c != "text"], *_SCORED.names],
+                    )
+                chunk += 1
 
     return score
 
 
+_SUMS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("sums", T.BinaryType())])
+
+
+def _look_up(keys: Keys):
+    """The runs of one bucket of texts in the same bucket of the tree: sums by chunk and place."""
+
+    def look_up(texts: pa.Table, tree: pa.Table) -> pa.Table:
+        known, value = tree.column("key").to_numpy().view(U), tree.column("value").to_numpy()
+        order = np.argsort(known)
+        known, value = np.append(known[order], ~U(0)), np.append(value[order], 0.0)
+        chunks, places, sums = [], [], []
+        for chunk, raw, at in zip(texts.column("chunk").to_pylist(), texts.column("runs").to_pylist(), texts.column("places").to_pylist(), strict=True):
+            key, place = keys.unpack([raw]), np.frombuffer(at, np.uint16)
+            found = np.searchsorted(known, key)
+            hit = known[found] == key
+            total = np.bincount(place[hit], value[found[hit]])
+            some = np.flatnonzero(total)
+            if len(some):
+                chunks.append(chunk), places.append(some.astype(np.uint16).tobytes()), sums.append(total[some].tobytes())
+        return pa.table([pa.array(chunks, pa.int64()), pa.array(places, pa.binary()), pa.array(sums, pa.binary())], names=_SUMS.names)
+
+    return look_up
+
+
+_TOTALS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("more", T.DoubleType())])
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    place = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("places").to_pylist()])
+    total = np.bincount(place, np.concatenate([np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist()]))
+    some = np.unique(place)
+    return pa.table([pa.array(np.full(len(some), table.column("chunk")[0].as_py())), pa.array(some.astype(np.int32)), pa.array(total[some])], names=_TOTALS.names)
+
+
 def _frequent(rows: DataFrame, room: int) -> DataFrame:
     """The most frequent rows (n), by whole steps of a logarithmic scale, as many as there is room for."""
     step = F.floor(8 * F.log2("n"))
@@ -370,54 +449,61 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH, least: int = LEAST_COUNT, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    A null text is empty (one end token). Repeated rows count and are scored as often as
-    they come; a null doc_id is not held out. Without training rows every token of the
-    base is unknown and bytes are equally likely. An empty table gives an empty result;
-    other columns are ignored.
+    A null text is empty (one end). Repeated rows count and are scored as often as they
+    come; a null doc_id is not held out. Without training rows every token is unknown. An
+    empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = count_texts(source.where(~held_out()).select("text"))
-    words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
+    keys, words, levels, sets = grow_tree(source.where(~held_out()).select("text"), depth, least, divergence)
     size, kinds, ends = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
     size, ends = size or 0, ends or 0
     whole = size + 0.5 * (kinds + 1)
     log = lambda c: float(np.log10((c + 0.5) / whole))
     slots, logs = np.zeros(HEAD_SLOTS, U), np.zeros(HEAD_SLOTS)
-    table = _frequent(words, HEAD_WORDS).where(F.col("word") != END_WORD).toArrow()
+    table = _frequent(words, HEAD_WORDS).where(F.col("word") != END_WORD).select("word", "n").toArrow()
     word, n = table.column("word").to_numpy().view(U), table.column("n").to_numpy()
     slot = (word & U(HEAD_SLOTS - 1)).astype(np.int64)
     slots[slot], logs[slot] = word, np.log10((n + 0.5) / whole)
-    head = spark.sparkContext.broadcast((slots, logs))
-    tree, root = select_contexts(counts, least=LEAST_COUNT)
-    grams = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
-    # no gram has more than DEPTH + 1 bytes, so none is found in an empty slot; of two in one slot the more frequent stays
-    slots, logs = np.full(GRAM_SLOTS, ~U(0)), np.zeros(GRAM_SLOTS)
-    table = gram_chances(_frequent(grams, HEAD_GRAMS), tree, root).toArrow()
-    order = np.argsort(table.column("n").to_numpy(), kind="stable")
-    gram, log10 = table.column("gram").to_numpy().view(U)[order], table.column("log10").to_numpy()[order]
-    slot = _gram_slot(gram)
-    slots[slot], logs[slot] = gram, log10
-    head_grams = spark.sparkContext.broadcast((slots, logs))
-    scored = source.select("doc_id", held_out().alias("held_out"), _scorer(head_grams, head, log(ends))("text").alias("s"))
-    scored = write_scratch(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    valued = tail.join(words, "word", "left").select("row", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))).alias("base"))
-    rare = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))
-    chances = gram_chances(rare.select("gram").distinct(), tree, root)
-    summed = rare.join(chances, "gram").select("row", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("log10")).alias("score"))
-    added = valued.withColumn("score", F.lit(0.0)).unionByName(summed).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
-    full = scored.drop("words", "times", "grams", "gram_times").join(added, "row", "left")
-    end_known = F.lit(1 if ends else 0)
+    head = share((slots, logs))
+
+    values = write_scratch(tree_values(levels), "tree")
+    for level in levels:
+        drop_scratch(level)
+    run_slots, run_values = np.full(RUN_SLOTS, ~U(0)), np.zeros(RUN_SLOTS)  # no key has 64 bits
+    table = _frequent(values, HEAD_RUNS).toArrow()
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")  # of two in one slot the more frequent stays
+    run, value = table.column("key").to_numpy().view(U)[order], table.column("value").to_numpy()[order]
+    slot = _slot(run, RUN_SLOTS)
+    run_slots[slot], run_values[slot] = run, value
+    valued = share(key_set(keys, values, values.count()))
+
+    rows = source.select("doc_id", held_out().alias("held_out"), "text")
+    fields = rows.schema
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in fields if f.name != "text"] + _SCORED.fields)
+    passes = ([None, *sets])[:depth]
+    scored = write_scratch(rows.mapInArrow(_score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends)), out), "scored")
+    tail = scored.where("bucket IS NOT NULL").select("bucket", "chunk", "runs", "places")
+    tree = values.select(keys.bucket_column("key").alias("bucket"), "key", "value")
+    sums = tail.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(_look_up(keys), _SUMS)
+    more = sums.groupBy("chunk").applyInArrow(_add_up, _TOTALS)
+
+    scored = scored.where("place IS NOT NULL").drop("bucket", "runs", "places")
+    rare = scored.select("chunk", "place", F.explode(F.arrays_zip("words", "times")).alias("w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    log_base = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))
+    based = rare.join(words.select("word", "n"), "word", "left").groupBy("chunk", "place").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(log_base).alias("more_base"))
+    full = scored.drop("words", "times").join(based, ["chunk", "place"], "left").join(more, ["chunk", "place"], "left")
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
     return full.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + end_known).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(size).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("added") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

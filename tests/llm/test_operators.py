@@ -257,43 +257,6 @@ def test_base_score_and_tree(spark):
     assert suffix_tree.lm_scores(docs(spark, texts).limit(0)).count() == 0
 
 
-def test_tree_is_a_distribution_and_scores_step_by_step(spark):
-    texts = ["banana bandana", "ban the banana", "the end", "é", "a b"] * 30
-    tree = suffix_tree.build_tree(suffix_tree.count_texts(spark.createDataFrame([(t,) for t in texts], "text string")), min_share=1e-4, divergence=0.5)
-    unseen = 256 - len(set(tree.symbol.tolist())) + 1
-    chance = 10.0 ** tree.log10.astype(float)
-    assert np.allclose(chance[:, :-1].sum(axis=1) + unseen * chance[:, -1], 1, atol=1e-5)
-    for text in ("banana the", "", "zz é"):
-        state, total = 0, 0.0
-        for _ in range(suffix_tree.DEPTH):
-            state = tree.step[state, tree.symbol[10]]
-        for byte in (" ".join(WORD.findall(text)) + "\n").encode():
-            total += tree.log10[state, tree.symbol[byte]]
-            state = tree.step[state, tree.symbol[byte]]
-        raw = np.frombuffer(text.encode(), np.uint8)
-        assert abs(tree.score(raw, np.array([0, len(raw)]))[0] - total) < 1e-4
-
-
-def test_tree_grows_with_the_corpus_and_joins_score_as_the_plain_tree(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    kinds = ["".join(rng.choice(list("abcdefghijkl"), 5)) for _ in range(300)]
-    texts = [" ".join(rng.choice(kinds, 60)) for _ in range(400)] + ["zz é", ""]
-    df = docs(spark, texts)
-    counted = lambda rows: suffix_tree.count_texts(rows.where(~suffix_tree.held_out()).select("text"))
-    counts = counted(df)
-    contexts = [suffix_tree.select_contexts(c)[0] for c in (counted(df.limit(100)), counts)]
-    assert contexts[1].count() > 1.2 * contexts[0].count()
-    # contexts of a fixed count stay when the rest of the corpus becomes so large that their share is below 3e-6
-    rest = spark.createDataFrame([(suffix_tree.GRAM, int.from_bytes(b"~" * 7), 10**9)], counts.schema)
-    assert suffix_tree.select_contexts(counts.unionByName(rest))[0].count() >= contexts[1].count()
-    plain = suffix_tree.build_tree(counts)
-    want = [plain.score(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
-    for room in (suffix_tree.HEAD_GRAMS, 500):
-        monkeypatch.setattr(suffix_tree, "HEAD_GRAMS", room)
-        got = {r.doc_id: r.score for r in suffix_tree.lm_scores(df).collect()}
-        assert all(abs(got[i] - w) < 1e-3 for i, w in enumerate(want))
-
-
 # --- chat
 
 
