@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir and all tasks run in this machine.
 LOCAL_SCRATCH = "/tmp/checkpoints"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,7 +33,13 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the written files take the place of the shuffle files, which are removed as soon as the write ends
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -268,6 +268,7 @@ def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, di
     keys = Keys(texts.agg(F.sum(F.octet_length(name) + 1)).first()[0] or 0)
     both = write_scratch(_counted(texts, keys, min(2, depth + 1), [None] * min(1, depth), True, least), "counts")
     words = both.where("prefix = 0 AND suffix IS NOT NULL AND (suffix & %d) = key" % int(keys.mask)).select(F.col("suffix").alias("word"), "n", "key")
+    words = write_scratch(words, "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     below = words.groupBy("key").agg(F.sum("n").alias("n"))
     kinds = words.count()
@@ -278,6 +279,8 @@ def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, di
         level = write_scratch(_level(now, below, total, divergence, length == 2), "level")
         levels.append(level)
         below = level
+        if length == 2:
+            drop_scratch(both)
         if length <= depth:
             held = spark.sparkContext.broadcast(key_set(keys, level, level.count()))
             sets.append(held)
