@@ -43,7 +43,7 @@ HEAD_WORDS, HEAD_SLOTS = 1 << 18, 1 << 20
 HEAD_RUNS, RUN_SLOTS = 1 << 19, 1 << 21
 END_WORD = 0
 #: Runs a task holds before it counts them and hands them on, and runs in a bucket.
-HELD, BUCKET = 3_000_000, 1_000_000
+HELD, BUCKET = 1_000_000, 1_000_000
 #: Bytes of text a run is reckoned to take, and from which on keys are wider.
 RUN_BYTES, WIDE_BYTES = 6, 1 << 34
 #: Bits of a key filter: so many a key, at most so many.
@@ -114,7 +114,7 @@ class KeySet:
         self.shift = U(8 * keys.width - self.bits)
         self.map = np.zeros(1 << (self.bits - 3), np.uint8)
         for part, raw in parts(self.bits):
-            self.map[part << 12 : (part << 12) + len(raw)] = np.frombuffer(raw, np.uint8)
+            self.map[part << 12 : (part << 12) + len(raw)] |= np.frombuffer(raw, np.uint8)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         at = key >> self.shift
@@ -125,9 +125,19 @@ def key_set(keys: Keys, table: DataFrame, n: int) -> KeySet:
     """The set of ``table``'s column key."""
 
     def parts(bits: int):
-        at = F.shiftright("key", 8 * keys.width - bits)
-        made = table.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
-        return ((r["part"], bytes(r["bits"])) for r in made.toLocalIterator())
+        def mapped(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = np.sort(batch.column(0).to_numpy())
+                which, first = np.unique(at >> 15, return_index=True)
+                for part, lo, hi in zip(which.tolist(), first, np.append(first[1:], len(at)), strict=True):
+                    bit = at[lo:hi] & 32767
+                    np.bitwise_or.at(held.setdefault(part, np.zeros(4096, np.uint8)), bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
+
+        at = table.select(F.shiftright("key", 8 * keys.width - bits).alias("at"))
+        made = at.repartition(F.shiftright("at", 15)).mapInArrow(mapped, "part long, bits binary")
+        return ((r["part"], bytes(r["bits"])) for r in made.collect())
 
     return KeySet(keys, n, parts)
 
@@ -244,21 +254,20 @@ def _level(now: DataFrame, below: DataFrame, total: int, divergence: float, root
     keep (the share it leaves to its suffix) and gain (log10 of the chance over what the
     suffix leaves).
     """
-    suffix = below.select(F.col("key").alias("suffix"), F.col("n").alias("above_n"), F.col("chance").alias("above_chance"))
-    prefix = below.select(F.col("key").alias("prefix"), F.col("n").alias("whole"), (F.lit(total).cast("long") if root else F.col("above_n")).alias("above_whole"))
-    full = now.join(suffix, "suffix").drop("suffix").join(prefix, "prefix")
-    share, above = F.col("n") / F.col("whole"), F.col("above_n") / F.col("above_whole")
-    of = full.groupBy("prefix").agg(
-        F.first("whole").alias("whole"), F.sum("n").alias("held"), F.sum(F.col("n") - 1).alias("given"), F.count("*").alias("kinds"),
-        F.sum(F.col("n") * F.log(share / above)).alias("gain"), F.sum(above).alias("above"),
-    )
-    rest = F.col("whole") - F.col("held")
-    other = F.when(rest > 0, rest * F.log((rest / F.col("whole")) / F.greatest(1 - F.col("above"), F.lit(1e-9)))).otherwise(0.0)
-    retained = of.where(F.col("gain") + other >= divergence * (F.col("kinds") + (rest > 0).cast("int"))).select("prefix", (1 - F.col("given") / F.col("whole")).alias("keep"))
-    joined = full.join(retained, "prefix", "left")
-    chance = F.coalesce((F.col("n") - 1) / F.col("whole") + F.col("keep") * F.col("above_chance"), F.col("above_chance"))
-    gain = F.log10(chance / (F.col("keep") * F.col("above_chance")))
-    return joined.select("key", "n", "above_n", chance.alias("chance"), F.when(F.col("keep").isNotNull(), F.col("prefix")).alias("context"), "keep", gain.cast("float").alias("gain"))
+    # ``below`` has unique keys, so its hash partitions are even and serve as the build side of hash joins
+    suffix = below.select(F.col("key").alias("suffix"), F.col("n").alias("above_n"), F.col("chance").alias("above_chance")).hint("shuffle_hash")
+    prefix = below.select(F.col("key").alias("prefix"), F.col("n").alias("whole"), (F.lit(total).cast("long") if root else F.col("above_n")).alias("above_whole")).hint("shuffle_hash")
+    full = now.join(suffix, "suffix").drop("suffix").repartition("prefix")
+    n, above = F.col("n"), F.col("above_n")
+    of = full.groupBy("prefix").agg(F.sum(n).alias("held"), F.sum(above).alias("above"), F.count("*").alias("kinds"), F.sum(n * F.log(n / above)).alias("gain")).join(prefix, "prefix")
+    whole, rest = F.col("whole"), F.col("whole") - F.col("held")
+    gain = F.col("gain") + F.col("held") * F.log(F.col("above_whole") / whole)
+    other = F.when(rest > 0, rest * F.log((rest / whole) / F.greatest(1 - F.col("above") / F.col("above_whole"), F.lit(1e-9)))).otherwise(0.0)
+    retained = of.where(gain + other >= divergence * (F.col("kinds") + (rest > 0).cast("int"))).select("prefix", "whole", (1 - (F.col("held") - F.col("kinds")) / whole).alias("keep"))
+    joined = full.join(retained.hint("shuffle_hash"), "prefix", "left")
+    left = F.col("keep") * F.col("above_chance")
+    chance = F.when(F.col("keep").isNotNull(), (n - 1) / whole + left).otherwise(F.col("above_chance"))
+    return joined.select("key", "n", "above_n", chance.alias("chance"), F.when(F.col("keep").isNotNull(), F.col("prefix")).alias("context"), "keep", F.log10(chance / left).cast("float").alias("gain"))
 
 
 def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergence: float = DIVERGENCE) -> tuple[Keys, DataFrame, list[DataFrame], list]:
@@ -290,14 +299,17 @@ def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, di
 
 def tree_values(levels: list[DataFrame]) -> DataFrame:
     """key, value, n: what each run adds to a text's log10 probability, as a context and as a whole."""
+    none = F.lit(None)
     parts = []
     for level in levels:
-        parts.append(level.where("gain IS NOT NULL").select("key", F.col("gain").cast("double").alias("value"), "n"))
-        parts.append(level.where("context IS NOT NULL").groupBy("context").agg(F.first(F.log10("keep")).alias("value"), F.sum("n").alias("n")).select(F.col("context").alias("key"), "value", "n"))
+        rows = level.where("context IS NOT NULL")
+        parts.append(rows.select("key", F.col("gain").cast("double").alias("gain"), none.cast("double").alias("keep"), "n"))
+        parts.append(rows.select(F.col("context").alias("key"), none.cast("double").alias("gain"), "keep", "n"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
+    of = out.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("keep").alias("keep"), F.sum("n").alias("n"))
+    return of.select("key", (F.coalesce("gain", F.lit(0.0)) + F.coalesce(F.log10("keep"), F.lit(0.0))).alias("value"), "n")
 
 
 _SCORED = T.StructType(
