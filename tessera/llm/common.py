@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,17 @@ def scratch_root(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the queries run inside are removed as soon as each query ends."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
@@ -33,13 +45,8 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    # the written files take the place of the shuffle files, which are removed as soon as the write ends
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):  # the written files take their place
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import drop_scratch, list_array, utf8, write_scratch
+from tessera.llm.common import drop_scratch, list_array, shuffles_removed, utf8, write_scratch
 from tessera.llm.words import LOWER, U, mix, word_blocks
 
 DEPTH = 3
@@ -309,7 +309,7 @@ def tree_values(levels: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     of = out.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("keep").alias("keep"), F.sum("n").alias("n"))
-    return of.select("key", (F.coalesce("gain", F.lit(0.0)) + F.coalesce(F.log10("keep"), F.lit(0.0))).alias("value"), "n")
+    return of.select("key", (F.coalesce("gain", F.lit(0.0)) + F.coalesce(F.log10("keep"), F.lit(0.0))).cast("float").alias("value"), "n")
 
 
 _SCORED = T.StructType(
@@ -422,7 +422,7 @@ def _look_up(keys: Keys):
     def look_up(texts: pa.Table, tree: pa.Table) -> pa.Table:
         known, value = tree.column("key").to_numpy().view(U), tree.column("value").to_numpy()
         order = np.argsort(known)
-        known, value = np.append(known[order], ~U(0)), np.append(value[order], 0.0)
+        known, value = np.append(known[order], ~U(0)), np.append(value[order].astype(float), 0.0)
         chunks, places, sums = [], [], []
         for chunk, raw, at in zip(texts.column("chunk").to_pylist(), texts.column("runs").to_pylist(), texts.column("places").to_pylist(), strict=True):
             key, place = keys.unpack([raw]), np.frombuffer(at, np.uint16)
@@ -474,28 +474,29 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keys, words, levels, sets = grow_tree(source.where(~held_out()).select("text"), depth, least, divergence)
-    size, kinds, ends = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
-    size, ends = size or 0, ends or 0
-    whole = size + 0.5 * (kinds + 1)
-    log = lambda c: float(np.log10((c + 0.5) / whole))
-    slots, logs = np.zeros(HEAD_SLOTS, U), np.zeros(HEAD_SLOTS)
-    table = _frequent(words, HEAD_WORDS).where(F.col("word") != END_WORD).select("word", "n").toArrow()
-    word, n = table.column("word").to_numpy().view(U), table.column("n").to_numpy()
-    slot = (word & U(HEAD_SLOTS - 1)).astype(np.int64)
-    slots[slot], logs[slot] = word, np.log10((n + 0.5) / whole)
-    head = share((slots, logs))
-
-    values = write_scratch(tree_values(levels), "tree")
-    for level in levels:
-        drop_scratch(level)
-    run_slots, run_values = np.full(RUN_SLOTS, ~U(0)), np.zeros(RUN_SLOTS)  # no key has 64 bits
-    table = _frequent(values, HEAD_RUNS).toArrow()
-    order = np.argsort(table.column("n").to_numpy(), kind="stable")  # of two in one slot the more frequent stays
-    run, value = table.column("key").to_numpy().view(U)[order], table.column("value").to_numpy()[order]
-    slot = _slot(run, RUN_SLOTS)
-    run_slots[slot], run_values[slot] = run, value
-    valued = share(key_set(keys, values, values.count()))
+    with shuffles_removed(spark):
+        keys, words, levels, sets = grow_tree(source.where(~held_out()).select("text"), depth, least, divergence)
+        size, kinds, ends = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
+        size, ends = size or 0, ends or 0
+        whole = size + 0.5 * (kinds + 1)
+        log = lambda c: float(np.log10((c + 0.5) / whole))
+        slots, logs = np.zeros(HEAD_SLOTS, U), np.zeros(HEAD_SLOTS)
+        table = _frequent(words, HEAD_WORDS).where(F.col("word") != END_WORD).select("word", "n").toArrow()
+        word, n = table.column("word").to_numpy().view(U), table.column("n").to_numpy()
+        slot = (word & U(HEAD_SLOTS - 1)).astype(np.int64)
+        slots[slot], logs[slot] = word, np.log10((n + 0.5) / whole)
+        head = share((slots, logs))
+
+        values = write_scratch(tree_values(levels), "tree")
+        for level in levels:
+            drop_scratch(level)
+        run_slots, run_values = np.full(RUN_SLOTS, ~U(0)), np.zeros(RUN_SLOTS)  # no key has 64 bits
+        table = _frequent(values, HEAD_RUNS).toArrow()
+        order = np.argsort(table.column("n").to_numpy(), kind="stable")  # of two in one slot the more frequent stays
+        run, value = table.column("key").to_numpy().view(U)[order], table.column("value").to_numpy()[order]
+        slot = _slot(run, RUN_SLOTS)
+        run_slots[slot], run_values[slot] = run, value
+        valued = share(key_set(keys, values, values.count()))
 
     rows = source.select("doc_id", held_out().alias("held_out"), "text")
     fields = rows.schema
