@@ -38,9 +38,9 @@ DEPTH = 3
 LEAST_COUNT = 2
 DIVERGENCE = 1.5
 #: Most words in the head table, and its slots (a word that finds its slot taken counts as tail).
-HEAD_WORDS, HEAD_SLOTS = 1 << 18, 1 << 20
+HEAD_WORDS, HEAD_SLOTS = 1 << 17, 1 << 18
 #: The same for runs.
-HEAD_RUNS, RUN_SLOTS = 1 << 19, 1 << 21
+HEAD_RUNS, RUN_SLOTS = 1 << 18, 1 << 19
 END_WORD = 0
 #: Runs a task holds before it counts them and hands them on, and runs in a bucket.
 HELD, BUCKET = 1_000_000, 1_000_000
@@ -263,7 +263,7 @@ def _level(now: DataFrame, below: DataFrame, total: int, divergence: float, root
     whole, rest = F.col("whole"), F.col("whole") - F.col("held")
     gain = F.col("gain") + F.col("held") * F.log(F.col("above_whole") / whole)
     other = F.when(rest > 0, rest * F.log((rest / whole) / F.greatest(1 - F.col("above") / F.col("above_whole"), F.lit(1e-9)))).otherwise(0.0)
-    retained = of.where(gain + other >= divergence * (F.col("kinds") + (rest > 0).cast("int"))).select("prefix", "whole", (1 - (F.col("held") - F.col("kinds")) / whole).alias("keep"))
+    retained = of.where(gain + other >= divergence * (F.col("kinds") + (rest > 0).cast("int"))).select("prefix", "whole", (1 - (F.col("held") - F.col("kinds")) / whole).alias("keep")).where("keep > 0")  # two runs of one key, a few in 10^8, could leave nothing
     joined = full.join(retained.hint("shuffle_hash"), "prefix", "left")
     left = F.col("keep") * F.col("above_chance")
     chance = F.when(F.col("keep").isNotNull(), (n - 1) / whole + left).otherwise(F.col("above_chance"))
@@ -490,7 +490,7 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
         values = write_scratch(tree_values(levels), "tree")
         for level in levels:
             drop_scratch(level)
-        run_slots, run_values = np.full(RUN_SLOTS, ~U(0)), np.zeros(RUN_SLOTS)  # no key has 64 bits
+        run_slots, run_values = np.full(RUN_SLOTS, ~U(0)), np.zeros(RUN_SLOTS, np.float32)  # no key has 64 bits
         table = _frequent(values, HEAD_RUNS).toArrow()
         order = np.argsort(table.column("n").to_numpy(), kind="stable")  # of two in one slot the more frequent stays
         run, value = table.column("key").to_numpy().view(U)[order], table.column("value").to_numpy()[order]
