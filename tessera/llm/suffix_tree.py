@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import drop_scratch, list_array, shuffles_removed, utf8, write_scratch
 from tessera.llm.words import LOWER, U, mix, word_blocks
 
-DEPTH = 3
+#: Symbols of the longest contexts; three give 0.012 more log10 a token of held-out text at sf0.1, for half as many runs more.
+DEPTH = 2
 #: Fewest occurrences of a retained run, whatever the size of the corpus.
 LEAST_COUNT = 2
 DIVERGENCE = 1.5
@@ -267,7 +268,7 @@ def _level(now: DataFrame, below: DataFrame, total: int, divergence: float, root
     joined = full.join(retained.hint("shuffle_hash"), "prefix", "left")
     left = F.col("keep") * F.col("above_chance")
     chance = F.when(F.col("keep").isNotNull(), (n - 1) / whole + left).otherwise(F.col("above_chance"))
-    return joined.select("key", "n", "above_n", chance.alias("chance"), F.when(F.col("keep").isNotNull(), F.col("prefix")).alias("context"), "keep", F.log10(chance / left).cast("float").alias("gain"))
+    return joined.select("key", "n", "above_n", chance.cast("float").alias("chance"), F.when(F.col("keep").isNotNull(), F.col("prefix")).alias("context"), F.col("keep").cast("float").alias("keep"), F.log10(chance / left).cast("float").alias("gain"))
 
 
 def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergence: float = DIVERGENCE) -> tuple[Keys, DataFrame, list[DataFrame], list]:
@@ -284,12 +285,12 @@ def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, di
     below = below.withColumns({"above_n": F.lit(total), "chance": (F.col("n") + 0.5) / F.lit(float(total + 0.5 * (kinds + 1)))})
     levels, sets, passes = [], [], [None]
     for length in range(2, depth + 2):
-        now = both.where("prefix != 0") if length == 2 else _counted(texts, keys, length, passes, least=least)
-        level = write_scratch(_level(now, below, total, divergence, length == 2), "level")
+        if length > 2:
+            both = write_scratch(_counted(texts, keys, length, passes, least=least), "counts")
+        level = write_scratch(_level(both.where("prefix != 0"), below, total, divergence, length == 2), "level")
         levels.append(level)
         below = level
-        if length == 2:
-            drop_scratch(both)
+        drop_scratch(both)
         if length <= depth:
             held = spark.sparkContext.broadcast(key_set(keys, level, level.count()))
             sets.append(held)
@@ -303,7 +304,7 @@ def tree_values(levels: list[DataFrame]) -> DataFrame:
     parts = []
     for level in levels:
         rows = level.where("context IS NOT NULL")
-        parts.append(rows.select("key", F.col("gain").cast("double").alias("gain"), none.cast("double").alias("keep"), "n"))
+        parts.append(rows.select("key", F.col("gain").cast("double").alias("gain"), none.cast("float").alias("keep"), "n"))
         parts.append(rows.select(F.col("context").alias("key"), none.cast("double").alias("gain"), "keep", "n"))
     out = parts[0]
     for part in parts[1:]:
