@@ -44,7 +44,9 @@ HEAD_WORDS, HEAD_SLOTS = 1 << 17, 1 << 18
 HEAD_RUNS, RUN_SLOTS = 1 << 18, 1 << 19
 END_WORD = 0
 #: Runs a task holds before it counts them and hands them on, and runs in a bucket.
-HELD, BUCKET = 1_000_000, 1_000_000
+HELD, BUCKET = 400_000, 1_000_000
+#: Texts whose words are hashed from one copy of their bytes.
+SLICE = 1 << 10
 #: Bytes of text a run is reckoned to take, and from which on keys are wider.
 RUN_BYTES, WIDE_BYTES = 6, 1 << 34
 #: Bits of a key filter: so many a key, at most so many.
@@ -195,10 +197,9 @@ def _count_runs(keys: Keys, length: int, passes: list, with_words: bool):
             held.clear(), words.clear()
             return _rows(fed)
 
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            data = LOWER[data]
-            for _, _, hashes, ends, _ in word_blocks(data, offsets):
+        for text_column in (b.column(0).slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            data, offsets = utf8(text_column)
+            for _, _, hashes, ends, _ in word_blocks(LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]):
                 stream, text = symbols(hashes, ends)
                 levels = runs(keys, stream, text, tests)
                 if length > 1:
@@ -343,7 +344,7 @@ def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 #: Rows scored side by side; their places fit 16 bits.
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 
 
 def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, valued, head_runs, head, end_base: float):
@@ -362,7 +363,7 @@ def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, val
                 batch = whole.slice(at, CHUNK)
                 n = batch.num_rows
                 data, offsets = utf8(batch.column(names.index("text")))
-                data = LOWER[data]
+                data, offsets = LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
                 tokens, known, base, added = np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, end_base), np.zeros(n)
                 words, times, many, rest_runs, rest_places = [], [], np.zeros(n, np.int64), [], []
                 for i, j, hashes, ends, _ in word_blocks(data, offsets):
