@@ -44,7 +44,7 @@ HEAD_WORDS, HEAD_SLOTS = 1 << 17, 1 << 18
 HEAD_RUNS, RUN_SLOTS = 1 << 18, 1 << 19
 END_WORD = 0
 #: Runs a task holds before it counts them and hands them on, and runs in a bucket.
-HELD, BUCKET = 400_000, 1_000_000
+HELD, BUCKET = 200_000, 1_000_000
 #: Texts whose words are hashed from one copy of their bytes.
 SLICE = 1 << 10
 #: Bytes of text a run is reckoned to take, and from which on keys are wider.
@@ -344,7 +344,7 @@ def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 #: Rows scored side by side; their places fit 16 bits.
-CHUNK = 1 << 12
+CHUNK = 1 << 11
 
 
 def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, valued, head_runs, head, end_base: float):
