@@ -17,17 +17,22 @@ def lines(df: DataFrame, text: str = "text", number: str = "line_no", line: str
     return df.select(*rest, F.posexplode(F.split(text, "\n")).alias("_p", line)).withColumn(number, F.col("_p") + 1).drop("_p")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda a plain column would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without_repeated_lines(text: Column, least: int = 3, longer_than: int = 2) -> Column:
     """Drop lines that, trimmed and longer than two characters, occur three times or more in the text.
 
     Counts come from the sorted list of the text's own lines, so the operator is one
     expression and a text never leaves its row.
     """
-    each = F.split(text, "\n")
-    trimmed = F.array_sort(F.filter(F.transform(each, lambda x: F.trim(x)), lambda x: F.length(x) > longer_than))
+    trimmed = lambda each: F.array_sort(F.filter(F.transform(each, lambda x: F.trim(x)), lambda x: F.length(x) > longer_than))
     # in a sorted list a line occurs ``least`` times if it equals the one ``least - 1`` places on
-    often = F.array_distinct(F.filter(trimmed, lambda x, i: x == F.get(trimmed, i + (least - 1))))
-    return F.array_join(F.filter(each, lambda x: ~F.array_contains(often, F.trim(x))), "\n")
+    often = lambda rows: F.array_distinct(F.filter(rows, lambda x, i: x == F.get(rows, i + (least - 1))))
+    kept = lambda each, many: F.array_join(F.filter(each, lambda x: ~F.array_contains(many, F.trim(x))), "\n")
+    return let(F.split(text, "\n"), lambda each: let(let(trimmed(each), often), lambda many: kept(each, many)))
 
 
 HEADING_MOST = 100
@@ -155,14 +160,16 @@ def quote_locations(documents: DataFrame, quotes: DataFrame, lead_words: int = 4
     """(doc_id, item_id): documents whose space-normalized text contains a quote's.
 
     Blocked by the hash of the quote's first words: every document offers the distinct
-    hashes of its word runs, only those that some quote has are kept, and the text is
-    compared after the equality join.
+    hashes of its word runs, and only these travel; texts are fetched for the pairs whose
+    hashes meet, and compared. doc_id names one text.
     """
     norm = lambda c: F.trim(F.regexp_replace(c, r"[ \t\n\r]+", " "))
     q = quotes.select("item_id", norm(F.col("text")).alias("quote")).where("quote != ''")
     q = q.withColumn("lead", F.xxhash64(F.array_join(F.slice(F.split("quote", " "), 1, lead_words), " ")))
     d = documents.select("doc_id", norm(F.col("text")).alias("whole"))
-    words = F.split("whole", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (lead_words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, lead_words), " ")))
-    keys = d.select("doc_id", "whole", F.explode(F.array_distinct(runs)).alias("lead"))
-    return keys.join(q, "lead").where(F.contains(F.col("whole"), F.col("quote"))).select("doc_id", "item_id").distinct()
+    run = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, lead_words), " "))
+    runs = let(F.split("whole", " "), lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (lead_words - 1), F.lit(1))), lambda i: run(words, i)))
+    keys = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("lead"))
+    met = keys.join(q.select("item_id", "lead"), "lead").select("doc_id", "item_id").distinct()
+    pairs = met.join(q.select("item_id", "quote"), "item_id")
+    return pairs.join(d, "doc_id").where(F.contains(F.col("whole"), F.col("quote"))).select("doc_id", "item_id").distinct()

@@ -104,8 +104,8 @@ def identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, CAST(ts AS DATE) AS day FROM events), a AS (SELECT *, min(CASE WHEN event_type = 'signup' AND value > 60 THEN day END) OVER (PARTITION BY user_id) AS a0 FROM o), f AS (SELECT *, day - a0 AS d FROM a WHERE NOT (event_type = 'signup' AND value > 60))
-  SELECT user_id, event_type AS organ, count(*) AS findings, count_if(d < 0) AS before, count_if(d BETWEEN 0 AND 14) AS early, count_if(d BETWEEN 15 AND 112) AS middle, count_if(d BETWEEN 113 AND 365) AS late, count_if(d > 365) AS very_late,
-    count_if(d IS NULL) AS undated, min(CASE WHEN d >= 0 THEN day END) AS first_after FROM f GROUP BY ALL""")
+  SELECT user_id, event_type AS organ, count(*) AS findings, count(*) FILTER (WHERE d < 0) AS before, count(*) FILTER (WHERE d BETWEEN 0 AND 14) AS early, count(*) FILTER (WHERE d BETWEEN 15 AND 112) AS middle, count(*) FILTER (WHERE d BETWEEN 113 AND 365) AS late, count(*) FILTER (WHERE d > 365) AS very_late,
+    count(*) FILTER (WHERE d IS NULL) AS undated, min(CASE WHEN d >= 0 THEN day END) AS first_after FROM f GROUP BY ALL""")
 def toxicity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = observations(spark, sf_dir).withColumn("organ", F.col("event_type"))
     return toxicity.report(df, "user_id", "day", (F.col("event_type") == "signup") & (F.col("value") > 60), "organ")

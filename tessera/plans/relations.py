@@ -87,8 +87,8 @@ def graph_degree_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree_capped(_related(spark, sf_dir).select("user_id", "a", "b", F.round("priority", 6).alias("priority")), "user_id", "priority", 3)
 
 
-@query(_RULE + """, o AS (SELECT b AS x, a AS y, CASE WHEN (a + b) % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS decision FROM f WHERE (a + b) % 5 = 0)
-  SELECT a, b, CASE decision WHEN 'accepted' THEN 'must_link' WHEN 'rejected' THEN 'cannot_link' ELSE effect END AS effect, CASE WHEN decision IS NULL THEN weight ELSE 1.0 END AS weight FROM f LEFT JOIN o ON x = b AND y = a""")
+@query(_RULE + """ SELECT a, b, CASE WHEN (a + b) % 5 <> 0 THEN effect WHEN (a + b) % 2 = 0 THEN 'must_link' ELSE 'cannot_link' END AS effect,
+  CASE WHEN (a + b) % 5 <> 0 THEN weight ELSE 1.0 END AS weight FROM f""")
 def human_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     auto = _related(spark, sf_dir).select("a", "b", "effect", "weight")
     said = F.when((F.col("a") + F.col("b")) % 2 == 0, "accepted").otherwise("rejected")
