@@ -8,9 +8,13 @@ task folds the pages it reads into one wrapper a host, those are merged in two s
 and no task ever holds a host's pages. Each slot carries how many pages fill it, how
 much text and link text it held, and whether that text ever varied.
 
-A host's wrapper decides where the article is: its article or main element, else the
-element that holds most of the varying text outside links. Slots in menus, headers,
-footers, sidebars, notices, adverts, forms and comments are left out.
+A host's wrapper decides what is article text. Where: its article or main element, else
+the element that holds most of the varying text outside links. What there: a slot whose
+text never varied and that the expression has on every page, once, is the template's and
+left out; constant text in optional or repeated items stays. Elements, roles and whole
+class names of menus, headers, footers, sidebars, notices, adverts, forms and comments
+are left out; where only a part of a class name or an id says so, the wrapper decides: a
+slot that never varied, or that holds mostly links, is left out.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,33 +43,43 @@ NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc skip toolbar header masthead topbar footer foot colophon copyright sidebar aside rail widget widgets related recommended recommendations "
     "more-from share sharing social follow newsletter subscribe subscription signup login search comment comments commentlist disqus respond reply replies discussion feedback".split()
 )
+#: Elements whose names count: containers, not paragraphs.
+NAMED = frozenset("div section ul ol dl table figure center details span".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 MAIN_NAMES = frozenset("main-content maincontent article-body articlebody article-content entry-content post-content post-body story-body".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements nested deeper belong to the one at this depth; no text is lost.
+DEEPEST = 64
+#: Pages a host needs before a text that never varied counts as the template's, and the link share of a menu.
+FIXED_PAGES, LINKED = 3, 0.5
+#: Labels that are compared one by one by a whole table; longer runs are anchored.
+TABLE = 40_000
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A tag's label (with class and id, numbers blanked), whether it is left out, whether it names the article."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """A tag's label (with class and id, numbers blanked), whether it is left out, may be, or names the article."""
     if not attributes.strip():
-        return tag, tag in LEFT_OUT, tag in ("article", "main")
-    out, main, names = tag in LEFT_OUT, tag in ("article", "main"), []
+        return tag, tag in LEFT_OUT, False, tag in ("article", "main")
+    out, maybe, main, names = tag in LEFT_OUT, False, tag in ("article", "main"), []
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
             words = value.split()
             names += [re.sub(r"\d+", "0", w) for w in words]
-            parts = set(words) | {p for w in words if not re.match(r"(with|without|has|no)[-_]", w) for p in re.split(r"[-_]+", w)}
+            parts = {p for w in words if not re.match(r"(with|without|has|no)[-_]", w) for p in re.split(r"[-_]+", w)}
             main |= not MAIN_NAMES.isdisjoint(words)
-            out |= tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(parts) and MAIN_NAMES.isdisjoint(words)
+            if tag in NAMED and MAIN_NAMES.isdisjoint(words):
+                out |= not NAMES.isdisjoint(words)
+                maybe |= not NAMES.isdisjoint(parts)
         elif key == "role":
             out |= value in ROLES
             main |= value in ("main", "article")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             out = True
-    return ".".join([tag, *sorted(set(names))]), out, main
+    return ".".join([tag, *sorted(set(names))]).replace("/", "_"), out, maybe and not out, main
 
 
 class Page:
@@ -120,12 +136,14 @@ class Page:
                         break
                     if stack[k][0] in within:
                         break
-            label, out, main = _label(tag, m[3])
+            label, out, maybe, main = _label(tag, m[3])
             _, path, above, children, link = stack[-1]
             out |= tag == "header" and "*" not in path  # an article's own header holds its title
-            here = f"{path}/{'*' if main else ''}{label}"
-            inner: list = []
-            if not (out or above):
+            label = f"{'*' if main else ''}{'~' if maybe else ''}{label}"
+            here, inner = f"{path}/{label}", []
+            if len(stack) > DEEPEST:
+                here, inner = path, children
+            elif not (out or above):
                 children.append([label, "1", inner])
             stack.append((tag, here, out or above, inner, link or tag == "a"))
         text(size)
@@ -169,26 +187,85 @@ def align(a: list, b: list) -> list:
     """Longest common subsequence of labels; what only one side has becomes optional."""
     if not a and not b:
         return []
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    pairs = matched([x[0] for x in a], [x[0] for x in b])
     out, i, j = [], 0, 0
     lone = lambda x: [x[0], _both(x[1], "?"), x[2]]
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(lone(a[i]))
-            i += 1
-        else:
-            out.append(lone(b[j]))
-            j += 1
+    for p, q in [*pairs, (len(a), len(b))]:
+        out += [lone(x) for x in a[i:p]] + [lone(x) for x in b[j:q]]
+        if p < len(a):
+            out.append(merge(a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal labels in rising order: a longest common subsequence; of runs whose table would pass TABLE, one anchored at labels that both have once."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ends = [(i, i) for i in range(head)], [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, m = len(x), len(y)
+    if n * m > TABLE:
+        inner = _anchored(x, y)
+    else:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        inner, i, j = [], 0, 0
+        while i < n and j < m:
+            if x[i] == y[j]:
+                inner.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return ends[0] + [(i + head, j + head) for i, j in inner] + ends[1]
+
+
+def _anchored(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Longest rising run of labels that both sides have once; what lies between two anchors is aligned by itself."""
+    count, other = Counter(x), Counter(y)
+    at = {label: j for j, label in enumerate(y) if other[label] == 1}
+    once = [(i, at[label]) for i, label in enumerate(x) if count[label] == 1 and label in at]
+    last, back, tops = [], [], []
+    for k, (_, j) in enumerate(once):
+        to = bisect_left(tops, j)
+        tops[to : to + 1], last[to : to + 1] = [j], [k]
+        back.append(last[to - 1] if to else -1)
+    run, k = [], last[-1] if last else -1
+    while k >= 0:
+        run.append(once[k])
+        k = back[k]
+    out, i, j = [], 0, 0
+    for p, q in [*reversed(run), (len(x), len(y))]:
+        if (p - i) * (q - j) <= TABLE:
+            out += [(i + u, j + v) for u, v in matched(x[i:p], y[j:q])]
+        if p < len(x):
+            out.append((p, q))
+        i, j = p + 1, q + 1
     return out
 
 
+def mandatory(items: list) -> set[str]:
+    """Paths of items that the expression has once on every page."""
+    found, waiting = set(), [("", items)]
+    while waiting:
+        path, inside = waiting.pop()
+        for label, times, inner in inside:
+            if times == "1" and label[:1] != "(":
+                here = path if label == "#" else f"{path}/{label}"
+                if label == "#":
+                    found.add(path)
+                waiting.append((here, inner))
+    return found
+
+
 def expression(items: list) -> str:
     """A wrapper as a union-free regular expression over tags."""
     return " ".join(("" if x[0][:1] == "(" else x[0]) + (f"({expression(x[2])})" if x[2] else "") + (x[1] if x[1] != "1" else "") for x in items)
@@ -202,8 +279,10 @@ class Wrapper:
 
     def add(self, page: Page) -> None:
         items = fold(page.root[2])
-        shape = json.dumps(items)
+        shape = hash_text(json.dumps(items))
         if shape not in self.shapes:
+            if len(self.shapes) > 10_000:  # a shape that comes again is aligned again, which changes nothing
+                self.shapes.clear()
             self.shapes.add(shape)
             self.items = items if self.items is None else align(self.items, items)
         own: dict[str, list] = {}
@@ -238,11 +317,25 @@ class Wrapper:
     def load(cls, text: str) -> Wrapper:
         return cls(*json.loads(text))
 
+    def template(self) -> list[str]:
+        """Paths of slots that are not the article's: constant and on every page once; or named like furniture, and constant or mostly links."""
+        always = mandatory(self.items or [])
+        many = self.pages >= FIXED_PAGES and any(fixed is None for _, _, _, fixed in self.slots.values())
+        fixed_slot = lambda path, n, fixed: many and n >= FIXED_PAGES and fixed is not None
+        out = []
+        for path, (n, chars, links, fixed) in self.slots.items():
+            named = "/~" in path or "/*~" in path
+            if fixed_slot(path, n, fixed) and (path in always and n == self.pages or named) or named and links > LINKED * chars:
+                out.append(path)
+        return sorted(out)
+
     def article(self) -> str:
         """The path prefix that holds the article."""
         marked: dict[str, int] = {}
         for path, (_, chars, links, _) in self.slots.items():
             parts = path.split("/")
+            if any(p.startswith("~") for p in parts):
+                continue
             for tag in ("*article", "*"):
                 k = next((k for k, p in enumerate(parts) if p.startswith(tag)), None)
                 if k is not None:
@@ -273,13 +366,15 @@ def within(path: str, prefix: str) -> bool:
     return path == prefix or path.startswith(prefix + "/") or not prefix
 
 
-def main_text(page: Page, prefix: str) -> str:
-    """The page's blocks inside ``prefix``, in order; a page without any goes by its own wrapper."""
-    chosen = [x for x in page.texts if within(x[0], prefix)]
+def main_text(page: Page, prefix: str, template: list[str] | None = None) -> str:
+    """The page's blocks inside ``prefix`` but for the template's, in order; a page without any goes by its own wrapper."""
+    left_out = set(template or ())
+    chosen = [x for x in page.texts if within(x[0], prefix) and x[0] not in left_out]
     if not any(not x[1].isspace() for x in chosen):
         alone = Wrapper()
         alone.add(page)
-        chosen = [x for x in page.texts if within(x[0], alone.article())]
+        prefix, left_out = alone.article(), set(alone.template())
+        chosen = [x for x in page.texts if within(x[0], prefix) and x[0] not in left_out]
     blocks: list[list[str]] = []
     last = None
     for _, piece, block, _ in chosen:
@@ -332,27 +427,31 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host", "salt").applyInArrow(_merge_wrappers, _WRAPPED).groupBy("host").applyInArrow(_merge_wrappers, _WRAPPED).select("host", "wrapper")
 
 
-@F.arrow_udf(T.StructType([T.StructField("article", T.StringType()), T.StructField("expression", T.StringType()), T.StructField("pages", T.LongType())]))
+_DESCRIBED = T.StructType([T.StructField("article", T.StringType()), T.StructField("template", T.ArrayType(T.StringType())), T.StructField("expression", T.StringType()), T.StructField("pages", T.LongType())])
+
+
+@F.arrow_udf(_DESCRIBED)
 def described(wrapper: pa.Array) -> pa.Array:
     made = [Wrapper.load(w.as_py()) for w in wrapper]
-    return pa.StructArray.from_arrays([pa.array([w.article() for w in made], pa.string()), pa.array([expression(w.items or []) for w in made], pa.string()), pa.array([w.pages for w in made], pa.int64())], ["article", "expression", "pages"])
+    columns = [pa.array([w.article() for w in made], pa.string()), pa.array([w.template() for w in made], pa.list_(pa.string())), pa.array([expression(w.items or []) for w in made], pa.string()), pa.array([w.pages for w in made], pa.int64())]
+    return pa.StructArray.from_arrays(columns, _DESCRIBED.names)
 
 
 @F.arrow_udf(T.StringType())
-def article_text(source: pa.Array, prefix: pa.Array) -> pa.Array:
-    return pa.array([main_text(Page(s.as_py()), p.as_py() or "") if s.is_valid else "" for s, p in zip(source, prefix, strict=True)], pa.string())
+def article_text(source: pa.Array, prefix: pa.Array, template: pa.Array) -> pa.Array:
+    return pa.array([main_text(Page(s.as_py()), p.as_py() or "", t.as_py()) if s.is_valid else "" for s, p, t in zip(source, prefix, template, strict=True)], pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
     A null or empty html, or one without article text, gives an empty text. Rows with a
-    null or odd url share the empty host. Repeated rows are extracted alike. An empty
+    null or odd url share the empty host. Elements may nest and pages run on without bound. Repeated rows are extracted alike. An empty
     table gives an empty result; other columns are ignored.
     """
     source = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     wrappers = infer_wrappers(source).select("host", described("wrapper").alias("d"))
     found = write_scratch(wrappers.select("host", "d.*"), "wrappers")
-    joined = source.join(found.select("host", "article"), "host", "left")
-    text = joined.select("page_id", "url", article_text("html", "article").alias("text"))
+    joined = source.join(found.select("host", "article", "template"), "host", "left")
+    text = joined.select("page_id", "url", article_text("html", "article", "template").alias("text"))
     return text.withColumn("n_chars", F.char_length("text").cast("long"))
