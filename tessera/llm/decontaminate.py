@@ -11,14 +11,17 @@ computed exactly; two hits whose places differ, as words were inserted or left o
 between them, also propose the span from the one's start to the other's end, if it has
 SHORTEST to LONGEST times the item's words. Words are compared with A-Z as a-z.
 
-Documents never shuffle: detection is one expression over their text. The items travel
-to the tasks in blocks of at most BLOCK_WORDS words; more items take more blocks.
+Documents never shuffle: detection is one expression over their text. The items are
+taken in blocks of about BLOCK_WORDS words, one block after another: the driver and the
+tasks hold one block's index at a time, and a benchmark of more blocks takes more passes
+over the documents.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import utf8
+from tessera.llm.common import utf8, write_scratch
 from tessera.llm.words import LOWER, U, shingles, word_blocks
 
 RADIUS = 3
@@ -189,37 +192,58 @@ def _matches_udf(index: ItemIndex, ids: list[int | None], threshold: float):
     return detect
 
 
+_NO_MATCHES = "array<struct<item_id:bigint,similarity:double,start_word:bigint>>"
+
+
+def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, item_col: str = "item_id", item_text: str = "text") -> tuple[int, Iterator]:
+    """How many blocks the distinct items make, and the blocks' expressions (a text to its matches), each made when it is asked for."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"), (F.size(F.split(F.col(item_text), r"[ \t-\r]+")) + 1).alias("words")).where("text is not null and text != ''").distinct()
+    total = items.agg(F.sum("words")).first()[0] or 0
+    blocks = -(-total // block_words)
+
+    def made():
+        for block in range(blocks):
+            rows = sorted((r[0] if r[0] is not None else -1, r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).select("item", "text").collect())
+            if rows:
+                yield _matches_udf(ItemIndex([r[2] for r in rows]), [r[1] for r in rows], threshold)
+
+    return blocks, made()
+
+
 def matches_column(benchmark: DataFrame, text: Column | str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, item_col: str = "item_id", item_text: str = "text") -> Column:
     """An array column of (item_id, similarity, start_word) over a document's whole text.
 
     One entry for each item that some window of the document matches with a similarity
     of ``threshold`` or more, at its best place. A null or empty text matches nothing; an
     item without words matches nothing; an empty benchmark gives empty arrays; equal
-    items each match. The items are taken in blocks of at most ``block_words`` words
-    (one longer item has a block of its own).
+    items of different ids each match. All blocks of items stand in one expression, so
+    this form is for benchmarks of a few blocks; contaminated() and clean() take any.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"), (F.size(F.split(F.col(item_text), r"[ \t-\r]+")) + 1).alias("words")).where("text is not null and text != ''")
-    total = items.agg(F.sum("words")).first()[0] or 0
-    blocks = -(-total // block_words)
-    columns = []
-    for block in range(blocks):
-        rows = sorted((r[0] if r[0] is not None else -1, r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).select("item", "text").collect())
-        if rows:
-            columns.append(_matches_udf(ItemIndex([r[2] for r in rows]), [r[1] for r in rows], threshold)(text))
-    empty = F.array().cast("array<struct<item_id:bigint,similarity:double,start_word:bigint>>")
-    return reduce(F.concat, columns) if columns else empty
+    columns = [match(text) for match in item_blocks(benchmark, threshold, block_words, item_col, item_text)[1]]
+    return reduce(F.concat, columns) if columns else F.array().cast(_NO_MATCHES)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, similarity, start_word: one row for each document row and benchmark item it holds.
 
     Documents without a match have no row. Repeated rows and null ids are reported as
-    they come; other columns are ignored; empty tables give an empty result.
+    they come; repeated items count once; other columns are ignored; empty tables give an
+    empty result.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(matches_column(benchmark, threshold=threshold)).alias("m"))
-    return found.select("doc_id", "m.item_id", "m.similarity", "m.start_word")
+    blocks, matches = item_blocks(benchmark, threshold, block_words)
+    parts = []
+    for match in matches:
+        found = docs.select(F.col(id_col).alias("doc_id"), F.explode(match("text")).alias("m")).select("doc_id", "m.item_id", "m.similarity", "m.start_word")
+        parts.append(found if blocks == 1 else write_scratch(found, "found"))
+    nothing = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array().cast(_NO_MATCHES)).alias("m")).select("doc_id", "m.item_id", "m.similarity", "m.start_word")
+    return reduce(DataFrame.unionByName, parts) if parts else nothing
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    return docs.where(F.size(matches_column(benchmark, docs["text"], threshold)) == 0)
+    blocks, matches = item_blocks(benchmark, threshold, block_words)
+    for at, match in enumerate(matches):
+        docs = docs.where(F.size(match(docs["text"])) == 0)
+        if at + 1 < blocks:
+            docs = write_scratch(docs, "clean")
+    return docs

@@ -2,7 +2,7 @@
 
 Documents are tokenised where they are read; ids travel as 16- or 32-bit little-endian
 integers. Overlong documents are cut losslessly into pieces of the capacity. Pieces are
-dealt by a hash into groups of about GROUP_BYTES of text, and each group packs its
+dealt by a hash of their row's place in the table into groups of about GROUP_BYTES of text, and each group packs its
 pieces on its own: the longest first, each into the open row with the least sufficient
 room, which a segment tree over room sizes finds in logarithmic time.
 """
@@ -86,12 +86,12 @@ _ROWS = T.StructType(
 )
 
 
-def id_pieces_udf(capacity: int, vocabulary: str, end_id: int, width: int):
+def id_pieces_udf(capacity: int, vocabulary: str, end_id: int, width: int, special: bool = False):
     code = {2: "H", 4: "I"}[width]
 
     @F.arrow_udf(_PIECES)
     def pieces(text: pa.Array) -> pa.Array:
-        encode, counts, starts, parts = encoder(vocabulary), [], [], []
+        encode, counts, starts, parts = encoder(vocabulary, special), [], [], []
         for value in text:
             ids = array(code, encode(value.as_py() or ""))
             ids.append(end_id)
@@ -106,21 +106,22 @@ def id_pieces_udf(capacity: int, vocabulary: str, end_id: int, width: int):
     return pieces
 
 
-def packed_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, pad_id: int = PAD_ID, width: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def packed_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, pad_id: int = PAD_ID, width: int = 2, text_col: str = "text", id_col: str = "doc_id", special: bool = False) -> DataFrame:
     """One row for each row of the packed id matrix.
 
     row_id (unique, no order), n_tokens, ids (``capacity`` ids of ``width`` bytes, padded
     by ``pad_id``), cu_seqlens (0 and each segment's end), position_resets (where position
     ids start again from 0; the padding counts as one more segment), doc_ids and starts (of
     each segment, the place in its document). Concatenating a document's segments by start
-    gives its ids and the end id. A null or empty text is one end id; null ids and repeated
+    gives its ids and the end id. ``docs`` is a table, whose files give the same rows
+    each time they are read; equal rows spread over the groups. A null or empty text is one end id; null ids and repeated
     rows are packed like any others; an empty table gives an empty result; other columns
     are ignored.
     """
     size = docs.agg(F.sum(F.octet_length(text_col) + 8)).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(id_pieces_udf(capacity, vocabulary, end_id, width)(text_col)).alias("p")).select("doc_id", "p.start", "p.ids")
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
+    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(id_pieces_udf(capacity, vocabulary, end_id, width, special)(text_col)).alias("p")).select("doc_id", "p.start", "p.ids")
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table.column("ids").to_pylist()

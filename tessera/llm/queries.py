@@ -17,7 +17,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_rows(table(spark, sf_dir, "documents"))
+    return packing.packed_rows(table(spark, sf_dir, "documents"), special=True)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_packing.best_fit_sequences(table(spark, sf_dir, "documents"))
+    return vector_packing.best_fit_sequences(table(spark, sf_dir, "documents"), special=True)
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 Documents are cut into pieces where they are tokenised; only piece lengths travel.
 Pieces that fill a sequence alone never move. The others are dealt by a hash of their
-position into groups of about GROUP_PIECES (so no group grows with the input, whatever
-the keys), and each group packs its pieces by decreasing length: among the open
+row's place in the written table into groups of about GROUP_PIECES (so no group grows
+with the input, and equal rows spread), and each group packs its pieces by decreasing length: among the open
 sequences that keep within every capacity the one with the least weighted residual norm
 (or the greatest weighted dot product of demand and residual) takes the piece. Each
 group leaves at most a few sequences open, out of about four thousand.
+
+With the query's own limits (1024 documents, the square of 1024 as attention cost) the
+token limit implies the other two; smaller ones bind, as for an engine whose attention
+cost is bounded below a full sequence's.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first))] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def pieces_udf(capacity: int = TOKENS, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID):
+def pieces_udf(capacity: int = TOKENS, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, special: bool = False):
     @F.arrow_udf(PIECES)
     def pieces(text: pa.Array) -> pa.Array:
         counts, out = [], []
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special)
         for value in text:
             ids = array("I", encode(value.as_py() or ""))
             ids.append(end_id)
@@ -110,19 +114,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = TOKENS, max_documents: int =
         number, at = vector_best_fit(rows["length"].to_numpy(), caps, weights, rule)
         return rows.drop(columns="_group").assign(sequence_id=(number * groups + key[0]) * 2, offset=at)[schema.names]
 
-    salt = F.pmod(F.xxhash64(*[c for c in pieces.columns if c in ("row_id", "doc_id", "piece", "start", "ids_crc32")]), F.lit(groups)).cast("long")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     packed = rest.withColumn("_group", salt).groupBy("_group").applyInPandas(pack, schema)
     single = alone.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(single)
 
 
-def document_pieces(docs: DataFrame, capacity: int = TOKENS, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def document_pieces(docs: DataFrame, capacity: int = TOKENS, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id", special: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document. A null or empty text has the end id alone."""
-    cut_up = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces_udf(capacity, vocabulary, end_id)(text_col)).alias("piece", "_p"))
+    cut_up = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces_udf(capacity, vocabulary, end_id, special)(text_col)).alias("piece", "_p"))
     return cut_up.select("doc_id", "piece", "_p.start", "_p.length", "_p.ids_crc32")
 
 
-def best_fit_sequences(docs: DataFrame, capacity: int = TOKENS, **options) -> DataFrame:
+def best_fit_sequences(docs: DataFrame, capacity: int = TOKENS, special: bool = False, **options) -> DataFrame:
     """Pack all of ``docs`` into sequences of at most ``capacity`` tokens under every constraint.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -131,4 +135,4 @@ def best_fit_sequences(docs: DataFrame, capacity: int = TOKENS, **options) -> Da
     """
     from tessera.llm.common import write_scratch
 
-    return pack_pieces(write_scratch(document_pieces(docs, capacity), "pieces"), capacity, **options)
+    return pack_pieces(write_scratch(document_pieces(docs, capacity, special=special), "pieces"), capacity, **options)
