@@ -29,7 +29,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
-    return vector_packing.best_fit_sequences(docs)
+    return vector_packing.best_fit_sequences(docs, special=True)
 
 
 STAGES = [
