@@ -506,14 +506,16 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     passes = ([None, *sets])[:depth]
     scored = write_scratch(rows.mapInArrow(_score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends)), out), "scored")
     tail = scored.where("bucket IS NOT NULL").select("bucket", "chunk", "runs", "places")
-    tree = values.select(keys.bucket_column("key").alias("bucket"), "key", "value")
-    sums = tail.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(_look_up(keys), _SUMS)
-    more = sums.groupBy("chunk").applyInArrow(_add_up, _TOTALS)
-
     scored = scored.where("place IS NOT NULL").drop("bucket", "runs", "places")
     rare = scored.select("chunk", "place", F.explode(F.arrays_zip("words", "times")).alias("w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     log_base = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))
     based = rare.join(words.select("word", "n"), "word", "left").groupBy("chunk", "place").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(log_base).alias("more_base"))
+    based = write_scratch(based, "base")
+    drop_scratch(words)
+    tree = values.select(keys.bucket_column("key").alias("bucket"), "key", "value")
+    sums = tail.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(_look_up(keys), _SUMS)
+    more = write_scratch(sums.groupBy("chunk").applyInArrow(_add_up, _TOTALS), "sums")
+    drop_scratch(values)
     full = scored.drop("words", "times").join(based, ["chunk", "place"], "left").join(more, ["chunk", "place"], "left")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
     return full.select(
