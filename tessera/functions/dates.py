@@ -50,30 +50,33 @@ def sort_key(text: Column) -> Column:
     return F.coalesce(lower_bound(text), F.lit("9999-12-31").cast("date"))
 
 
-def parse_italian(text: Column) -> Column:
-    """ISO text of the first date found by five forms in order, null if none holds a year of 1900 to 2100.
+def parse_italian(text: Column, month_year: bool = True) -> Column:
+    """ISO text of the first date found by five forms in order, null if none gives a day of 1900 to 2100.
 
-    Forms: ISO; day/month/four-digit year (with / - or .); day, month name, year;
-    day/month/two-digit year (below 50 means 20xx); month/year, taken as its first day.
+    Forms: day, month, year parted by one of / - . (two-digit years below 50 are 20xx);
+    the same parted by single blanks; year first; day, month's name, year; month's name,
+    day, year. A form whose first match is no such day gives way to the next. With
+    ``month_year`` a month and year alone (06/2018) come last, as the month's first day.
     """
-    part = lambda pattern, i: F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), F.lit(1)).try_cast("int")
     months = F.create_map(*[x for name, n in MONTHS.items() for x in (F.lit(name), F.lit(n))])
+    names = "|".join(MONTHS)
+    number = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("int")
+    name = lambda pattern, i: F.try_element_at(months, F.lower(F.regexp_extract(text, pattern, i)))
+    full = lambda y: F.when(y >= 100, y).when(y < 50, y + 2000).otherwise(y + 1900)
 
     def made(year: Column, month: Column, day: Column) -> Column:
         stamp = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))
         return F.when(year.between(1900, 2100) & month.isNotNull() & day.isNotNull(), F.date_format(stamp, "yyyy-MM-dd"))
 
-    iso, full = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
-    named = r"(?i)\b(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})\b"
-    short, month = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})\b", r"(?<![\d/.-])\b(\d{1,2})/(\d{4})\b"
-    name = F.try_element_at(months, F.lower(F.try_element_at(F.regexp_extract_all(text, F.lit(named), F.lit(2)), F.lit(1))))
-    two = part(short, 3)
+    marks, blanks = (rf"(?<!\d)(\d{{1,2}}){s}(\d{{1,2}}){s}(\d{{2,4}})(?!\d)" for s in ("[/.-]", " "))
+    year_first, named, month_first = r"(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})", rf"(?i)(\d{{1,2}})\s+({names})\s+(\d{{4}})", rf"(?i)({names})\s+(\d{{1,2}}),?\s+(\d{{4}})"
+    alone = r"(?<![\d/.-])(\d{1,2})/(\d{4})(?![\d/])"
     return F.coalesce(
-        made(part(iso, 1), part(iso, 2), part(iso, 3)),
-        made(part(full, 3), part(full, 2), part(full, 1)),
-        made(part(named, 3), name, part(named, 1)),
-        made(F.when(two < 50, two + 2000).otherwise(two + 1900), part(short, 2), part(short, 1)),
-        made(part(month, 2), part(month, 1), F.lit(1)),
+        *[made(full(number(p, 3)), number(p, 2), number(p, 1)) for p in (marks, blanks)],
+        made(number(year_first, 1), number(year_first, 2), number(year_first, 3)),
+        made(number(named, 3), name(named, 2), number(named, 1)),
+        made(number(month_first, 3), name(month_first, 1), number(month_first, 2)),
+        *([made(number(alone, 2), number(alone, 1), F.lit(1))] if month_year else []),
     )
 
 

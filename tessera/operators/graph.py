@@ -101,16 +101,18 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "node") -> DataFra
 
 
 def _checkpoint_dir(df: DataFrame) -> None:
-    """The session's spark.checkpoint.dir holds; a local default is set only where it names none."""
+    """The session's spark.checkpoint.dir holds; a local default is set only where it names none and the master is local."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
 
 
 def split_bridges(edges: DataFrame, component: str = "component", least: float = 0.58) -> DataFrame:
     """Edges (component, a, b, weight) without weak bridges: bridges with 2 (weight - 0.5) below ``least`` go.
 
-    A component is small by construction (bounded candidates), so each is one group.
+    Degrees are bounded but a chain of links is not; each is one group.
     """
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:

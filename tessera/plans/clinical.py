@@ -48,29 +48,81 @@ def lab_restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("l_orderkey", "l_linenumber")
 
 
-QUOTES = [
-    "Si sospende il farmaco", "Non si sospende il farmaco", "Inizia terapia con X 50 mg per os", "Dose ridotta a 25 mg", "Ciclo completato", "Non evidenza di lesioni",
-    "Il paziente riferisce dolore", "Quadro compatibile con polmonite", "Si programma TC di controllo", "Eseguita TC: nella norma",
+#: A quote is an opening, a thing and an ending, picked by the digits of an event's number: 600 quotes.
+OPENINGS = [
+    "Si sospende", "Non si sospende", "Inizia terapia con", "Dose ridotta di", "Completato ciclo di", "Non evidenza di", "Il paziente riferisce", "Quadro compatibile con", "Si programma", "Eseguita",
+    "Ripresa di", "Ultima somministrazione di", "In trattamento con", "Esclusa", "Appuntamento per",
 ]
-_LIFE = ["suspended", None, "started", "dose_changed", "completed", None, None, None, None, None]
-_NEGATED = [False, True, False, False, False, True, False, False, False, False]
-_CERTAIN = ["confirmed", "confirmed", "confirmed", "confirmed", "confirmed", "excluded", "patient_reported", "suspected", "confirmed", "confirmed"]
-_sql_list = lambda values: "[" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in values) + "]"
+THINGS = ["farmaco X 50 mg per os", "dolore toracico", "lesione polmonare", "TC di controllo", "cisplatino 25 mg/m2 ev", "emoglobina 10,5 g/dl", "metodica standard", "città, così è"]
+ENDINGS = ["", " con esito nella norma", " da domani", ": negativa per metastasi", ", probabile"]
+KINDS = ["medication", "imaging_finding", "symptom", "diagnosis", "procedure", "biomarker", "care_plan"]
 
 
-@query(f"""SELECT event_id, {_sql_list(_LIFE)}[event_id % 10 + 1] AS lifecycle, {_sql_list(_NEGATED)}[event_id % 10 + 1] AS negated, {_sql_list(_CERTAIN)}[event_id % 10 + 1] AS certainty,
-  event_id % 10 = 8 AS planned, CASE event_id % 10 WHEN 2 THEN '50 mg' WHEN 3 THEN '25 mg' END AS dose FROM events""")
-def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, entity, quote, category, assertion, status."""
     df = read(spark, sf_dir, "events", "event_id")
-    at = (F.col("event_id") % len(QUOTES)).cast("int")
-    q = F.col("quote")
-    kind = F.get(F.array(*map(F.lit, ["medication"] * 5 + ["imaging_finding", "symptom", "diagnosis", "procedure", "procedure"])), at)
-    rows = df.withColumns({"quote": F.get(F.array(*map(F.lit, QUOTES)), at), "category": kind})
-    none = F.lit(None).cast("string")
-    sure = evidence.certainty(F.col("category"), F.lit("present"), F.lit("unknown"), q, none, F.lit(True))
-    return rows.select(
-        "event_id", evidence.lifecycle(q, F.lit("present")).alias("lifecycle"), evidence.directly_negated(q).alias("negated"), sure.alias("certainty"), evidence.planned(q).alias("planned"), evidence.medication_attributes(q, none, none)["dose"].alias("dose")
-    )
+    pick = lambda values, by: F.get(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("event_id") / by) % len(values)).cast("int"))
+    quote = F.concat(pick(OPENINGS, 1), F.lit(" "), pick(THINGS, 15), pick(ENDINGS, 120))
+    return df.select("event_id", pick(THINGS, 15).alias("entity"), quote.alias("quote"), pick(KINDS, 1).alias("category"), pick(["present", "absent", "conditional"], 11).alias("assertion"), pick([None, "normal", "active"], 7).alias("status"))
+
+
+def _pick_sql(values: list, by: int) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][CAST(floor(event_id / {by}) AS BIGINT) % {len(values)} + 1]"
+
+
+_QUOTES = f"""q AS (SELECT event_id, {_pick_sql(THINGS, 15)} AS entity, {_pick_sql(OPENINGS, 1)} || ' ' || {_pick_sql(THINGS, 15)} || {_pick_sql(ENDINGS, 120)} AS quote,
+  {_pick_sql(KINDS, 1)} AS category, {_pick_sql(["present", "absent", "conditional"], 11)} AS assertion, {_pick_sql([None, "normal", "active"], 7)} AS status FROM events),
+  f AS (SELECT *, ' ' || trim(regexp_replace(lower(strip_accents(quote)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, ' ' || trim(regexp_replace(lower(strip_accents(entity)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n FROM q)"""
+
+
+def _says_sql(column: str, phrases: list[str]) -> str:
+    """The same phrases as a pattern: a star is any run of letters or digits."""
+    return f"regexp_matches({column}, ' ({'|'.join(p.replace('*', '[a-z0-9]*') for p in phrases)}) ')"
+
+
+def _first_sql(column: str, table: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {_says_sql(column, phrases)} THEN '{name}'" for name, phrases in table.items()) + " END"
+
+
+_LIFE = {k: v for k, v in evidence.LIFECYCLE.items() if k != "suspended"}
+
+
+@query(f"""WITH {_QUOTES} SELECT event_id,
+  CASE WHEN {_says_sql("t", evidence.LIFECYCLE["suspended"])} AND NOT {_says_sql("t", evidence.KEPT_ON)} AND assertion <> 'conditional' THEN 'suspended' ELSE {_first_sql("t", _LIFE)} END AS lifecycle,
+  regexp_matches(t, '^ (attualmente )?(non|assenza di|senza evidenza di) ') AND NOT regexp_matches(t, '^ (attualmente )?non si esclud') AS negated,
+  CASE WHEN {_says_sql("t", evidence.EXCLUDED)} AND category NOT IN ('medication', 'procedure', 'care_plan') THEN 'excluded' WHEN {_says_sql("t", evidence.REPORTED)} AND category = 'symptom' THEN 'patient_reported'
+    WHEN {_says_sql("t", evidence.SUSPECTED)} THEN 'suspected' WHEN assertion = 'present' AND category NOT IN ('symptom', 'care_plan') THEN 'confirmed' ELSE 'unknown' END AS certainty,
+  {_says_sql("t", evidence.PLANNED)} AND NOT {_says_sql("t", evidence.PERFORMED)} AS planned, nullif(regexp_extract(lower(quote), '[0-9]+([.,][0-9]+)? ?(mg|mcg|g|ml)(/[a-z0-9]+)?\\b'), '') AS dose, {_first_sql("t", evidence.ROUTES)} AS route FROM f""")
+def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quotes(spark, sf_dir)
+    q, none = F.col("quote"), F.lit(None).cast("string")
+    sure = evidence.certainty(F.col("category"), F.col("assertion"), F.lit("unknown"), q, none, F.lit(True))
+    given = evidence.medication_attributes(q, none, none)
+    return rows.select("event_id", evidence.lifecycle(q, F.col("assertion")).alias("lifecycle"), evidence.directly_negated(q).alias("negated"), sure.alias("certainty"), evidence.planned(q).alias("planned"), given["dose"].alias("dose"), given["route"].alias("route"))
+
+
+def _reason_sql() -> str:
+    cases = []
+    for reason, phrases in evidence.ADMINISTRATIVE.items():
+        hit = _says_sql("n", phrases)
+        if reason == "routine_normal_finding":
+            hit += f" AND NOT {_says_sql('t', evidence.ABNORMAL)}"
+        if reason == "scheduling":
+            hit = f"({hit} OR starts_with(t, ' appuntament'))"
+        cases.append(f"WHEN {hit} THEN '{reason}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+@query(f"""WITH {_QUOTES}, r AS (SELECT *, {_reason_sql()} AS reason FROM f),
+  d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'administrative' WHEN assertion IN ('absent', 'conditional') OR coalesce(status = 'normal', false)
+    OR (category IN ('imaging_finding', 'symptom', 'diagnosis', 'biomarker') AND {_says_sql("t", evidence.NORMAL)}) THEN 'contextual' ELSE 'primary' END AS role FROM r)
+  SELECT event_id, role, reason, CASE role WHEN 'primary' THEN 'accepted_clinical' WHEN 'contextual' THEN 'accepted_low_relevance' ELSE CASE reason WHEN 'scheduling' THEN 'excluded_administrative'
+    WHEN 'diagnostic_method' THEN 'excluded_methodological' WHEN 'diagnostic_tracer_administration' THEN 'excluded_methodological' WHEN 'routine_normal_finding' THEN 'excluded_non_informative' ELSE 'excluded_boilerplate' END END AS relevance FROM d""")
+def evidence_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    role = evidence.disposition(c("entity"), c("quote"), c("category"), c("assertion"), F.lit("unknown"), c("status"))
+    rows = _quotes(spark, sf_dir).select("event_id", role.alias("role"), evidence.administrative_reason(c("entity"), c("quote")).alias("reason"))
+    return rows.withColumn("relevance", evidence.relevance(c("role"), c("reason")))
 
 
 @query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'F' || c_custkey % 200 END AS code, CASE WHEN c_custkey % 5 = 0 THEN 'H' || c_custkey % 150 END AS hosp, c_mktsegment AS name, c_custkey % 37 AS birth FROM customer),

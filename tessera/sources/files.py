@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 #: Suffixes of each kind that can be read here.
 KINDS = {"txt": "text", "text": "text", "md": "text", "hl7": "text", "csv": "csv", "tsv": "csv", "xml": "xml", "cda": "xml", "json": "json", "fhir": "json", "docx": "docx", "xlsx": "xlsx"}
 #: Kinds known but read elsewhere (page geometry and optical recognition are no part of this library).
-ELSEWHERE = ["pdf", "png", "jpg", "jpeg", "tif", "tiff"]
+ELSEWHERE = ["pdf", "doc", "png", "jpg", "jpeg", "tif", "tiff", "bmp"]
 ENCODINGS = ("utf-8-sig", "utf-16", "cp1252", "latin-1")
 
 
@@ -89,7 +89,7 @@ def render_xlsx(content: bytes) -> str:
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
         lines = []
-        for name in sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")):
+        for name in sorted((n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n)):
             for row in ElementTree.fromstring(z.read(name)).iter(f"{_S}row"):
                 cells = []
                 for c in row.iter(f"{_S}c"):

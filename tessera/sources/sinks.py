@@ -48,11 +48,24 @@ def markdown_cells(table: Column) -> Column:
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename, so readers see the old files or the new ones."""
+    """Write beside the target, move the old files away, then the new ones in; a failure on the way leaves the old or the new files under one of the three names.
+
+    An old table that an interrupted call left as ``path.old`` is put back first.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
     jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old, now = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", f"{path}.old", path))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def move(source, target) -> None:
+        if not fs.rename(source, target):
+            raise OSError(f"cannot rename {source} to {target}")
+
+    if fs.exists(old) and not fs.exists(now):
+        move(old, now)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(now):
+        move(now, old)
+    move(new, now)
     fs.delete(old, True)
-    fs.rename(new, old)

@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -18,8 +20,9 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_the_rest_stands_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("left_out", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_the_rest_stands_without_the_llm_folders(tmp_path, left_out):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *left_out))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'lab_trend' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={"PYTHONPATH": str(copy), "PATH": "/usr/bin"}, check=True, timeout=120)
