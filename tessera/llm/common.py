@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir and all tasks run in this machine.
 LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Rows that travel to a Python worker at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,14 +28,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Shuffle files of the queries run inside are removed as soon as each query ends."""
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the queries run inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        spark.conf.set(name, before)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the queries run inside are removed as soon as each query ends."""
+    return setting(spark, SHUFFLE_CLEANUP, "true")
 
 
 def write_scratch(df: DataFrame, label: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import drop_scratch, list_array, shuffles_removed, utf8, write_scratch
+from tessera.llm.common import BATCH_ROWS, drop_scratch, list_array, setting, shuffles_removed, utf8, write_scratch
 from tessera.llm.words import LOWER, U, mix, word_blocks
 
 #: Symbols of the longest contexts; three give 0.012 more log10 a token of held-out text at sf0.1, for half as many runs more.
@@ -476,7 +476,7 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), setting(spark, BATCH_ROWS, str(CHUNK)):
         keys, words, levels, sets = grow_tree(source.where(~held_out()).select("text"), depth, least, divergence)
         size, kinds, ends = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
         size, ends = size or 0, ends or 0
@@ -504,7 +504,8 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     fields = rows.schema
     out = T.StructType([T.StructField(f.name, f.dataType) for f in fields if f.name != "text"] + _SCORED.fields)
     passes = ([None, *sets])[:depth]
-    scored = write_scratch(rows.mapInArrow(_score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends)), out), "scored")
+    with setting(spark, BATCH_ROWS, str(CHUNK)):
+        scored = write_scratch(rows.mapInArrow(_score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends)), out), "scored")
     tail = scored.where("bucket IS NOT NULL").select("bucket", "chunk", "runs", "places")
     scored = scored.where("place IS NOT NULL").drop("bucket", "runs", "places")
     rare = scored.select("chunk", "place", F.explode(F.arrays_zip("words", "times")).alias("w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
