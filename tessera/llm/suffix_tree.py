@@ -69,9 +69,6 @@ class Keys:
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (((key >> U(8 * self.width - 32)) * U(self.buckets)) >> U(32)).astype(np.int32)
 
-    def bucket_column(self, key: str) -> Column:
-        return F.shiftright(F.shiftright(key, 8 * self.width - 32) * F.lit(self.buckets).cast("long"), 32).cast("int")
-
     def pack(self, key: np.ndarray) -> bytes:
         """The bytes of the keys, place by place, as sorted keys differ little in the first ones."""
         return np.ascontiguousarray(np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, : self.width].T).tobytes()
@@ -324,11 +321,13 @@ _SCORED = T.StructType(
         T.StructField("added", T.DoubleType()),
         T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("times", T.ArrayType(T.LongType())),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("runs", T.BinaryType()),
         T.StructField("places", T.BinaryType()),
+        T.StructField("runs", T.BinaryType()),
+        T.StructField("deal", T.LongType()),
     ]
 )
+#: The same after the look-up: sums by place take the runs' place.
+_FOUND = T.StructType([*_SCORED.fields[:-2], T.StructField("sums", T.BinaryType())])
 
 
 def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -348,7 +347,10 @@ CHUNK = 1 << 11
 
 
 def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, valued, head_runs, head, end_base: float):
-    """A task: a row for each text (base and what the heads give), and rows of other runs and their texts' places by bucket."""
+    """A task: a row for each text (base and what the heads give), and rows of other runs and their texts' places by bucket.
+
+    ``deal`` is a bucket of runs, or below zero for the texts of a chunk.
+    """
 
     def score(batches):
         from pyspark import TaskContext
@@ -391,7 +393,7 @@ def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, val
                 own = [batch.column(k) if c != "text" else pa.nulls(n, pa.string()) for k, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(
                     [*[x for x, c in zip(own, names, strict=True) if c != "text"], pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(known), pa.array(tokens), pa.array(base), pa.array(added),
-                     list_array(flat(words), many), list_array(flat(times), many), none(pa.int32()), none(pa.binary()), none(pa.binary())],
+                     list_array(flat(words), many), list_array(flat(times), many), none(pa.binary()), none(pa.binary()), pa.array(np.full(n, -1 - chunk))],
                     [*[c for c in names if c != "text"], *_SCORED.names],
                 )
                 key, place = flat(rest_runs).astype(U), flat(rest_places).astype(np.uint16)
@@ -407,7 +409,7 @@ def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, val
                     empty = [pa.nulls(m, batch.schema.field(k).type) for k, c in enumerate(names) if c != "text"]
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays(
-                        [*empty, pa.array(np.full(m, chunk)), *[pa.nulls(m, k) for k in kinds], pa.array(used.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(places, pa.binary())],
+                        [*empty, pa.array(np.full(m, chunk)), *[pa.nulls(m, k) for k in kinds], pa.array(places, pa.binary()), pa.array(packed, pa.binary()), pa.array(used.astype(np.int64))],
                         [*[c for c in names if c != "text"], *_SCORED.names],
                     )
                 chunk += 1
@@ -415,14 +417,45 @@ def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, val
     return score
 
 
-_SUMS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("sums", T.BinaryType())])
+_PACKED = T.StructType([T.StructField("deal", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("values", T.BinaryType())])
+
+
+def _pack_tree(keys: Keys):
+    """A task: the runs (key, value) of the tree by bucket."""
+
+    def pack(batches):
+        held, size = [], 0
+
+        def hand_on():
+            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            deal, first = np.unique(keys.bucket(key), return_index=True)
+            cuts = list(zip(first, np.append(first[1:], len(key)), strict=True))
+            packed = [pa.array([keys.pack(key[lo:hi]) for lo, hi in cuts], pa.binary()), pa.array([value[lo:hi].tobytes() for lo, hi in cuts], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(deal.astype(np.int64)), *packed], _PACKED.names)
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > 4 * HELD:
+                yield hand_on()
+                held, size = [], 0
+        if size:
+            yield hand_on()
+
+    return pack
 
 
 def _look_up(keys: Keys):
-    """The runs of one bucket of texts in the same bucket of the tree: sums by chunk and place."""
+    """The runs of one bucket of texts in the same bucket of the tree: sums by chunk and place. Rows of texts pass."""
 
     def look_up(texts: pa.Table, tree: pa.Table) -> pa.Table:
-        known, value = tree.column("key").to_numpy().view(U), tree.column("value").to_numpy()
+        names = [c for c in texts.column_names if c not in ("runs", "deal")]
+        if texts.num_rows and texts.column("deal")[0].as_py() < 0:
+            return texts.select(names).append_column("sums", pa.nulls(texts.num_rows, pa.binary()))
+        known = keys.unpack(tree.column("runs").to_pylist())
+        value = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(v, np.float32) for v in tree.column("values").to_pylist()]])
         order = np.argsort(known)
         known, value = np.append(known[order], ~U(0)), np.append(value[order].astype(float), 0.0)
         chunks, places, sums = [], [], []
@@ -434,7 +467,9 @@ def _look_up(keys: Keys):
             some = np.flatnonzero(total)
             if len(some):
                 chunks.append(chunk), places.append(some.astype(np.uint16).tobytes()), sums.append(total[some].tobytes())
-        return pa.table([pa.array(chunks, pa.int64()), pa.array(places, pa.binary()), pa.array(sums, pa.binary())], names=_SUMS.names)
+        given = {"chunk": pa.array(chunks, pa.int64()), "places": pa.array(places, pa.binary())}
+        columns = [given[c] if c in given else pa.nulls(len(chunks), texts.schema.field(c).type) for c in names]
+        return pa.table([*columns, pa.array(sums, pa.binary())], names=[*names, "sums"])
 
     return look_up
 
@@ -502,21 +537,22 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
 
     rows = source.select("doc_id", held_out().alias("held_out"), "text")
     fields = rows.schema
-    out = T.StructType([T.StructField(f.name, f.dataType) for f in fields if f.name != "text"] + _SCORED.fields)
+    own = [T.StructField(f.name, f.dataType) for f in fields if f.name != "text"]
     passes = ([None, *sets])[:depth]
-    with setting(spark, BATCH_ROWS, str(CHUNK)):
-        scored = write_scratch(rows.mapInArrow(_score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends)), out), "scored")
-    tail = scored.where("bucket IS NOT NULL").select("bucket", "chunk", "runs", "places")
-    scored = scored.where("place IS NOT NULL").drop("bucket", "runs", "places")
+    with setting(spark, BATCH_ROWS, str(CHUNK)):  # the tail of the runs goes into the shuffle at once and stands nowhere else
+        score = _score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends))
+        met = rows.mapInArrow(score, T.StructType(own + _SCORED.fields)).groupBy("deal")
+        tree = values.select("key", "value").mapInArrow(_pack_tree(keys), _PACKED).groupBy("deal")
+        scored = write_scratch(met.cogroup(tree).applyInArrow(_look_up(keys), T.StructType(own + _FOUND.fields)), "scored")
+    drop_scratch(values)
+    sums = scored.where("place IS NULL").select("chunk", "places", "sums")
+    scored = scored.where("place IS NOT NULL").drop("places", "sums")
     rare = scored.select("chunk", "place", F.explode(F.arrays_zip("words", "times")).alias("w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     log_base = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))
     based = rare.join(words.select("word", "n"), "word", "left").groupBy("chunk", "place").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(log_base).alias("more_base"))
     based = write_scratch(based, "base")
     drop_scratch(words)
-    tree = values.select(keys.bucket_column("key").alias("bucket"), "key", "value")
-    sums = tail.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(_look_up(keys), _SUMS)
     more = write_scratch(sums.groupBy("chunk").applyInArrow(_add_up, _TOTALS), "sums")
-    drop_scratch(values)
     full = scored.drop("words", "times").join(based, ["chunk", "place"], "left").join(more, ["chunk", "place"], "left")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
     return full.select(
