@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import bundles, clinical, documents, observations, relational, relations  # noqa: F401  they register their queries
+from tessera.plans import bundles, clinical, documents, governance, observations, relational, relations  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "lab_trend"
