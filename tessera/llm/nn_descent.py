@@ -6,8 +6,9 @@ largest norm. Equal vectors are one node with its least vec_ids as members. Each
 round deals the nodes to blocks by a random-projection tree of its own (split points
 from a bounded sample; over-full leaves are divided by a hash), brings every block's
 nodes and their present neighbours together, and compares them, so neighbours of
-neighbours meet through the node they share; every node keeps its best K. Rounds end
-when few lists change. A query starts at its own node's list and follows the graph
+neighbours meet through the node they share. Only partners nearer than a node's present
+last one leave the block; every node keeps its best K. Rounds end when few lists change.
+A query starts at its own node's list and follows the graph
 from its best unexpanded nodes; scores are inner products of the original vectors in
 double precision.
 """
@@ -96,30 +97,41 @@ def inner_product(a: pa.Array, b: pa.Array) -> pa.Array:
 _EDGES = T.StructType([T.StructField("node", T.LongType()), T.StructField("other", T.LongType()), T.StructField("near", T.DoubleType())])
 
 
+def _best_partners(near: np.ndarray, bound: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its k nearest columns that are nearer than the row's bound: row, column, near."""
+    row, column = np.nonzero(near > bound[:, None])
+    if len(row) > near.size // 64:  # many: find the best of each row before sorting
+        most = min(int(k.max()), near.shape[1])
+        column = np.argpartition(-near, most - 1, axis=1)[:, :most].ravel()
+        row = np.repeat(np.arange(len(near)), most)
+        nearer = near[row, column] > bound[row]
+        row, column = row[nearer], column[nearer]
+    value = near[row, column]
+    order = np.lexsort((-value, row))
+    row, column, value = row[order], column[order], value[order]
+    take = np.arange(len(row)) - np.searchsorted(row, row) < k[row]
+    return row[take], column[take], value[take]
+
+
 def _compare(block: pa.Table) -> pa.Table:
-    """Best partners inside one block: all NEIGHBOURS for nodes it owns, ECHO for those brought in."""
+    """Best partners inside one block that are nearer than a node's present last neighbour: up to NEIGHBOURS for
+    nodes it owns, ECHO for those brought in.
+    """
     node, own = block.column("node").to_numpy(), block.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    bound = block.column("bound").to_numpy(zero_copy_only=False)
     x = _matrix(block.column("vector").combine_chunks(), len(node))
     square = np.einsum("ij,ij->i", x, x)
-    out_node, out_other, out_near = [], [], []
-    for i in range(0, len(node), 512):
+    k = np.where(own, NEIGHBOURS, ECHO)
+    out = []
+    for i in range(0, len(node) if len(node) > 1 else 0, 512):
         near = 2 * (x[i : i + 512] @ x.T) - square[i : i + 512, None] - square
         near[np.isnan(near)] = -np.inf  # squares that overflow
         rows = np.arange(len(near))
         near[rows, i + rows] = -np.inf
-        k = min(NEIGHBOURS, len(node) - 1)
-        if k < 1:
-            break
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        value = np.take_along_axis(near, best, axis=1)
-        order = np.argsort(-value, axis=1)
-        best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
-        take = (np.arange(k) < np.where(own[i : i + 512], k, min(k, ECHO))[:, None]).ravel()
-        out_node.append(np.repeat(node[i : i + 512], k)[take])
-        out_other.append(node[best].ravel()[take])
-        out_near.append(value.ravel()[take])
-    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return pa.table({"node": join(out_node, np.int64), "other": join(out_other, np.int64), "near": join(out_near, np.float64)})
+        row, column, value = _best_partners(near, bound[i : i + 512], k[i : i + 512])
+        out.append((node[i + row], node[column], value))
+    join = lambda i, kind: np.concatenate([part[i] for part in out]).astype(kind) if out else np.zeros(0, kind)
+    return pa.table({"node": join(0, np.int64), "other": join(1, np.int64), "near": join(2, np.float64)})
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -144,7 +156,11 @@ def neighbour_graph(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if graph is not None:
             brought = blocks.join(graph.where(F.col("rank") <= BROUGHT), "node").select("block", F.col("other").alias("node"), F.lit(0).alias("own"))
             members = members.unionByName(brought).groupBy("block", "node").agg(F.max("own").alias("own"))
-        found = members.join(points, "node").groupBy("block").applyInArrow(_compare, _EDGES)
+        known = points.withColumn("bound", F.lit(float("-inf")))
+        if graph is not None:
+            last = graph.where(F.col("rank") == NEIGHBOURS).select("node", F.col("near").alias("bound"))
+            known = points.join(last, "node", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        found = members.join(known, "node").groupBy("block").applyInArrow(_compare, _EDGES)
         now = write_scratch(_best(found if graph is None else found.unionByName(graph.drop("rank")), NEIGHBOURS), "graph")
         if graph is not None:
             changed = now.join(graph, ["node", "other"], "left_anti").count()
