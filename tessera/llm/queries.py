@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, chat, decontaminate, html_wrapper, nn_descent, packing, quality, shards, suffix_tree, vector_packing
+from tessera.llm import bagminhash, chat, decontaminate, divergence, fingerprints, hard_negatives, html_wrapper, nn_descent, packing, quality, shards, suffix_tree, vector_packing
 from tessera.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,10 +73,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_quality_classifier, op2_packed_token_ids, op3_html_extraction, op4_sharding, op5_bagminhash, op6_decontamination,
-        op7_suffix_tree_scoring, op8_chat_formatting, op9_vector_best_fit, op10_nn_descent, pipeline,
+        op7_suffix_tree_scoring, op8_chat_formatting, op9_vector_best_fit, op10_nn_descent,
+        op11_divergence_audit, op12_hard_negatives, op13_fingerprints, pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat.ORACLE_SQL}
+    return {"op8_chat_formatting": chat.ORACLE_SQL, "op11_divergence_audit": divergence.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
