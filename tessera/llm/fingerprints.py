@@ -126,7 +126,8 @@ def fingerprint_digest(docs: DataFrame, k: int = K) -> DataFrame:
     distinct shingles. Other columns are ignored; an empty table gives an empty result.
     A text and its words must fit one row.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # doc_id as it is: renamed, the two readings below would be two plans and the texts would be dealt twice
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = texts.where("doc_id is not null")
     # not an equality, which would make the text's hash a key of the join and deal the texts a second time
     counts = F.xxhash64("text").bitwiseXOR(F.col("picked")) == 0
@@ -138,6 +139,6 @@ def fingerprint_digest(docs: DataFrame, k: int = K) -> DataFrame:
     rows = rows.unionByName(alone).select("doc_id", "text", n.cast("long").alias("n_chars"), sketch(F.col("text"), k).alias("own"), "next_sketch", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.substring("beginning", F.lit(1), F.floor(n / 3).cast("int"))).alias("edited"))
     rows = rows.withColumn("theirs", sketch(F.col("edited"), k))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("theirs")).alias("edited_fingerprint"),
+        F.col("doc_id").cast("long").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("theirs")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("theirs"), k).alias("near_edited"), resemblance(F.col("own"), F.col("next_sketch"), k).alias("near_next"), distinct_shingles(F.col("own"), k).alias("n_shingles"),
     )
