@@ -5,9 +5,8 @@ from __future__ import annotations
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import types as T
 
-from tessera.operators.evaluation import ratio
+from tessera.operators.evaluation import ratio, text_ratio
 from tessera.operators.relational import bounded_pairs
 
 
@@ -20,11 +19,6 @@ def identity_groups(df: DataFrame, identity: list[Column], key: str, order: list
     ).withColumnRenamed("_id", "identity")
 
 
-@F.pandas_udf(T.DoubleType())
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
 def near_copies(df: DataFrame, block: str, key: str, text: str, k: int, least: float, below: float) -> DataFrame:
     """(source, target, ratio): texts of one block, each with its k predecessors, neither equal nor far apart.
 

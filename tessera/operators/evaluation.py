@@ -7,6 +7,9 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.operators.matching import one_to_one
 
 
 def micro_macro(df: DataFrame, group: str, gold: str, predicted: str) -> DataFrame:
@@ -21,41 +24,50 @@ def micro_macro(df: DataFrame, group: str, gold: str, predicted: str) -> DataFra
 
 
 def ratio(a: str, b: str) -> float:
-    """Ratcliff-Obershelp similarity of two strings."""
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    """Ratcliff-Obershelp similarity of two strings; characters that occur often count like others."""
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def event_score(gold: pd.Series, predicted: pd.Series) -> float:
-    """0.35 for the category, 0.45 times the entities' similarity, 0.20 for dates that overlap."""
-    same = 0.35 * (gold["category"] == predicted["category"])
-    return same + 0.45 * ratio(str(gold["entity"]), str(predicted["entity"])) + 0.20 * (gold["day"] == predicted["day"])
+@F.pandas_udf(T.DoubleType())
+def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    found: dict[tuple[str, str], float] = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in found:
+            found[pair] = ratio(*pair)
+    return pd.Series([found[pair] for pair in zip(a, b, strict=True)], dtype=float)
 
 
-MATCHES = "subject long, gold_id long, predicted_id long, score double"
+#: What category, entity and date of two events weigh.
+CATEGORY, ENTITY, DATE = 0.35, 0.45, 0.20
 
 
 def greedy_match(gold: DataFrame, predicted: DataFrame, least: float = 0.62) -> DataFrame:
-    """One-to-one matches of each subject, best score first (ties: later rows first), down to ``least``.
-
-    Both tables have subject, id, category, entity, day. Only pairs that share a category
-    or a day can reach the threshold together with any entity, so pairs are formed inside
-    one subject; a subject's events are few by nature.
+    """subject, gold_id, predicted_id, score: one-to-one matches of each subject, best score first, down to ``least``.
+
+    Both tables have subject, id (unique), category, entity, day. A pair scores CATEGORY
+    for equal categories, ENTITY times the entities' similarity, DATE for equal days;
+    ties go to the greater gold id, then the greater predicted id. Without a category or
+    a day in common no pair reaches a ``least`` above ENTITY, so pairs are formed by
+    equality joins on these; those whose entities' lengths rule the score out never
+    reach the similarity. Null categories and days equal nothing; a null entity is
+    empty; rows of a null subject match nothing.
     """
-
-    def match(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        g, p = g.sort_values("id").reset_index(drop=True), p.sort_values("id").reset_index(drop=True)
-        scored = sorted(((event_score(a, b), i, j) for i, a in g.iterrows() for j, b in p.iterrows()), reverse=True)
-        used_g, used_p, out = set(), set(), []
-        for score, i, j in scored:
-            if score < least:
-                break
-            if i not in used_g and j not in used_p:
-                used_g.add(i)
-                used_p.add(j)
-                out.append((g["subject"][i], g["id"][i], p["id"][j], round(score, 4)))
-        return pd.DataFrame(out, columns=["subject", "gold_id", "predicted_id", "score"])
-
-    return gold.groupBy("subject").cogroup(predicted.groupBy("subject")).applyInPandas(match, MATCHES)
+    if least <= ENTITY:
+        raise ValueError(f"least must be above {ENTITY}")
+    side = lambda df, x: df.select("subject", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "category", "day")], F.coalesce(F.col("entity").cast("string"), F.lit("")).alias(f"{x}_entity"))
+    g, p = side(gold, "g"), side(predicted, "p")
+    category, day = F.col("g_category") == F.col("p_category"), F.col("g_day") == F.col("p_day")
+    same_category, same_day = (F.coalesce(x, F.lit(False)) for x in (category, day))
+    pairs = g.join(p, (g["subject"] == p["subject"]) & category).drop(p["subject"])
+    pairs = pairs.unionByName(g.join(p, (g["subject"] == p["subject"]) & day).drop(p["subject"]).where(~same_category))
+    known = F.when(same_category, CATEGORY).otherwise(0.0)
+    dated = F.when(same_day, DATE).otherwise(0.0)
+    a, b = F.length("g_entity"), F.length("p_entity")
+    most = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / (a + b))
+    possible = pairs.where(known + ENTITY * most + dated >= least - 1e-9)
+    scored = possible.withColumn("score", known + ENTITY * text_ratio("g_entity", "p_entity") + dated).where(F.col("score") >= least)
+    rows = scored.select("subject", F.col("g_id").alias("gold_id"), F.col("p_id").alias("predicted_id"), "score")
+    return one_to_one(rows, "gold_id", "predicted_id", F.struct("score", "gold_id", "predicted_id")).withColumn("score", F.round("score", 4))
 
 
 def choose_slots(samples: DataFrame, least_quality: float = 0.80) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.matching import degree_capped  # noqa: F401  a graph's pairs under a cap of degree
 from tessera.operators.relational import bounded_pairs
 
 
@@ -40,23 +41,6 @@ def priority(same_entity: Column, shared_terms: Column, local: Column, days: Col
     return F.when(same_entity, 2.0).otherwise(0.0) + F.least(F.lit(2.0), shared_terms * 0.35) + F.when(local, 0.7).otherwise(0.0) + F.coalesce(1 / (1 + days), F.lit(0.0))
 
 
-def degree_capped(pairs: DataFrame, subject: str, score: str, k: int) -> DataFrame:
-    """Greedy: best pairs of each subject first, skipping those with an end that has k pairs already."""
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, "a", "b"], ascending=[False, True, True])
-        used: dict[int, int] = {}
-        keep = []
-        for a, b in zip(rows["a"], rows["b"], strict=True):
-            free = used.get(a, 0) < k and used.get(b, 0) < k
-            keep.append(free)
-            if free:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return rows[keep]
-
-    return pairs.groupBy(subject).applyInPandas(take, pairs.schema)
-
-
 def rule_relation(same: Column, opposite: Column, later_resolution: Column, other_side: Column, category_a: Column, category_b: Column, local: Column, shared_terms: Column) -> Column:
     """struct(relation, effect, weight) by ordered rules."""
     either = lambda *names: category_a.isin(*names) | category_b.isin(*names)

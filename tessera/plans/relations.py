@@ -82,7 +82,10 @@ def graph_bridge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.split_bridges(edges.join(of, "a").select("component", "a", "b", "weight"), least=0.7)
 
 
-@query()
+@query(_RULE.replace("WITH ", "WITH RECURSIVE ", 1) + """, ranked AS (SELECT user_id, a, b, round(CAST(priority AS DOUBLE), 6) AS priority FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, a, b) AS step FROM ranked),
+  walk AS (SELECT DISTINCT user_id, 0::BIGINT AS step, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS priority, false AS kept FROM ranked
+    UNION ALL SELECT user_id, step, CASE WHEN free THEN list_concat(used, [a, b]) ELSE used END, a, b, priority, free FROM (SELECT o.*, w.used, len(list_filter(w.used, lambda x: x = o.a)) < 3 AND len(list_filter(w.used, lambda x: x = o.b)) < 3 AS free FROM walk w JOIN o ON o.user_id = w.user_id AND o.step = w.step + 1))
+  SELECT user_id, a, b, priority FROM walk WHERE kept""")
 def graph_degree_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree_capped(_related(spark, sf_dir).select("user_id", "a", "b", F.round("priority", 6).alias("priority")), "user_id", "priority", 3)
 
@@ -159,11 +162,21 @@ def slot_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.choose_slots(samples)
 
 
-@query()
+_CHAIN = f"""WITH RECURSIVE h AS (SELECT user_id, event_id, sha256(coalesce(props, '')) AS payload_hash, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+  c AS (SELECT user_id, event_id, payload_hash, seq, '{'0' * 64}' AS previous_hash, sha256('{'0' * 64}' || '|' || payload_hash) AS entry_hash FROM h WHERE seq = 1
+    UNION ALL SELECT h.user_id, h.event_id, h.payload_hash, h.seq, c.entry_hash, sha256(c.entry_hash || '|' || h.payload_hash) FROM c JOIN h ON h.user_id = c.user_id AND h.seq = c.seq + 1)"""
+
+
+@query(_CHAIN + " SELECT user_id, event_id, payload_hash, seq, previous_hash, entry_hash FROM c")
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chained(read(spark, sf_dir, "events", "user_id", "event_id", "props"), "user_id", "event_id", "props")
 
 
-@query("SELECT user_id, count(*) AS entries, CAST(NULL AS BIGINT) AS first_break FROM events GROUP BY user_id")
+@query(_CHAIN + """, t AS (SELECT user_id, seq, CASE WHEN event_id % 97 = 0 THEN sha256('changed') ELSE payload_hash END AS payload_hash, previous_hash, entry_hash FROM c WHERE event_id % 89 <> 1),
+  b AS (SELECT *, entry_hash = sha256(previous_hash || '|' || payload_hash) AND seq = row_number() OVER w AND previous_hash = lag(entry_hash, 1, repeat('0', 64)) OVER w AS ok FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+  SELECT user_id, count(*) AS entries, min(seq) FILTER (NOT ok) AS first_break FROM b GROUP BY user_id""")
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.verified(audit_chain(spark, sf_dir), "user_id")
+    """A chain with some payloads changed and some entries gone, held against its hashes."""
+    chain = audit_chain(spark, sf_dir).where("event_id % 89 <> 1")
+    payload = F.when(F.col("event_id") % 97 == 0, F.sha2(F.lit("changed"), 256)).otherwise(F.col("payload_hash"))
+    return audit.verified(chain.withColumn("payload_hash", payload), "user_id")
