@@ -19,17 +19,22 @@ def identity_groups(df: DataFrame, identity: list[Column], key: str, order: list
     ).withColumnRenamed("_id", "identity")
 
 
-def near_copies(df: DataFrame, block: str, key: str, text: str, k: int, least: float, below: float) -> DataFrame:
-    """(source, target, ratio): texts of one block, each with its k predecessors, neither equal nor far apart.
+def near_copies(df: DataFrame, identity: list[str], order: list[str], key: str, document: str, text: str, k: int = 8, least: float = 0.78, below: float = 0.985) -> DataFrame:
+    """(source, target, ratio): rows of equal identity fields whose texts are alike but not equal, each against its k predecessors in other documents.
 
-    A pair whose lengths rule the ratio out (2 min / sum is an upper bound) never reaches
-    the Python similarity.
+    Texts are compared in lower case with white space as one blank; an empty or null text
+    is like none. Null identity fields count as equal to each other. A pair whose lengths
+    rule the ratio out (twice the shorter over the sum is an upper bound) never reaches
+    the Python similarity. ``key`` names one row; ``order`` must tell rows apart.
     """
-    pairs = bounded_pairs(df, [block], [key], key, k, [text])
-    a, b = F.length(f"{text}_a"), F.length(f"{text}_b")
-    possible = pairs.where((2 * F.least(a, b) >= least * (a + b)) & (F.col(f"{text}_a") != F.col(f"{text}_b")))
-    scored = possible.select(F.col(f"{key}_b").alias("source"), F.col(f"{key}_a").alias("target"), text_ratio(f"{text}_a", f"{text}_b").alias("ratio"))
-    return scored.where((F.col("ratio") >= least) & (F.col("ratio") < below)).withColumn("ratio", F.round("ratio", 6))
+    rows = df.withColumn("_text", F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")))
+    fields = [f"_field{i}" for i in range(len(identity))]
+    rows = rows.withColumns({f: F.to_json(F.struct(F.col(c).alias("v"))) for f, c in zip(fields, identity, strict=True)})  # a null is a value like others
+    pairs = bounded_pairs(rows, fields, order, key, k, [document, "_text"])
+    a, b = F.length("_text_a"), F.length("_text_b")
+    possible = pairs.where(~F.col(f"{document}_a").eqNullSafe(F.col(f"{document}_b")) & (F.col("_text_a") != F.col("_text_b")) & (2 * F.least(a, b) >= least * (a + b)) & (F.least(a, b) > 0))
+    scored = possible.select(F.col(f"{key}_b").alias("source"), F.col(f"{key}_a").alias("target"), text_ratio("_text_a", "_text_b").alias("ratio"))
+    return scored.where((F.col("ratio") >= least) & (F.col("ratio") < below)).withColumn("ratio", F.round("ratio", 4))
 
 
 def merge_findings(df: DataFrame, keys: list[str], key: str, order: list[str], grade: str, organs: str) -> DataFrame:

@@ -48,51 +48,45 @@ def lab_restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("l_orderkey", "l_linenumber")
 
 
-#: A quote is an opening, a thing and an ending, picked by the digits of an event's number: 600 quotes.
+#: A quote is an opening, a thing and an ending, picked by the digits of an event's number.
 OPENINGS = [
     "Si sospende", "Non si sospende", "Inizia terapia con", "Dose ridotta di", "Completato ciclo di", "Non evidenza di", "Il paziente riferisce", "Quadro compatibile con", "Si programma", "Eseguita",
-    "Ripresa di", "Ultima somministrazione di", "In trattamento con", "Esclusa", "Appuntamento per",
+    "Ripresa di", "Ultima somministrazione di", "In trattamento con", "Esclusa", "Appuntamento fissato per", "Inizialmente", "È in trattamento con", "Riduzione della dose di", "Riduzione di", "Dosaggio ridotto di",
 ]
-THINGS = ["farmaco X 50 mg per os", "dolore toracico", "lesione polmonare", "TC di controllo", "cisplatino 25 mg/m2 ev", "emoglobina 10,5 g/dl", "metodica standard", "città, così è"]
+THINGS = ["farmaco X 50 mg per os", "dolore toracico", "Prossima visita", "TC di controllo", "cisplatino 25 mg/m2 ev", "emoglobina 10,5 g/dl", "Iniezione di 18F-FDG", "Modalità di esecuzione: standard", "Utero antiversoflesso", "protocollo di acquisizione", "secondo art. 12", "città, così è", "iniezione di insulina"]
 ENDINGS = ["", " con esito nella norma", " da domani", ": negativa per metastasi", ", probabile"]
 KINDS = ["medication", "imaging_finding", "symptom", "diagnosis", "procedure", "biomarker", "care_plan"]
+#: What these say, answered by hand.
+SAID_OF_MEDICATION = {"Si sospende": "suspended", "Inizia terapia con": "started", "Dose ridotta di": "dose_changed", "Completato ciclo di": "completed", "Ripresa di": "resumed", "Ultima somministrazione di": "administered", "È in trattamento con": "active", "Riduzione della dose di": "dose_changed", "Dosaggio ridotto di": "dose_changed"}
+FURNITURE = {"Prossima visita": "scheduling", "Iniezione di 18F-FDG": "diagnostic_tracer_administration", "Modalità di esecuzione: standard": "report_metadata", "protocollo di acquisizione": "diagnostic_method", "secondo art. 12": "regulatory_boilerplate"}
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, entity, quote, category, assertion, status."""
     df = read(spark, sf_dir, "events", "event_id")
     pick = lambda values, by: F.get(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("event_id") / by) % len(values)).cast("int"))
-    quote = F.concat(pick(OPENINGS, 1), F.lit(" "), pick(THINGS, 15), pick(ENDINGS, 120))
-    return df.select("event_id", pick(THINGS, 15).alias("entity"), quote.alias("quote"), pick(KINDS, 1).alias("category"), pick(["present", "absent", "conditional"], 11).alias("assertion"), pick([None, "normal", "active"], 7).alias("status"))
+    quote = F.concat(pick(OPENINGS, 1), F.lit(" "), pick(THINGS, 3), pick(ENDINGS, 7))
+    return df.select("event_id", pick(THINGS, 3).alias("entity"), quote.alias("quote"), pick(KINDS, 1).alias("category"), pick(["present", "absent", "conditional"], 11).alias("assertion"), pick([None, "normal", "active"], 7).alias("status"))
 
 
 def _pick_sql(values: list, by: int) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][CAST(floor(event_id / {by}) AS BIGINT) % {len(values)} + 1]"
 
 
-_QUOTES = f"""q AS (SELECT event_id, {_pick_sql(THINGS, 15)} AS entity, {_pick_sql(OPENINGS, 1)} || ' ' || {_pick_sql(THINGS, 15)} || {_pick_sql(ENDINGS, 120)} AS quote,
-  {_pick_sql(KINDS, 1)} AS category, {_pick_sql(["present", "absent", "conditional"], 11)} AS assertion, {_pick_sql([None, "normal", "active"], 7)} AS status FROM events),
-  f AS (SELECT *, ' ' || trim(regexp_replace(lower(strip_accents(quote)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, ' ' || trim(regexp_replace(lower(strip_accents(entity)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n FROM q)"""
+_QUOTES = f"""q AS (SELECT event_id, {_pick_sql(THINGS, 3)} AS entity, {_pick_sql(OPENINGS, 1)} AS opening, {_pick_sql(ENDINGS, 7)} AS ending,
+  {_pick_sql(KINDS, 1)} AS category, {_pick_sql(["present", "absent", "conditional"], 11)} AS assertion, {_pick_sql([None, "normal", "active"], 7)} AS status FROM events)"""
 
 
-def _says_sql(column: str, phrases: list[str]) -> str:
-    """The same phrases as a pattern: a star is any run of letters or digits."""
-    return f"regexp_matches({column}, ' ({'|'.join(p.replace('*', '[a-z0-9]*') for p in phrases)}) ')"
+def _answer_sql(column: str, answers: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in answers.items()) + " END"
 
 
-def _first_sql(column: str, table: dict[str, list[str]]) -> str:
-    return "CASE " + " ".join(f"WHEN {_says_sql(column, phrases)} THEN '{name}'" for name, phrases in table.items()) + " END"
-
-
-_LIFE = {k: v for k, v in evidence.LIFECYCLE.items() if k != "suspended"}
-
-
-@query(f"""WITH {_QUOTES} SELECT event_id,
-  CASE WHEN {_says_sql("t", evidence.LIFECYCLE["suspended"])} AND NOT {_says_sql("t", evidence.KEPT_ON)} AND assertion <> 'conditional' THEN 'suspended' ELSE {_first_sql("t", _LIFE)} END AS lifecycle,
-  regexp_matches(t, '^ (attualmente )?(non|assenza di|senza evidenza di) ') AND NOT regexp_matches(t, '^ (attualmente )?non si esclud') AS negated,
-  CASE WHEN {_says_sql("t", evidence.EXCLUDED)} AND category NOT IN ('medication', 'procedure', 'care_plan') THEN 'excluded' WHEN {_says_sql("t", evidence.REPORTED)} AND category = 'symptom' THEN 'patient_reported'
-    WHEN {_says_sql("t", evidence.SUSPECTED)} THEN 'suspected' WHEN assertion = 'present' AND category NOT IN ('symptom', 'care_plan') THEN 'confirmed' ELSE 'unknown' END AS certainty,
-  {_says_sql("t", evidence.PLANNED)} AND NOT {_says_sql("t", evidence.PERFORMED)} AS planned, nullif(regexp_extract(lower(quote), '[0-9]+([.,][0-9]+)? ?(mg|mcg|g|ml)(/[a-z0-9]+)?\\b'), '') AS dose, {_first_sql("t", evidence.ROUTES)} AS route FROM f""")
+@query(f"""WITH {_QUOTES} SELECT event_id, CASE WHEN opening = 'Si sospende' AND assertion = 'conditional' THEN NULL ELSE {_answer_sql("opening", SAID_OF_MEDICATION)} END AS lifecycle,
+  opening IN ('Non si sospende', 'Non evidenza di') AS negated,
+  CASE WHEN (opening IN ('Non evidenza di', 'Esclusa') OR ending = ': negativa per metastasi') AND category NOT IN ('medication', 'procedure', 'care_plan') THEN 'excluded' WHEN opening = 'Il paziente riferisce' AND category = 'symptom' THEN 'patient_reported'
+    WHEN opening = 'Quadro compatibile con' OR ending = ', probabile' THEN 'suspected' WHEN assertion = 'present' AND category NOT IN ('symptom', 'care_plan') THEN 'confirmed' ELSE 'unknown' END AS certainty,
+  (opening = 'Si programma' OR entity = 'Prossima visita') AND opening <> 'Eseguita' AND ending <> ' con esito nella norma' AS planned,
+  {_answer_sql("entity", {"farmaco X 50 mg per os": "50 mg", "cisplatino 25 mg/m2 ev": "25 mg/m2", "emoglobina 10,5 g/dl": "10,5 g/dl"})} AS dose, {_answer_sql("entity", {"farmaco X 50 mg per os": "os", "cisplatino 25 mg/m2 ev": "ev"})} AS route FROM q""")
 def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _quotes(spark, sf_dir)
     q, none = F.col("quote"), F.lit(None).cast("string")
@@ -101,21 +95,10 @@ def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", evidence.lifecycle(q, F.col("assertion")).alias("lifecycle"), evidence.directly_negated(q).alias("negated"), sure.alias("certainty"), evidence.planned(q).alias("planned"), given["dose"].alias("dose"), given["route"].alias("route"))
 
 
-def _reason_sql() -> str:
-    cases = []
-    for reason, phrases in evidence.ADMINISTRATIVE.items():
-        hit = _says_sql("n", phrases)
-        if reason == "routine_normal_finding":
-            hit += f" AND NOT {_says_sql('t', evidence.ABNORMAL)}"
-        if reason == "scheduling":
-            hit = f"({hit} OR starts_with(t, ' appuntament'))"
-        cases.append(f"WHEN {hit} THEN '{reason}'")
-    return f"CASE {' '.join(cases)} END"
-
-
-@query(f"""WITH {_QUOTES}, r AS (SELECT *, {_reason_sql()} AS reason FROM f),
+@query(f"""WITH {_QUOTES}, r AS (SELECT *, CASE WHEN entity = 'Utero antiversoflesso' AND ending <> ': negativa per metastasi' THEN 'routine_normal_finding' WHEN entity IN ('Modalità di esecuzione: standard') THEN 'report_metadata'
+    WHEN opening = 'Appuntamento fissato per' THEN 'scheduling' ELSE {_answer_sql("entity", FURNITURE)} END AS reason FROM q),
   d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'administrative' WHEN assertion IN ('absent', 'conditional') OR coalesce(status = 'normal', false)
-    OR (category IN ('imaging_finding', 'symptom', 'diagnosis', 'biomarker') AND {_says_sql("t", evidence.NORMAL)}) THEN 'contextual' ELSE 'primary' END AS role FROM r)
+    OR (category IN ('imaging_finding', 'symptom', 'diagnosis', 'biomarker') AND (opening IN ('Non evidenza di', 'Esclusa') OR ending IN (' con esito nella norma', ': negativa per metastasi'))) THEN 'contextual' ELSE 'primary' END AS role FROM r)
   SELECT event_id, role, reason, CASE role WHEN 'primary' THEN 'accepted_clinical' WHEN 'contextual' THEN 'accepted_low_relevance' ELSE CASE reason WHEN 'scheduling' THEN 'excluded_administrative'
     WHEN 'diagnostic_method' THEN 'excluded_methodological' WHEN 'diagnostic_tracer_administration' THEN 'excluded_methodological' WHEN 'routine_normal_finding' THEN 'excluded_non_informative' ELSE 'excluded_boilerplate' END END AS relevance FROM d""")
 def evidence_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,10 +186,13 @@ def micro_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_copy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as facts: those of one language, first word and number of words, against eight predecessors."""
     from tessera.operators.dedup import near_copies
 
-    df = _documents(spark, sf_dir, "source").withColumn("block", F.concat_ws("|", "source", F.substring(tx.fold(F.col("text")), 1, 8)))
-    return near_copies(df, "block", "doc_id", "text", 8, 0.78, 0.985)
+    rows = _documents(spark, sf_dir, "lang").select("doc_id", "lang", F.posexplode(F.split("text", "[.!?]+[ \\n]+")).alias("seq", "sentence"))
+    words = F.split(F.trim("sentence"), "[ \\n]+")
+    rows = rows.withColumns({"first": F.lower(F.get(words, F.lit(0))), "words": F.size(words), "fact": F.concat_ws(":", "doc_id", "seq")}).where("words >= 5")
+    return near_copies(rows, ["lang", "first", "words"], ["doc_id", "seq"], "fact", "doc_id", "sentence")
 
 
 @query("SELECT lang, source, count(*) AS documents, min(doc_id) AS first_doc, any_value(len) AS longest FROM (SELECT *, max(length(text)) OVER (PARTITION BY lang, source) AS len FROM documents) GROUP BY lang, source")

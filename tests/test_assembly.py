@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, carryover, evaluation, fragments, matching
+from tessera.operators import audit, carryover, dedup, evaluation, fragments, matching
 
 # --- fragments
 
@@ -131,6 +131,30 @@ def test_similarity_counts_frequent_characters():
     assert evaluation.ratio("; ".join(words), "; ".join(changed)) > 0.9
 
 
+@pytest.mark.parametrize("k", [2, 8])
+def test_near_copies_equal_a_plain_pass(spark, k):
+    rng = random.Random(k)
+    base = [" ".join(f"clause{rng.randrange(200)} of report" for _ in range(30)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        words = rng.choice(base).split()
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(len(words))] = "changed"
+        text = rng.choice([" ", "  ", "\n"]).join(words)
+        rows.append((i, rng.randrange(12), rng.choice(["a", None]), text.upper() if i % 7 == 0 else text if i % 11 else None))
+    want, seen = [], {}
+    for i, document, block, text in rows:
+        mine = " ".join((text or "").lower().split())
+        for j, other_document, other in seen.setdefault(block, [])[-k:]:
+            if mine and other and mine != other and document != other_document:
+                ratio = difflib.SequenceMatcher(None, mine, other, autojunk=False).ratio()
+                if 0.78 <= ratio < 0.985:
+                    want.append((j, i, round(ratio, 4)))
+        seen[block].append((i, document, mine))
+    df = spark.createDataFrame(rows, "i int, doc int, block string, text string")
+    assert sorted(map(tuple, dedup.near_copies(df, ["block"], ["i"], "i", "doc", "text", k).collect())) == sorted(want) and want
+
+
 # --- separated components
 
 

@@ -35,10 +35,10 @@ def test_five_forms_of_dates(spark, said, iso):
 
 
 def test_rules_on_null_and_empty_quotes(spark):
-    df = spark.createDataFrame([(None,), ("",), ("Attualmente non si esclude frattura",), ("NEGATIVI PER K",)], "q string")
+    df = spark.createDataFrame([(None,), ("",), ("Attualmente non si esclude frattura",), ("NEGATIVI PER K",), ("NEGATIVA PER K",)], "q string")
     none = F.lit(None).cast("string")
     got = [tuple(r) for r in df.select(evidence.lifecycle(F.col("q"), none), evidence.directly_negated(F.col("q")), evidence.certainty(F.lit("diagnosis"), none, F.lit("unknown"), F.col("q"), none, F.lit(False))).collect()]
-    assert got == [(None, False, "unknown"), (None, False, "unknown"), (None, False, "unknown"), (None, False, "excluded")]
+    assert got == [(None, False, "unknown"), (None, False, "unknown"), (None, False, "unknown"), (None, False, "unknown"), (None, False, "excluded")]
 
 
 def test_swap_in_puts_back_what_a_crash_left(spark, tmp_path):
