@@ -11,10 +11,12 @@ much text and link text it held, and whether that text ever varied.
 A host's wrapper decides what is article text. Where: its article or main element, else
 the element that holds most of the varying text outside links. What there: a slot whose
 text never varied and that the expression has on every page, once, is the template's and
-left out; constant text in optional or repeated items stays. Elements, roles and whole
-class names of menus, headers, footers, sidebars, notices, adverts, forms and comments
-are left out; where only a part of a class name or an id says so, the wrapper decides: a
-slot that never varied, or that holds mostly links, is left out.
+left out, if varying text outweighs such text (copies of an article are no template);
+constant text in optional or repeated items stays. Elements, roles and whole class names
+of menus, headers, footers, sidebars, notices, adverts, forms and comments are left out;
+where only a part of a class name or an id says so, or a name inside an article that its
+own parts can have too (DOUBTFUL), the wrapper decides: a slot that never varied, or that
+holds mostly links, is left out.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc skip toolbar header masthead topbar footer foot colophon copyright sidebar aside rail widget widgets related recommended recommendations "
     "more-from share sharing social follow newsletter subscribe subscription signup login search comment comments commentlist disqus respond reply replies discussion feedback".split()
 )
+#: Of these, names that a part of an article can have too; inside an article the wrapper decides on them.
+DOUBTFUL = frozenset("promotion overlay banner alert notification skip header foot toc rail widget related recommended recommendations follow search respond reply replies discussion feedback".split())
 #: Elements whose names count: containers, not paragraphs.
 NAMED = frozenset("div section ul ol dl table figure center details span".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -59,27 +63,28 @@ TABLE = 40_000
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """A tag's label (with class and id, numbers blanked), whether it is left out, may be, or names the article."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """A tag's label (with class and id, words with digits blanked), whether it is left out, is so outside an article, may be, or names the article."""
     if not attributes.strip():
-        return tag, tag in LEFT_OUT, False, tag in ("article", "main")
-    out, maybe, main, names = tag in LEFT_OUT, False, tag in ("article", "main"), []
+        return tag, tag in LEFT_OUT, False, False, tag in ("article", "main")
+    out, doubt, maybe, main, names = tag in LEFT_OUT, False, False, tag in ("article", "main"), []
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
             words = value.split()
-            names += [re.sub(r"\d+", "0", w) for w in words]
+            names += [re.sub(r"[a-z0-9]*\d[a-z0-9]*", "0", w) for w in words]
             parts = {p for w in words if not re.match(r"(with|without|has|no)[-_]", w) for p in re.split(r"[-_]+", w)}
             main |= not MAIN_NAMES.isdisjoint(words)
             if tag in NAMED and MAIN_NAMES.isdisjoint(words):
-                out |= not NAMES.isdisjoint(words)
+                out |= not (NAMES - DOUBTFUL).isdisjoint(words)
+                doubt |= not DOUBTFUL.isdisjoint(words)
                 maybe |= not NAMES.isdisjoint(parts)
         elif key == "role":
             out |= value in ROLES
             main |= value in ("main", "article")
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             out = True
-    return ".".join([tag, *sorted(set(names))]).replace("/", "_"), out, maybe and not out, main
+    return ".".join([tag, *sorted(set(names))]).replace("/", "_"), out, doubt, maybe and not out, main
 
 
 class Page:
@@ -136,8 +141,10 @@ class Page:
                         break
                     if stack[k][0] in within:
                         break
-            label, out, maybe, main = _label(tag, m[3])
+            label, out, doubt, maybe, main = _label(tag, m[3])
             _, path, above, children, link = stack[-1]
+            out |= doubt and "*" not in path
+            maybe = (maybe or doubt) and not out
             out |= tag == "header" and "*" not in path  # an article's own header holds its title
             label = f"{'*' if main else ''}{'~' if maybe else ''}{label}"
             here, inner = f"{path}/{label}", []
@@ -318,16 +325,19 @@ class Wrapper:
         return cls(*json.loads(text))
 
     def template(self) -> list[str]:
-        """Paths of slots that are not the article's: constant and on every page once; or named like furniture, and constant or mostly links."""
+        """Paths of slots that are not the article's: constant and on every page once; or in an element named like furniture, and mostly links or in one without varying text.
+
+        Copies of one article leave most of its text constant, so constant text counts as
+        the template's only where the text that varies inside the article outweighs it.
+        """
         always = mandatory(self.items or [])
-        many = self.pages >= FIXED_PAGES and any(fixed is None for _, _, _, fixed in self.slots.values())
-        fixed_slot = lambda path, n, fixed: many and n >= FIXED_PAGES and fixed is not None
-        out = []
-        for path, (n, chars, links, fixed) in self.slots.items():
-            named = "/~" in path or "/*~" in path
-            if fixed_slot(path, n, fixed) and (path in always and n == self.pages or named) or named and links > LINKED * chars:
-                out.append(path)
-        return sorted(out)
+        prefix, named = self.article(), lambda path: "/~" in path or "/*~" in path
+        alive = {container(p) for p, (_, chars, links, text) in self.slots.items() if named(p) and text is None and chars > links}
+        fixed = [p for p, (n, _, _, text) in self.slots.items() if n >= FIXED_PAGES and text is not None and (container(p) not in alive if named(p) else p in always and n == self.pages)]
+        held = sum(self.slots[p][1] for p in fixed if within(p, prefix))
+        varied = sum(chars for p, (_, chars, _, text) in self.slots.items() if text is None and within(p, prefix))
+        out = set(fixed) if self.pages >= FIXED_PAGES and varied > held else set()
+        return sorted(out | {p for p, (_, chars, links, _) in self.slots.items() if named(p) and links > LINKED * chars})
 
     def article(self) -> str:
         """The path prefix that holds the article."""
@@ -362,6 +372,13 @@ def hash_text(text: str) -> str:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:12]
 
 
+def container(path: str) -> str:
+    """The path up to the first element that is named like furniture."""
+    parts = path.split("/")
+    k = next((k for k, p in enumerate(parts) if p[:1] == "~" or p[:2] == "*~"), len(parts))
+    return "/".join(parts[: k + 1])
+
+
 def within(path: str, prefix: str) -> bool:
     return path == prefix or path.startswith(prefix + "/") or not prefix
 

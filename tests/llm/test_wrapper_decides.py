@@ -19,10 +19,10 @@ def wrapped(sources):
 
 
 def test_the_expression_parts_template_from_content(monkeypatch):
-    page = "<body><article><h1>T{n}</h1><div class=strap>Always the same line</div><p>Text {n}</p>{extra}</article></body>"
+    page = "<body><article><h1>T{n}</h1><div class=strap>Always the same line</div><p>Text {n}, longer than the strap</p>{extra}</article></body>"
     sources = [page.format(n=n, extra="<div class=box>Same box</div>" if n % 2 else "") for n in range(6)]
     wrapper, got = wrapped(sources)
-    assert got == [f"T{n}\nText {n}" + ("\nSame box" if n % 2 else "") for n in range(6)]
+    assert got == [f"T{n}\nText {n}, longer than the strap" + ("\nSame box" if n % 2 else "") for n in range(6)]
     # without optional items the box would look like the template's
     monkeypatch.setattr(hw, "mandatory", lambda items: set())
     assert all("Always the same line" in t for t in wrapped(sources)[1])
@@ -69,3 +69,32 @@ def test_alignment_is_a_longest_common_subsequence(monkeypatch):
         a, b = (rng.sample("abcdefghijklmnop", 12) for _ in range(2))
         pairs = hw.matched(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+
+
+def test_dated_copies_keep_title_and_body():
+    body = "<h1>One title</h1><p>One body of several words that every copy has.</p>"
+    sources = [f"<html><body><article>{body}<span>{d} May</span></article></body></html>" for d in range(1, 7)]
+    wrapper = hw.Wrapper()
+    for s in sources:
+        wrapper.add(hw.Page(s))
+    texts = [hw.main_text(hw.Page(s), wrapper.article(), wrapper.template()) for s in sources]
+    assert texts == [f"One title\nOne body of several words that every copy has.\n{d} May" for d in range(1, 7)]
+
+
+def test_names_inside_an_article_are_the_wrappers_to_judge():
+    parts = ["<section class='discussion'><h2>Discussion</h2><p>Our results show {0}.</p></section>", "<div class='related'>Related work by {0}.</div>", "<div class='follow'>We follow {0}.</div>", "<table class='header'><tr><td>Column {0}</td></tr></table>"]
+    menu = "<div class='related'><a href='/a'>Another page</a> <a href='/b'>One more page</a></div>"
+    page = lambda k: f"<html><body><div class='related'>Outside {k}</div><article><p>{'word' + str(k)} stands here with more words of its own.</p>{''.join(p.format(f'study {k}') for p in parts)}<section>{menu}</section></article></body></html>"
+    wrapper = hw.Wrapper()
+    for k in range(6):
+        wrapper.add(hw.Page(page(k)))
+    text = hw.main_text(hw.Page(page(3)), wrapper.article(), wrapper.template())
+    assert text == "word3 stands here with more words of its own.\nDiscussion\nOur results show study 3.\nRelated work by study 3.\nWe follow study 3.\nColumn study 3"
+    assert "Another page" not in text and "Outside" not in text
+
+
+def test_hashed_class_names_share_slots():
+    wrapper = hw.Wrapper()
+    for k in range(200):
+        wrapper.add(hw.Page(f"<article class='css-{k}x{k * 7}a'><p class='t{k}b'>text {k}</p></article>"))
+    assert len(wrapper.slots) == 1
