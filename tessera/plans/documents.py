@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import relational, retrieval, texts
+from tessera.operators import cleaner, relational, retrieval, texts
 from tessera.plans.registry import query, read
 
 
@@ -210,3 +210,39 @@ def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents", "source", "doc_id", "n_chars")
     return df.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("_n <= 3").drop("_n")
+
+
+# --- reports: lines of the documents with headings, labels and blanks of a report in between
+
+_HEADINGS = {3: "## DATI ANAGRAFICI DEL PAZIENTE", 9: "## Referto clinico", 14: "", 20: "Nome e Cognome", 21: " Sesso ", 25: "## Richiedenti", 27: "DATI ANAGRAFICI", 30: "Medico", 33: "##  Prestazioni  erogate"}
+
+
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[.\\n]")).alias("line_no", "line"))
+    at, said = (F.col("doc_id") + F.col("line_no") * 7) % 37, F.col("line")
+    for k, line in _HEADINGS.items():
+        said = F.when(at == k, line).otherwise(said)
+    return rows.withColumn("line", said)
+
+
+_MARKED = "CASE " + " ".join(f"WHEN (doc_id + p * 7) % 37 = {k} THEN '{v}'" for k, v in _HEADINGS.items()) + " ELSE s END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split_regex(text, '[.\\n]')) AS s, generate_subscripts(string_split_regex(text, '[.\\n]'), 1) - 1 AS p FROM documents),
+  l AS (SELECT doc_id, p, {_MARKED} AS line FROM s), t AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(13) || chr(10))) AS t FROM l),
+  k AS (SELECT doc_id, p, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^##\\s') AND regexp_matches(t, 'dati\\s+anagrafici|prestazioni\\s+erogate|richiedenti') THEN 'start' WHEN regexp_matches(t, '^##\\s') THEN 'heading'
+    WHEN t IN ('nome e cognome', 'sesso', 'medico', 'ente', 'ospedale', 'indirizzo', 'telefono') THEN 'label' ELSE 'line' END AS kind FROM t),
+  w AS (SELECT DISTINCT doc_id, -1 AS p, false AS skips, [{{'p': -1::BIGINT, 'blank': true}}] AS stack FROM k
+    UNION ALL SELECT w.doc_id, k.p, CASE WHEN w.skips THEN k.kind NOT IN ('blank', 'heading', 'start') ELSE k.kind = 'start' END,
+      CASE WHEN w.skips THEN CASE WHEN k.kind IN ('blank', 'heading', 'start') THEN list_append(w.stack, {{'p': k.p::BIGINT, 'blank': k.kind = 'blank'}}) ELSE w.stack END
+        WHEN k.kind = 'start' THEN w.stack WHEN k.kind = 'label' THEN CASE WHEN w.stack[-1].blank THEN w.stack ELSE w.stack[:-2] END ELSE list_append(w.stack, {{'p': k.p::BIGINT, 'blank': k.kind = 'blank'}}) END
+    FROM w JOIN k ON k.doc_id = w.doc_id AND k.p = w.p + 1)
+  SELECT doc_id, CAST(e.p AS INT) AS line_no FROM (SELECT doc_id, unnest(arg_max(stack, p)) AS e FROM w GROUP BY doc_id) WHERE e.p >= 0""")
+def boilerplate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaner.without_sections(_report_lines(spark, sf_dir), "doc_id").select("doc_id", "line_no")
+
+
+@query()
+def reports_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _report_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    return cleaner.cleaned(lines.select("doc_id", F.array_join("lines.line", "\n").alias("text")), "doc_id")
