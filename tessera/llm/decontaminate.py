@@ -19,8 +19,6 @@ over the documents.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -41,6 +39,8 @@ SHORTEST, LONGEST = 0.8, 1.25
 GRID = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Most words of benchmark items in one block (about 100 bytes a word in a task).
 BLOCK_WORDS = 200_000
+#: Spans that are compared together, and the most numbers that takes at a time.
+PAIRS, CELLS = 100_000, 1_000_000
 #: Words of a document whose windows are formed together.
 STRIDE = 16_384
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType())]))
@@ -98,18 +98,19 @@ class _Size:
 class ItemIndex:
     def __init__(self, texts: list[str]):
         data, offsets = utf8(pa.array(texts, pa.string()))
-        self.bags: list[Counter] = []
-        self.lengths: list[int] = []
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
+        lengths: list[int] = []
         by_size: dict[int, list] = {}
         for i, _, hashes, ends, _ in word_blocks(LOWER[data], offsets):
             for k in range(len(ends) - 1):
                 words = hashes[ends[k] : ends[k + 1]]
-                self.lengths.append(len(words))
+                lengths.append(len(words))
                 self.bags.append(_bag(words))
                 if len(words):
                     size = window_size(len(words))
                     prints = fingerprints(lane_sums(words), size)
                     by_size.setdefault(size, []).append((prints, np.full(len(prints), i + k), np.arange(len(prints))))
+        self.lengths = np.array(lengths, np.int64)
         self.sizes = {}
         for size, parts in by_size.items():
             prints, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -144,43 +145,97 @@ class ItemIndex:
         out: list[list[tuple[int, float, int]]] = []
         for i, j, hashes, ends, _ in word_blocks(LOWER[data], offsets):
             best: list[dict[int, tuple[float, int]]] = [{} for _ in range(i, j)]
-            done = set()
-            places: dict[tuple[int, int], list[int]] = {}
-
-            def verify(text: int, item: int, start: int, end: int) -> None:
-                lo, hi = max(start, int(ends[text])), min(end, int(ends[text + 1]))
-                if hi <= lo or (lo, hi, item) in done:
-                    return
-                done.add((lo, hi, item))
-                similarity = _similarity(_bag(hashes[lo:hi]), self.bags[item])
-                if similarity >= threshold - 1e-12 and (item not in best[text] or similarity > best[text][item][0]):
-                    best[text][item] = (similarity, lo - int(ends[text]))
-
             # windows are formed across the block; the check looks inside one text only
-            for start, item in self.hits(hashes).tolist():
-                n = self.lengths[item]
-                middle = min(max(start + n // 2, 0), len(hashes) - 1)
-                for text in {int(np.searchsorted(ends, place, "right")) - 1 for place in (min(max(start, 0), len(hashes) - 1), middle, min(start + n - 1, len(hashes) - 1))}:
-                    verify(text, item, start, start + n)
-                    places.setdefault((text, item), []).append(start)
-            for (text, item), starts in places.items():  # in order, as the hits are
-                n = self.lengths[item]
-                for start in starts:
-                    if best[text].get(item, (0.0, 0))[0] == 1.0:
-                        break
-                    for other in starts[bisect_left(starts, start - (1 - SHORTEST) * n) : bisect_right(starts, start + (LONGEST - 1) * n)]:
-                        verify(text, item, start, other + n)
+            hits = self.hits(hashes)
+            n, last = self.lengths[hits[:, 1]], len(hashes) - 1
+            places = (hits[:, 0], hits[:, 0] + n // 2, hits[:, 0] + n - 1)
+            owners = [np.searchsorted(ends, np.clip(p, 0, last), "right") - 1 for p in places]
+            met = np.unique(np.concatenate([np.stack([o, hits[:, 1], hits[:, 0]], 1) for o in owners]), axis=0)
+            cut = np.flatnonzero(np.any(met[1:, :2] != met[:-1, :2], axis=1)) + 1
+            for group in np.split(met, cut) if len(met) else []:
+                text, item = int(group[0, 0]), int(group[0, 1])
+                words = hashes[ends[text] : ends[text + 1]]
+                similarity, at = self._best_span(words, item, group[:, 2] - ends[text])
+                if similarity >= threshold - 1e-12:
+                    best[text][item] = (similarity, at)
             out += [[(item, s, at) for item, (s, at) in sorted(x.items())] for x in best]
         return out
 
-
-def _bag(words: np.ndarray) -> Counter:
-    return Counter(shingles(words, np.array([0, len(words)]), SHINGLE)[0].tolist())
-
-
-def _similarity(a: Counter, b: Counter) -> float:
-    common = (a & b).total()
-    return common / max(1, a.total() + b.total() - common)
+    def _best_span(self, words: np.ndarray, item: int, starts: np.ndarray) -> tuple[float, int]:
+        """The greatest similarity of the item with a span that the starts propose, and its first word; of equal ones the first proposed.
+
+        First the spans of the item's length at each start, then those from one start to
+        the end another one proposes, if that has SHORTEST to LONGEST times the length.
+        """
+        n, size = int(self.lengths[item]), len(words)
+        inside = lambda lo, hi: (np.clip(lo, 0, size), np.clip(hi, 0, size))
+        compare = self._comparer(words, item, max(int(starts[0]), 0), min(int(starts[-1]) + n, size))
+        found, at = 0.0, 0
+
+        def take(lo: np.ndarray, hi: np.ndarray) -> None:
+            nonlocal found, at
+            lo, hi = inside(lo, hi)
+            lo, hi = lo[hi > lo], hi[hi > lo]
+            if len(lo):
+                value = compare(lo, hi)
+                k = int(np.argmax(value))
+                if value[k] > found:
+                    found, at = float(value[k]), int(lo[k])
+
+        for k in range(0, len(starts), PAIRS):
+            take(starts[k : k + PAIRS], starts[k : k + PAIRS] + n)
+        first = np.searchsorted(starts, starts - (1 - SHORTEST) * n, "left")
+        many = np.searchsorted(starts, starts + (LONGEST - 1) * n, "right") - first
+        k = 0
+        while k < len(starts) and found < 1.0:
+            to = max(k + 1, int(np.searchsorted(np.cumsum(many[k:]), PAIRS, "right")) + k)
+            own = np.repeat(np.arange(k, to), many[k:to])
+            other = np.arange(len(own)) - np.repeat(np.cumsum(many[k:to]) - many[k:to], many[k:to]) + np.repeat(first[k:to], many[k:to])
+            take(starts[own], starts[other] + n)
+            k = to
+        return found, at
+
+    def _comparer(self, words: np.ndarray, item: int, begin: int, end: int):
+        """A function of spans' first and end words, within begin to end: the weighted Jaccard similarity of each span's shingles with the item's.
+
+        How often a span has a shingle of the item is a difference of two places in the
+        sorted list of their occurrences, so a span costs as much as the item has
+        shingles, however long it is and however often the text repeats itself.
+        """
+        values, counts = self.bags[item]
+        total = int(counts.sum())
+        if self.lengths[item] < SHINGLE or end - begin < SHINGLE:
+            bag = dict(zip(values.tolist(), counts.tolist(), strict=True))
+            return lambda lo, hi: np.array([_similarity(_bag(words[a:b]), bag, total) for a, b in zip(lo, hi, strict=True)])
+        own = shingles(words[begin:end], np.array([0, end - begin]), SHINGLE)[0]
+        rank = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        place = np.flatnonzero(values[rank] == own)
+        present = np.unique(rank[place])
+        step = end - begin + 1
+        keys = np.sort(rank[place] * step + place)
+
+        def compare(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            value = np.zeros(len(lo))
+            many = hi - lo - (SHINGLE - 1)
+            rows = max(1, CELLS // max(1, len(present)))
+            for k in range(0, len(lo), rows):
+                a, b = lo[k : k + rows] - begin, np.maximum(hi[k : k + rows] - begin - (SHINGLE - 1), lo[k : k + rows] - begin)
+                held = np.searchsorted(keys, present * step + b[:, None]) - np.searchsorted(keys, present * step + a[:, None])
+                common = np.minimum(held, counts[present]).sum(1)
+                value[k : k + rows] = common / np.maximum(np.maximum(many[k : k + rows], 1) + total - common, 1)
+            return value
+
+        return compare
+
+
+def _bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles and how often each occurs."""
+    return np.unique(shingles(words, np.array([0, len(words)]), SHINGLE)[0], return_counts=True)
+
+
+def _similarity(a: tuple[np.ndarray, np.ndarray], b: dict[int, int], total: int) -> float:
+    common = sum(min(n, b.get(x, 0)) for x, n in zip(a[0].tolist(), a[1].tolist(), strict=True))
+    return common / max(1, int(a[1].sum()) + total - common)
 
 
 def _matches_udf(index: ItemIndex, ids: list[int | None], threshold: float):
