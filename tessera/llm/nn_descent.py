@@ -189,16 +189,17 @@ def greedy_search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam:
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     first = starts.select("query", F.col("query").alias("node")).unionByName(starts.join(lists, starts["query"] == lists["node"]).select("query", F.col("other").alias("node")))
     first = first.unionByName(starts.select("query").crossJoin(F.broadcast(large))).distinct()
-    seen = write_scratch(scored(first).withColumn("expanded", F.col("node") == F.col("query")), "beam")
+    seen = scored(first).withColumn("expanded", F.col("node") == F.col("query"))
     for _ in range(hops):
-        ranked = seen.withColumn("place", F.row_number().over(best))
-        frontier = write_scratch(ranked.where((F.col("place") <= EXPANDED) & ~F.col("expanded")).select("query", "node"), "frontier")
+        # what lies beyond the beam now can only sink; met again, it is scored again and sinks again
+        kept = seen.withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam)
+        kept = write_scratch(kept.withColumn("now", (F.col("place") <= EXPANDED) & ~F.col("expanded")), "beam")
+        frontier = kept.where("now").select("query", "node")
+        seen = kept.select("query", "node", "score", (F.col("expanded") | F.col("now")).alias("expanded"))
         if frontier.isEmpty():
             break
-        reached = frontier.join(lists, "node").select("query", F.col("other").alias("node")).distinct().join(seen.select("query", "node"), ["query", "node"], "left_anti")
-        done = frontier.withColumn("now", F.lit(True))
-        old = seen.join(done, ["query", "node"], "left").select("query", "node", "score", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
-        seen = write_scratch(old.unionByName(scored(reached).withColumn("expanded", F.lit(False))), "beam")
+        reached = frontier.join(lists, "node").select("query", F.col("other").alias("node")).distinct().join(kept.select("query", "node"), ["query", "node"], "left_anti")
+        seen = seen.unionByName(scored(reached).withColumn("expanded", F.lit(False)))
     return seen.withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam).select("query", "node", "score")
 
 
