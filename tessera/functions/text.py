@@ -12,6 +12,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 STOP_WORDS = ["di", "del", "della", "dello", "dei", "delle", "da", "in", "con", "per"]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body names it; inside a lambda a plain column would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column, keep: str = "a-z0-9", joiner: str = "_") -> Column:
     """Lower case without marks; runs of characters outside ``keep`` become one joiner."""
     plain = F.translate(F.lower(text), MARKED, PLAIN)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import let
+
 
 def lines(df: DataFrame, text: str = "text", number: str = "line_no", line: str = "line") -> DataFrame:
     """One row for each line, numbered from 1; a null text has none."""
@@ -17,11 +19,6 @@ def lines(df: DataFrame, text: str = "text", number: str = "line_no", line: str
     return df.select(*rest, F.posexplode(F.split(text, "\n")).alias("_p", line)).withColumn(number, F.col("_p") + 1).drop("_p")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once; inside a lambda a plain column would be computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def without_repeated_lines(text: Column, least: int = 3, longer_than: int = 2) -> Column:
     """Drop lines that, trimmed and longer than two characters, occur three times or more in the text.
 

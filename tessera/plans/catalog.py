@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import assembly, bundles, clinical, documents, governance, identifiers, observations, relational, relations, reports  # noqa: F401  they register their queries
+from tessera.plans import assembly, bundles, clinical, dates, documents, governance, identifiers, observations, relational, relations, reports  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "lab_trend"
