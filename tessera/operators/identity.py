@@ -38,13 +38,33 @@ def match(evidence: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.when(~conflict, subject).alias("subject_id"), F.when(~conflict, reason).alias("reason"), F.when(~conflict, confidence).alias("confidence"), conflict.alias("conflict"))
 
 
-def groups(evidence: DataFrame, key: str, fingerprints: list[str]) -> DataFrame:
-    """(key, group): rows that share a fingerprint, over any number of steps; the group is its least key.
+def subset_names(evidence: DataFrame, key: str, birth: str, name: str) -> DataFrame:
+    """Edges (a, b) between rows of one birth date where all words of one name are among the other's.
+
+    Equal names are first reduced to their least key. A name is then looked up only under
+    its rarest word (of its birth date), which any name that holds all its words must
+    hold too, so names are never compared in all pairs. Case and order of the words do not
+    count; null or empty names and null dates match nothing.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.col(name)), r"(?U)\s+"), lambda w: w != "")))
+    rows = evidence.select(F.col(key).alias("k"), F.col(birth).alias("birth"), words.alias("words")).where("birth is not null and size(words) > 0")
+    least = rows.groupBy("birth", "words").agg(F.min("k").alias("a"))
+    same = rows.join(least, ["birth", "words"]).where("a != k").select("a", F.col("k").alias("b"))
+    each = least.select("birth", "a", "words", F.explode("words").alias("word"))
+    often = each.groupBy("birth", "word").agg(F.count("*").alias("n"))
+    rarest = each.join(often, ["birth", "word"]).groupBy("birth", "a", "words").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    held = each.select("birth", "word", F.col("a").alias("b"), F.col("words").alias("more"))
+    inside = rarest.join(held, ["birth", "word"]).where((F.size("words") < F.size("more")) & (F.size(F.array_except("words", "more")) == 0))
+    return same.unionByName(inside.select("a", "b"))
+
+
+def groups(evidence: DataFrame, key: str, fingerprints: list[str], also: DataFrame | None = None) -> DataFrame:
+    """(key, group): rows that share a fingerprint, or that an edge (a, b) of ``also`` links, over any number of steps; the group is its least key.
 
     Rows link to the least key that has the same fingerprint, not to each other, so a
     fingerprint that many rows share costs one edge a row.
     """
-    edges = None
+    edges = also
     for column in fingerprints:
         held = evidence.where(F.col(column).isNotNull()).select(F.col(key).alias("b"), F.col(column).alias("_f"))
         part = held.join(held.groupBy("_f").agg(F.min("b").alias("a")), "_f").where("a != b").select("a", "b")

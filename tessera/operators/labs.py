@@ -10,12 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import italian_number, reference_range
-from tessera.functions.text import fold
+from tessera.functions.text import fold, let
 
 #: Units by their compact lower-case form.
 UNITS = {
-    "g/dl": "g/dL", "mg/dl": "mg/dL", "mg/l": "mg/L", "ug/l": "μg/L", "μg/l": "μg/L", "ng/ml": "ng/mL", "pg/ml": "pg/mL", "u/l": "U/L", "ui/l": "UI/L", "mmol/l": "mmol/L",
-    "meq/l": "mEq/L", "%": "%", "fl": "fL", "pg": "pg", "mm/h": "mm/h", "sec": "sec", "/μl": "/μL", "x10^3/μl": "×10³/μL", "x10^6/μl": "×10⁶/μL",
+    "mg/dl": "mg/dL", "mg/100ml": "mg/dL", "g/dl": "g/dL", "g/100ml": "g/dL", "ng/ml": "ng/mL", "ng/l": "ng/L", "pg/ml": "pg/mL", "mg/l": "mg/L", "g/l": "g/L", "ug/l": "μg/L", "μg/l": "μg/L", "μg/ml": "μg/mL", "ug/ml": "μg/mL", "μg/dl": "μg/dL", "ug/dl": "μg/dL",
+    "u/l": "U/L", "ui/l": "U/L", "iu/l": "U/L", "meq/l": "mEq/L", "mmol/l": "mmol/L", "μmol/l": "μmol/L", "umol/l": "μmol/L", "ml/min": "mL/min", "μu/ml": "μU/mL", "uu/ml": "μU/mL", "pmol/l": "pmol/L", "nmol/l": "nmol/L",
+    "ratio": "Ratio", "inr": "INR", "fl": "fL", "pg": "pg", "%": "%", "mm/h": "mm/h", "mm3": "mm³", "μl": "/μL", "ul": "/μL", "103/μl": "×10³/μL", "106/μl": "×10⁶/μL", "x10^3/μl": "×10³/μL", "x10^6/μl": "×10⁶/μL",
+}
+#: Names of analytes, in the order in which they are replaced.
+SYNONYMS = {
+    "hb": "emoglobina", "hgb": "emoglobina", "plt": "piastrine", "got": "ast", "gpt": "alt", "ast": "aspartato_aminotransferasi", "alt": "alanina_aminotransferasi", "creat.": "creatinina", "glicemia": "glucosio", "azotemia": "urea",
+    "ves": "velocita_eritrosedimentazione", "gb": "globuli_bianchi", "wbc": "globuli_bianchi", "gr": "globuli_rossi", "rbc": "globuli_rossi", "hct": "ematocrito", "mcv": "volume_corpuscolare_medio", "mch": "contenuto_emoglobinico_medio",
+    "mchc": "concentrazione_emoglobinica_media", "rdw": "ampiezza_distribuzione_eritrocitaria", "neutrofili": "neutrofili", "linfociti": "linfociti", "monociti": "monociti", "eosinofili": "eosinofili", "basofili": "basofili",
+    "pt": "tempo_protrombina", "pt (inr)": "tempo_protrombina_inr", "pt(inr)": "tempo_protrombina_inr", "pt (ratio)": "tempo_protrombina_ratio", "pt(ratio)": "tempo_protrombina_ratio", "ptt": "tempo_tromboplastina_parziale",
+    "aptt": "tempo_tromboplastina_parziale_attivata", "inr": "rapporto_normalizzato_internazionale", "fibrinogeno": "fibrinogeno", "d-dimero": "d_dimero", "pcr": "proteina_c_reattiva", "proteina_c_reattiva": "proteina_c_reattiva",
+    "tsh": "ormone_tireostimolante", "ft3": "triiodotironina_libera", "ft4": "tiroxina_libera", "t3": "triiodotironina", "t4": "tiroxina", "ldh": "lattato_deidrogenasi", "cpk": "creatinfosfochinasi", "ck": "creatinchinasi",
+    "troponina": "troponina", "nt-probnp": "nt_pro_bnp", "pro_bnp": "pro_bnp", "ca125": "ca_125", "ca 125": "ca_125", "cea": "antigene_carcinoembrionario", "afp": "alfa_fetoproteina", "psa": "antigene_prostatico_specifico",
+    "ca19-9": "ca_19_9", "ca 19.9": "ca_19_9", "bilirubina_totale": "bilirubina_totale", "bilirubina_diretta": "bilirubina_diretta", "bilirubina_indiretta": "bilirubina_indiretta", "colesterolo_totale": "colesterolo_totale",
+    "hdl": "colesterolo_hdl", "ldl": "colesterolo_ldl", "trigliceridi": "trigliceridi", "proteine_totali": "proteine_totali", "albumina": "albumina", "calcio": "calcio", "potassio": "potassio", "sodio": "sodio", "cloro": "cloro",
+    "magnesio": "magnesio", "ferro": "ferro", "ferritina": "ferritina", "transferrina": "transferrina", "acido_urico": "acido_urico", "uricemia": "acido_urico", "amilasi": "amilasi", "lipasi": "lipasi", "pct": "procalcitonina",
+    "egfr": "egfr", "vel. filtr. glomerulare (egfr)": "egfr", "iga": "immunoglobulina_a", "igg": "immunoglobulina_g", "igm": "immunoglobulina_m", "ige": "immunoglobulina_e",
+}
+#: Cells counted both ways, and analytes that another material makes another analyte, for some units (None: for any).
+DIFFERENTIAL = ["neutrofili", "linfociti", "monociti", "eosinofili", "basofili", "eritroblasti"]
+BY_MATERIAL = {
+    "emoglobina": {"urine": ["mg/dL"]}, "proteine": {"urine": ["mg/dL"], "liquor": ["mg/dL"]}, "glucosio": {"urine": None}, "leucociti": {"urine": None}, "eritrociti": {"urine": None}, "creatinina": {"urine": ["mg/24h", "g/24h"]},
+    "potassio": {"urine": ["mmol/24h"]}, "sodio": {"urine": ["mmol/24h"]}, "cloro": {"urine": ["mmol/24h"]}, "calcio": {"urine": ["mg/24h"]},
 }
 #: Results given in words.
 WORD_RESULTS = {"positivo": "POSITIVO", "positiva": "POSITIVO", "negativo": "NEGATIVO", "negativa": "NEGATIVO", "assente": "ASSENTE", "presente": "PRESENTE", "rilevabile": "RILEVABILE", "alterato": "ALTERATO", "tracce": "TRACCE"}
@@ -39,6 +60,34 @@ def normal_unit(unit: Column) -> Column:
     return F.coalesce(_lookup(UNITS, compact), F.trim(unit))
 
 
+def normal_parameter(name: Column, unit: Column, material: Column) -> Column:
+    """The canonical name of an analyte.
+
+    A name in SYNONYMS is replaced as a whole; in any other every synonym that stands in
+    it as whole words is replaced, one after the other, so a replacement can be replaced
+    again (got, ast). Blanks become '_'. Cells of the differential get '_percentuale' or
+    '_assoluti' by their unit, and analytes of BY_MATERIAL the material's name, if a unit
+    is given and fits. A null or empty name is empty.
+    """
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"[.,;: ]+$", "")
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in SYNONYMS.items()])
+    whole = lambda k: F.concat(F.lit(r"(?iU)\b\Q"), k, F.lit(r"\E\b"))
+    replaced = lambda text: F.aggregate(table, text, lambda t, x: F.when(F.contains(t, x["k"]), F.regexp_replace(t, whole(x["k"]), x["v"])).otherwise(t))
+    key = let(bare, lambda b: F.regexp_replace(F.replace(F.coalesce(_lookup(SYNONYMS, b), replaced(b)), F.lit(" "), F.lit("_")), "_+", "_"))
+
+    def suffixed(row: Column) -> Column:
+        k, u, m = row["key"], row["unit"], row["material"]
+        counted = k.isin(DIFFERENTIAL)
+        k2 = F.when(counted & (u == "%"), F.concat(k, F.lit("_percentuale"))).when(counted & u.isin("/μL", "×10³/μL", "×10⁶/μL"), F.concat(k, F.lit("_assoluti"))).otherwise(k)
+        gate = F.lit(False)
+        for analyte, gates in BY_MATERIAL.items():
+            for where, units in gates.items():
+                gate = gate | ((k2 == analyte) & (m == where) & (u.isin(units) if units else F.lit(True)))
+        return F.when(gate & (u != ""), F.concat_ws("_", k2, m)).otherwise(k2)
+
+    return let(F.struct(key.alias("key"), F.coalesce(normal_unit(unit), F.lit("")).alias("unit"), F.lower(F.trim(F.coalesce(material, F.lit("")))).alias("material")), suffixed)
+
+
 def out_of_range(value: Column, low: Column, high: Column, reference: Column, marker: Column) -> Column:
     """struct(abnormal, flag): one-sided references without '=' count the limit itself as outside; a printed marker decides."""
     compact = F.regexp_replace(F.coalesce(reference, F.lit("")), r"\s", "")

@@ -205,3 +205,28 @@ def event_bundle_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", F.lit("summary of"), "event_type", F.lit("value"), F.round("value", 0).cast("long").cast("string"), F.lit("for subject"), F.col("user_id").cast("string"))
     rows = df.select("user_id", "event_id", text.alias("text"), "day", "event_type", F.when(F.col("value") < LOW, "absent").otherwise("present").alias("polarity"), (F.lit(0.5) + F.col("event_id") % 4 / 10).alias("confidence"))
     return merge_bundles(rows, "user_id", "event_id", "text", "day", "event_type", "polarity", "confidence")
+
+
+#: Names of analytes with their unit and material, and the canonical names by hand.
+ANALYTES = [
+    ("Hb", "g/dl", "", "emoglobina"), ("Hb glicata", "%", "", "emoglobina_glicata"), ("GOT (AST)", "U/l", "", "aspartato_aminotransferasi_(aspartato_aminotransferasi)"), ("S-GPT", "UI/L", "", "s-alanina_aminotransferasi"), ("Creat.", "mg/dl", "", "creat"),
+    ("PT (INR)", "", "", "tempo_protrombina_inr"), ("PT ratio", "ratio", "", "tempo_protrombina_ratio"), ("Neutrofili", "%", "", "neutrofili_percentuale"), ("NEUTROFILI:", "x10^3/µL", "", "neutrofili_assoluti"), ("Neutrofili", "", "", "neutrofili"),
+    ("Emoglobina", "mg/dL", "urine", "emoglobina_urine"), ("Emoglobina", "g/dL", "urine", "emoglobina"), ("Proteine", "mg/dl", "Liquor", "proteine_liquor"), ("Glicemia", "mg/dl", "urine", "glucosio_urine"), ("Glicemia", "", "urine", "glucosio"), ("aPTT", "sec", "", "tempo_tromboplastina_parziale_attivata"), ("T4 libera", "ng/dl", "", "tiroxina_libera"),
+]
+
+
+@query(f"SELECT event_id, {_pick_sql([a[3] for a in ANALYTES], 1)} AS parameter FROM events")
+def parameter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda k: F.get(F.array(*[F.lit(a[k]) for a in ANALYTES]), (F.col("event_id") % len(ANALYTES)).cast("int"))
+    return read(spark, sf_dir, "events", "event_id").select("event_id", labs.normal_parameter(pick(0), pick(1), pick(2)).alias("parameter"))
+
+
+_NAMES = "(CASE c_custkey % 3 WHEN 0 THEN 'n' || c_custkey % 7 || ' m' || c_custkey % 11 WHEN 1 THEN 'M' || c_custkey % 11 || '  n' || c_custkey % 7 || ' x' || c_custkey % 5 ELSE 'n' || c_custkey % 7 || ' y' || c_custkey % 13 END)"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey % 45 AS birth, list_sort(list_distinct(string_split_regex(lower({_NAMES}), ' +'))) AS words FROM customer),
+  e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.birth = b.birth AND a.k <> b.k AND (list_has_all(a.words, b.words) OR list_has_all(b.words, a.words))),
+  w AS (SELECT k, k AS root FROM c UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.k WHERE w.root < e.b) SELECT k AS c_custkey, min(root) AS "group" FROM w GROUP BY k""")
+def subset_name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "customer", "c_custkey").select("c_custkey", (F.col("c_custkey") % 45).alias("birth"), F.expr(_NAMES.replace("||", "||")).alias("name"))
+    return identity.groups(df, "c_custkey", [], identity.subset_names(df, "c_custkey", "birth", "name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import masking
 from tessera.operators import deidentify
 from tessera.plans.registry import query, read
 
@@ -48,3 +49,16 @@ def nested_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct("source", F.col("doc_id").alias("n"), none.alias("none"), F.array(rows, F.array().cast("array<string>")).alias("rows"), F.struct(F.struct(F.get(rows, F.lit(0)).alias('k"ey')).alias("first"), (F.col("doc_id") % 2 == 0).alias("flag")).alias("more"))
     payload = F.to_json(record, {"ignoreNullFields": "false"})
     return df.select("doc_id", F.md5(deidentify.nested(payload, lambda x: F.regexp_replace(x, _EMAIL, "[EMAIL RIMOSSA]"))).alias("digest"))
+
+
+@query(f"""WITH n AS (SELECT doc_id, text, len(regexp_extract_all(text, '{masking.NUMBER}')) AS n FROM documents)
+  SELECT doc_id, n, CASE WHEN doc_id % 3 = 0 THEN 'new_number' WHEN doc_id % 3 = 1 AND n > 1 THEN 'reordered' END AS problem, CASE WHEN doc_id % 3 = 2 OR (doc_id % 3 = 1 AND n < 2) THEN md5(text) END AS digest FROM n""")
+def numbers_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with numbers masked and put back: as they are, with a number added, and with the first two tokens swapped."""
+    k = F.col("doc_id") % 3
+    df = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("code", masking.masked(F.col("text")))
+    a, b = F.lit("[[VALORE_A]]"), F.lit("[[VALORE_B]]")
+    swapped = F.replace(F.replace(F.replace("code", a, F.lit("\x01")), b, a), F.lit("\x01"), b)
+    given = F.when(k == 0, F.concat("code", F.lit(" 17"))).when((k == 1) & F.contains("code", b), swapped).otherwise(F.col("code"))
+    out = df.withColumn("given", given).select("doc_id", F.size(masking.literals(F.col("text"))).cast("long").alias("n"), masking.restored(F.col("given"), F.col("text")).alias("r"))
+    return out.select("doc_id", "n", F.col("r.problem").alias("problem"), F.md5("r.text").alias("digest"))
