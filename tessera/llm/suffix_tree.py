@@ -18,8 +18,8 @@ head of frequent runs are looked up where the tasks run, and all others are look
 a shuffle that deals the runs of the texts and of the tree by the same hash.
 
 Runs travel as sorted arrays of keys, one array for each bucket that a task feeds, and
-never as rows: keys have 48 bits beside their bucket (56 from WIDE_BYTES of text on).
-The unigram base is exact up to 64-bit hashes of words.
+as single rows only where a task feeds a bucket few of them: keys have 48 bits, of which the
+first tell the bucket (56 from WIDE_BYTES of text on). The unigram base is exact up to 64-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import BATCH_ROWS, drop_scratch, list_array, setting, shuffles_removed, utf8, write_scratch
 from tessera.llm.words import LOWER, U, mix, word_blocks
 
-#: Symbols of the longest contexts; three give 0.012 more log10 a token of held-out text at sf0.1, for half as many runs more.
-DEPTH = 2
+#: Symbols of the longest contexts.
+DEPTH = 3
 #: Fewest occurrences of a retained run, whatever the size of the corpus.
 LEAST_COUNT = 2
 DIVERGENCE = 1.5
@@ -147,6 +147,12 @@ _FED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("fi
 _COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "prefix", "suffix", "n")])
 
 
+def _stretches(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of each stretch of equal numbers; costs nothing for buckets that have no run."""
+    found, begin = np.unique(bucket, return_index=True)
+    return list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True)) if len(bucket) else []
+
+
 def _fed(bucket: int, first: bytes, second: bytes | None, counts: np.ndarray) -> tuple:
     ones = (counts == 1).all()
     return bucket, first, second, None if ones else counts.astype(np.uint32).tobytes()
@@ -175,9 +181,7 @@ def _count_runs(keys: Keys, length: int, passes: list, with_words: bool):
                 count = np.diff(np.append(first, len(key)))
                 at = order[first]
                 prefix, suffix, bucket = prefix[at], suffix[at], keys.bucket(key[first])
-                edges = np.searchsorted(bucket, np.arange(keys.buckets + 1))
-                for b in np.unique(bucket).tolist():
-                    lo, hi = edges[b], edges[b + 1]
+                for b, lo, hi in _stretches(bucket):
                     for chosen in (count[lo:hi] == 1, count[lo:hi] > 1):
                         if chosen.any():
                             p, s, n = prefix[lo:hi][chosen], suffix[lo:hi][chosen], count[lo:hi][chosen]
@@ -185,12 +189,8 @@ def _count_runs(keys: Keys, length: int, passes: list, with_words: bool):
                             fed.append(_fed(b, keys.pack(p[by]), keys.pack(s[by]), n[by]))
             if words:
                 word, n = np.unique(np.concatenate(words), return_counts=True)
-                edges = np.searchsorted(word >> U(32), np.arange(keys.buckets + 1, dtype=U) * U(1 << 32) // U(keys.buckets))
-                edges[-1] = len(word)
-                for b in range(keys.buckets):
-                    lo, hi = edges[b], edges[b + 1]
-                    if hi > lo:
-                        fed.append(_fed(-1 - b, word[lo:hi].tobytes(), None, n[lo:hi]))
+                for b, lo, hi in _stretches(((word >> U(32)) * U(keys.buckets)) >> U(32)):
+                    fed.append(_fed(-1 - b, word[lo:hi].tobytes(), None, n[lo:hi]))
             held.clear(), words.clear()
             return _rows(fed)
 
@@ -399,17 +399,15 @@ def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, val
                 key, place = flat(rest_runs).astype(U), flat(rest_places).astype(np.uint16)
                 order = np.argsort(key)
                 key, place = key[order], place[order]
-                bucket = keys.bucket(key)
-                edges = np.searchsorted(bucket, np.arange(keys.buckets + 1))
-                used = np.unique(bucket)
-                if len(used):
+                used = _stretches(keys.bucket(key))
+                if used:
                     m = len(used)
-                    packed = [keys.pack(key[edges[b] : edges[b + 1]]) for b in used]
-                    places = [place[edges[b] : edges[b + 1]].tobytes() for b in used]
+                    packed = [keys.pack(key[lo:hi]) for _, lo, hi in used]
+                    places = [place[lo:hi].tobytes() for _, lo, hi in used]
                     empty = [pa.nulls(m, batch.schema.field(k).type) for k, c in enumerate(names) if c != "text"]
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays(
-                        [*empty, pa.array(np.full(m, chunk)), *[pa.nulls(m, k) for k in kinds], pa.array(places, pa.binary()), pa.array(packed, pa.binary()), pa.array(used.astype(np.int64))],
+                        [*empty, pa.array(np.full(m, chunk)), *[pa.nulls(m, k) for k in kinds], pa.array(places, pa.binary()), pa.array(packed, pa.binary()), pa.array([b for b, _, _ in used], pa.int64())],
                         [*[c for c in names if c != "text"], *_SCORED.names],
                     )
                 chunk += 1
@@ -511,7 +509,7 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    with shuffles_removed(spark), setting(spark, BATCH_ROWS, str(CHUNK)):
+    with shuffles_removed(spark), setting(spark, BATCH_ROWS, str(CHUNK)), setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
         keys, words, levels, sets = grow_tree(source.where(~held_out()).select("text"), depth, least, divergence)
         size, kinds, ends = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
         size, ends = size or 0, ends or 0
@@ -539,7 +537,7 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     fields = rows.schema
     own = [T.StructField(f.name, f.dataType) for f in fields if f.name != "text"]
     passes = ([None, *sets])[:depth]
-    with setting(spark, BATCH_ROWS, str(CHUNK)):  # the tail of the runs goes into the shuffle at once and stands nowhere else
+    with setting(spark, BATCH_ROWS, str(CHUNK)), setting(spark, "spark.sql.parquet.compression.codec", "zstd"):  # the tail of the runs goes into the shuffle at once and stands nowhere else
         score = _score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends))
         met = rows.mapInArrow(score, T.StructType(own + _SCORED.fields)).groupBy("deal")
         tree = values.select("key", "value").mapInArrow(_pack_tree(keys), _PACKED).groupBy("deal")
