@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import carryover, fragments, matching
+from tessera.operators import carryover, coverage, fragments, matching
 from tessera.plans import relations
 from tessera.plans.registry import query, read
 
@@ -105,3 +105,33 @@ def separated_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     related = relations._related(spark, sf_dir)
     nodes = related.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return matching.separated_components(related.where("effect = 'cohesive'").select("a", "b", "weight"), nodes, related.where("effect = 'cannot_link'").select("a", "b"))
+
+
+# --- coverage: sentences with signals put between a document's own, and facts that cover some of them
+
+#: Sentences and the types they signal, by hand.
+SIGNALLED = [
+    ("TC torace: evidenza di nodulo polmonare", ["radiology_finding"]), ("Lamenta tosse e dispnea", ["symptom"]), ("Dolore risolto", []), ("Biopsia: melanoma", ["diagnosis", "procedure"]), ("Eseguita colonscopia", []),
+    ("PA 120/80, FC 70", ["vital_sign"]), ("Si propone intervento chirurgico", ["procedure", "clinical_decision"]), ("Ricovero per polmonite, poi dimesso", ["hospitalization", "discharge"]), ("BRAF mutato", ["biomarker"]), ("Sta bene", []), ("Assume aspirina", ["medication"]),
+]
+_GIVEN = ["instrumental_finding", "symptom", "clinical_sign", "histopathology", "clinical_decision", "biomarker", "discharge"]
+
+
+def _signalled_sql() -> str:
+    rows = ", ".join(f"({i}, '{kind}', {'true' if 'Si propone' in text else 'false'}, {'true' if 'Biopsia' in text else 'false'})" for i, (text, kinds) in enumerate(SIGNALLED) for kind in kinds)
+    return f"k(s, kind, planned, pathology) AS (VALUES {rows})"
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+ ')) AS x, generate_subscripts(string_split_regex(text, '[.!?]+ '), 1) AS n FROM documents), {_signalled_sql()},
+  g AS (SELECT doc_id, n, kind, planned, pathology FROM d JOIN k ON k.s = (doc_id + n) % {len(SIGNALLED)}),
+  f AS (SELECT DISTINCT doc_id, n, {'[' + ', '.join(f"'{x}'" for x in _GIVEN) + ']'}[(doc_id + 2 * n) % {len(_GIVEN)} + 1] AS kind FROM d WHERE n % 2 = 0),
+  m AS (SELECT g.doc_id, g.n, g.kind FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.n = g.n AND (f.kind = g.kind OR (g.kind = 'radiology_finding' AND f.kind = 'instrumental_finding') OR (g.kind = 'vital_sign' AND f.kind = 'clinical_sign')
+    OR (g.planned AND g.kind IN ('procedure', 'clinical_decision') AND f.kind IN ('procedure', 'clinical_decision')) OR (g.pathology AND g.kind IN ('diagnosis', 'procedure') AND f.kind = 'histopathology'))))
+  SELECT doc_id, array_to_string(list_sort(list(DISTINCT n)), ',') AS sentences, array_to_string(list_sort(list(DISTINCT kind)), ',') AS fact_types FROM m GROUP BY doc_id""")
+def coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "[.!?]+ ")).alias("n", "x")).withColumn("n", F.col("n") + 1)
+    pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+    rows = rows.select("doc_id", "n", pick([t for t, _ in SIGNALLED], F.col("doc_id") + F.col("n")).alias("x"))
+    facts = rows.where("n % 2 = 0").select("doc_id", pick(_GIVEN, F.col("doc_id") + 2 * F.col("n")).alias("fact_type"), F.array("n").alias("refs"))
+    missing = coverage.missing_signals(rows, facts, "doc_id", "n", "x", F.contains("x", F.lit("aspirina")))
+    return coverage.recovery_plan(missing, "doc_id", "n").select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("fact_types", ",").alias("fact_types"))
