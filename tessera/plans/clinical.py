@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import evidence, identity, labs, toxicity
@@ -230,3 +232,31 @@ _NAMES = "(CASE c_custkey % 3 WHEN 0 THEN 'n' || c_custkey % 7 || ' m' || c_cust
 def subset_name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "customer", "c_custkey").select("c_custkey", (F.col("c_custkey") % 45).alias("birth"), F.expr(_NAMES.replace("||", "||")).alias("name"))
     return identity.groups(df, "c_custkey", [], identity.subset_names(df, "c_custkey", "birth", "name"))
+
+
+#: Layouts of tables made of an order's lines: what each column holds, in order.
+LAYOUTS = [["Esame", "Risultato", "Unità", "Riferimento"], ["Intervallo", "Value", "Parameter", "Note", "U.M."], ["Voce", "A", "B", "C"]]
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS row_no, l_quantity AS q, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 < 2),
+  v AS (SELECT *, CASE WHEN n % 4 = 3 THEN NULL ELSE q / 2 END AS value FROM l WHERE n % 5 <> 4)
+  SELECT l_orderkey, CAST(row_no AS INT) AS row_no, CASE WHEN n % 2 = 0 THEN 'emoglobina' ELSE 'potassio' END AS name, value, CASE WHEN value IS NULL THEN 'NEGATIVO' END AS value_text, CASE WHEN n % 2 = 0 THEN 'g/dL' ELSE 'mmol/L' END AS unit,
+    CASE WHEN value IS NULL THEN false ELSE value > 16 OR value < 4 END AS abnormal, CASE WHEN value > 16 THEN 'H' WHEN value < 4 THEN 'L' END AS flag FROM v""")
+def lab_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a table in one of three layouts; the third names no analyte and no value."""
+    from tessera.operators.lab_tables import table_results
+
+    n = F.col("l_linenumber")
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    number = F.replace(F.format_string("%.1f", F.col("l_quantity") / 2), F.lit("."), F.lit(","))
+    name = F.when(n % 5 == 4, "Pagina").when(n % 2 == 0, "Hb").otherwise("Potassio")
+    held = {"name": name, "value": F.when(n % 4 == 3, "negativo").otherwise(number), "unit": F.when(n % 2 == 0, "g/dl").otherwise("mmol/l"), "range": F.lit("4-16")}
+    order = [["name", "value", "unit", "range"], ["range", "value", "name", None, "unit"], ["name", "value", "unit", "range"]]
+    cells = lambda names, values: F.array(*[F.struct(F.lit(i).alias("c"), (F.lit(names[i]) if names else values[i]).alias("x")) for i in range(len(names or values))])
+    by_layout = lambda made: reduce(lambda a, k: F.when(F.col("l_orderkey") % 3 == k, made(k)).otherwise(a), (0, 1), made(2))
+    body = by_layout(lambda k: cells(None, [held[x] if x else F.lit("x") for x in order[k]]))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_partkey", "l_suppkey"))
+    rows = lines.select("l_orderkey", place.alias("row_no"), body.alias("cells"))
+    heads = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("row_no"), by_layout(lambda k: cells(LAYOUTS[k], None)).alias("cells"))
+    flat = rows.unionByName(heads).select("l_orderkey", "row_no", F.explode("cells").alias("e")).select("l_orderkey", "row_no", "e.c", "e.x")
+    return table_results(flat, ["l_orderkey"], "row_no", "c", "x").select("l_orderkey", "row_no", "name", "value", "value_text", "unit", "abnormal", "flag")
