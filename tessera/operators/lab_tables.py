@@ -1,20 +1,21 @@
-"""Laboratory results out of tables: what a column holds is read from its header, whatever the layout.
+"""Laboratory results out of tables and text: what a column holds is read from its header, whatever the layout.
 
 Cells are rows (table, row, column, text), so a table of any size is a few groupings and
 joins by table. A table whose header names no analyte or no value column is a page's
-layout and gives nothing; the line parser is for such text.
+layout and gives nothing; text_results() is for such text: result lines with or without
+a colon and blocks of pipe rows, with the page and specimen in force where they stand.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import italian_number, reference_range
 from tessera.functions.text import let
-from tessera.operators.labs import normal_parameter, normal_unit, out_of_range, worded_abnormal
+from tessera.operators.labs import normal_parameter, normal_unit, out_of_range, pipe_rows, with_specimen, worded_abnormal
 
 #: Parts of header names by what the column holds; the first that fits a header counts.
 ROLES = {"parameter": ["parametro", "esame", "analita", "test", "parameter"], "value": ["valore", "risultato", "value", "result"], "unit": ["unità", "unita", "unit", "u.m."], "reference": ["range", "riferimento", "intervallo", "ref"]}
@@ -33,6 +34,19 @@ ANALYTES = [
     "testosterone", "paratormone", "immunoglobulin", "iga", "igg", "igm", "ige", "hbs", "hbc", "hbe", "hcv", "hiv", "cea", "afp", "psa", "ca 125", "ca125", "ca 19",
 ]
 ANALYTE_UNITS = ["mg/dl", "g/dl", "ng/ml", "ng/l", "pg/ml", "μg/ml", "μg/dl", "u/l", "mmol/l", "μmol/l", "meq/l", "fl", "pg", "%", "mm/h", "/μl", "×10³/μl", "×10⁶/μl", "ml/min", "μu/ml", "pmol/l", "nmol/l", "inr", "ratio"]
+#: Fixed values, patterns: numbers, units and references of results, names that are a page's furniture, lines that number a page.
+NUMBER = r"[+-]?(?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d+)?"
+UNIT = (
+    r"(?:[x×]\s*10\s*(?:\^|\*\*)?\s*[36]\s*/\s*[µμu]?[lL]|(?:mg|g|ng|pg|µg|μg|ug|mmol|µmol|μmol|umol|mEq|U|UI|IU|µU|μU|uU|mL|ml|L|fL|fl|pmol|nmol|kU)"
+    r"\s*/\s*(?:dL|dl|mL|ml|L|l|µL|μL|uL|min|24h)|/[\s]*(?:µL|μL|uL|mm3)|%|fL|fl|pg|INR|Ratio|mm/h|mm3|m²)"
+)
+REFERENCE = rf"(?:{NUMBER}\s*[-–]\s*{NUMBER}|[<>]=?\s*{NUMBER})"
+WORDS = r"(?:NEGATIVO|POSITIVO|DEBOLE\s*POSITIVO|DEBOLMENTE\s*POSITIVO|FORTEMENTE\s*POSITIVO|ASSENTE|PRESENTE|NON\s*RILEVABILE|RILEVABILE|NELLA\s*NORMA|ALTERATO|SCARSI|NUMEROSI|RARI|DEBOLE|NEGATIVITA|POSITIVITA)"
+NUMERIC_RESULT = rf"(?iuU)^\s*([<>]=?)?\s*({NUMBER})\s*(\*{{1,3}}|!|H|L|↑|↓)?\s*({UNIT})?\s*(?:\(?\s*({REFERENCE})\s*\)?)?(?:\s+.*)?$"
+WORDED_RESULT = rf"(?iuU)^\s*({WORDS})\s*(\*{{1,3}}|!|H|L|↑|↓)?\s*(?:({UNIT})\s*)?(?:\(?\s*({REFERENCE})\s*\)?)?(?:\s+.*)?$"
+WITHOUT_COLON = rf"(?iuU)^\s*([A-Za-zÀ-ÿΑ-ωµμ][^\n:]{{1,100}}?)\s+((?:[<>]=?\s*)?(?:{NUMBER}|{WORDS}).*)$"
+PAGE_LINE = r"(?i)(?:---\s*)?(?:PAGINA|\[PAGINA)\s*:?\s*(\d+)"
+FURNITURE = [r"(?i)^coordinatrice", r"\d[\d.,]*\s+[-–]\s+\d", r"(?:^|[\s(])[-–]\s*\d", r"^\(?\s*\d[\d\s]{2,}\s+[-–]", r"in\s+data[\s_:]*\d", r"(?i)^ingresso[\s_]*\d"]
 
 
 def role_of(header: Column) -> Column:
@@ -48,7 +62,8 @@ def plausible_analyte(name: Column, unit: Column) -> Column:
         low = F.lower(row["name"])
         has = lambda parts: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
         formed = F.length(row["name"]).between(1, 100) & row["name"].rlike("[A-Za-zÀ-ÿΑ-ω]")
-        return formed & ~has(NO_ANALYTE) & (has(ANALYTES) | F.lower(F.translate(row["unit"], "µ", "μ")).isin(ANALYTE_UNITS))
+        furniture = reduce(lambda a, b: a | b, [row["name"].rlike(p) for p in FURNITURE])
+        return formed & ~furniture & ~has(NO_ANALYTE) & (has(ANALYTES) | F.lower(F.translate(row["unit"], "µ", "μ")).isin(ANALYTE_UNITS))
 
     bare = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\[\d+\]\s*", ""))
     return let(F.struct(bare.alias("name"), F.coalesce(unit, F.lit("")).alias("unit")), judged)
@@ -96,3 +111,45 @@ def table_results(cells: DataFrame, table: list[str], row: str, column: str, tex
         *table, row, "parameter", name.alias("name"), "value", "value_text", "unit", F.col("_r.low").alias("low"), F.col("_r.high").alias("high"),
         F.when(in_words, worded).otherwise(F.col("_s.abnormal")).alias("abnormal"), F.when(in_words, F.when(worded, "*")).otherwise(F.col("_s.flag")).alias("flag"),
     )
+
+
+def text_results(lines: DataFrame, document: str, number: str = "line_no", line: str = "line") -> DataFrame:
+    """document, number, page, specimen, parameter, name, value, value_text, operator, unit, low, high, abnormal, flag, confidence: the results that lines state.
+
+    A result line is 'name: result' or 'name result', where a result is a number or words
+    with an optional flag, unit and reference; a pipe row counts if another stands next to
+    it. The page is the latest page line's, the specimen the latest section heading's. A
+    line that is no plausible analyte's is left out; null lines are empty; lines are
+    unique by document and number.
+    """
+    text = F.coalesce(F.col(line), F.lit(""))
+    order = Window.partitionBy(document).orderBy(number)
+    rows = lines.select(document, number, text.alias("_line"))
+    rows = with_specimen(rows, document, number, "_line")
+    page = F.regexp_extract("_line", PAGE_LINE, 1).try_cast("int")
+    rows = rows.withColumns({"_page": page, "_pipe": F.ltrim("_line").startswith("|")})
+    beside = F.coalesce(F.lag("_pipe").over(order), F.lit(False)) | F.coalesce(F.lead("_pipe").over(order), F.lit(False))
+    rows = rows.withColumns({"page": F.last("_page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_block": F.col("_pipe") & beside}).where("_page is null")
+
+    bare = F.trim(F.regexp_replace(F.trim("_line"), r"^\[\d+\]\s*", ""))
+    plain = rows.where("not _pipe").withColumn("_bare", bare)
+    colon = F.instr("_bare", ":")
+    name = F.when(colon > 0, F.substring("_bare", F.lit(1), colon - 1)).otherwise(F.regexp_extract("_bare", WITHOUT_COLON, 1))
+    said = F.when(colon > 0, F.substring("_bare", colon + 1, F.length("_bare"))).otherwise(F.regexp_extract("_bare", WITHOUT_COLON, 2))
+    plain = plain.withColumns({"parameter": F.regexp_replace(F.regexp_replace(name, r"\s+", " "), "^[ -]+|[ -]+$", ""), "_said": said}).where("parameter != ''")
+    numeric, worded = F.col("_said").rlike(NUMERIC_RESULT), F.col("_said").rlike(WORDED_RESULT)
+    got = lambda n, w: F.trim(F.when(numeric, F.regexp_extract("_said", NUMERIC_RESULT, n)).otherwise(F.regexp_extract("_said", WORDED_RESULT, w)))
+    plain = plain.where(numeric | worded).withColumns({"unit": normal_unit(got(4, 3)), "_reference": got(5, 4), "_flag": F.upper(got(3, 2)), "_numeric": numeric, "operator": F.nullif(F.when(numeric, F.regexp_extract("_said", NUMERIC_RESULT, 1)), F.lit(""))})
+    plain = plain.where(plausible_analyte(F.col("parameter"), F.col("unit")))
+    plain = plain.withColumns({"value": F.when(F.col("_numeric"), counted_value(F.regexp_extract("_said", NUMERIC_RESULT, 2), F.col("unit"))), "value_text": F.when(~F.col("_numeric"), worded_result(F.regexp_extract("_said", WORDED_RESULT, 1)))})
+    plain = plain.where("value is not null or value_text is not null").withColumn("_r", F.when(F.col("_numeric"), reference_range(F.col("_reference"))))
+    status = out_of_range(F.col("value"), F.col("_r.low"), F.col("_r.high"), F.col("_reference"), F.col("_flag"))
+    marked = F.when(F.col("_flag").isin("H", "↑"), "H").when(F.col("_flag").isin("L", "↓"), "L").when(F.col("_flag") != "", "*")
+    flag = F.when(F.col("_numeric"), status["flag"]).otherwise(F.coalesce(marked, F.when(worded_abnormal(F.col("parameter"), F.col("value_text")), "*")))
+    plain = plain.withColumn("flag", flag).select(document, number, "page", "specimen", "parameter", "value", "value_text", "operator", "unit", F.col("_r.low").alias("low"), F.col("_r.high").alias("high"), "flag", F.when(F.col("_reference") != "", 0.98).otherwise(0.92).alias("confidence"))
+
+    piped = pipe_rows(rows.where("_block"), "_line").where(plausible_analyte(F.col("parameter"), F.col("unit")))
+    none = F.lit(None).cast("string")
+    piped = piped.select(document, number, "page", "specimen", "parameter", "value", none.alias("value_text"), none.alias("operator"), "unit", "low", "high", "flag", F.lit(0.9).alias("confidence"))
+    both = plain.unionByName(piped)
+    return both.select(document, number, "page", "specimen", "parameter", normal_parameter(F.col("parameter"), F.col("unit"), F.col("specimen")).alias("name"), "value", "value_text", "operator", "unit", "low", "high", F.col("flag").isNotNull().alias("abnormal"), "flag", "confidence")

@@ -16,7 +16,7 @@ from tessera.functions.text import fold, let
 UNITS = {
     "mg/dl": "mg/dL", "mg/100ml": "mg/dL", "g/dl": "g/dL", "g/100ml": "g/dL", "ng/ml": "ng/mL", "ng/l": "ng/L", "pg/ml": "pg/mL", "mg/l": "mg/L", "g/l": "g/L", "ug/l": "μg/L", "μg/l": "μg/L", "μg/ml": "μg/mL", "ug/ml": "μg/mL", "μg/dl": "μg/dL", "ug/dl": "μg/dL",
     "u/l": "U/L", "ui/l": "U/L", "iu/l": "U/L", "meq/l": "mEq/L", "mmol/l": "mmol/L", "μmol/l": "μmol/L", "umol/l": "μmol/L", "ml/min": "mL/min", "μu/ml": "μU/mL", "uu/ml": "μU/mL", "pmol/l": "pmol/L", "nmol/l": "nmol/L",
-    "ratio": "Ratio", "inr": "INR", "fl": "fL", "pg": "pg", "%": "%", "mm/h": "mm/h", "mm3": "mm³", "μl": "/μL", "ul": "/μL", "103/μl": "×10³/μL", "106/μl": "×10⁶/μL", "x10^3/μl": "×10³/μL", "x10^6/μl": "×10⁶/μL",
+    "ratio": "Ratio", "inr": "INR", "fl": "fL", "pg": "pg", "%": "%", "mm/h": "mm/h", "mm3": "mm³", "μl": "/μL", "ul": "/μL", "/μl": "/μL", "103/μl": "×10³/μL", "106/μl": "×10⁶/μL", "x10^3/μl": "×10³/μL", "x10^6/μl": "×10⁶/μL",
 }
 #: Names of analytes, in the order in which they are replaced.
 SYNONYMS = {

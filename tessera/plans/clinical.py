@@ -260,3 +260,27 @@ def lab_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("row_no"), by_layout(lambda k: cells(LAYOUTS[k], None)).alias("cells"))
     flat = rows.unionByName(heads).select("l_orderkey", "row_no", F.explode("cells").alias("e")).select("l_orderkey", "row_no", "e.c", "e.x")
     return table_results(flat, ["l_orderkey"], "row_no", "c", "x").select("l_orderkey", "row_no", "name", "value", "value_text", "unit", "abnormal", "flag")
+
+
+#: Lines put among an order's: what the line says, and by hand the name, value, words, unit and flag it gives (None: no result).
+SAID = [
+    ("Emoglobina: 10,5 * g/dL (12-16)", ("emoglobina", 10.5, None, "g/dL", "L")), ("Sodio 140 mmol/L", ("sodio", 140.0, None, "mmol/L", None)), ("HIV: NEGATIVO", ("hiv", None, "NEGATIVO", "", None)), ("Testo senza risultato", None),
+    ("HBsAg Positivo", ("hbsag", None, "POSITIVO", "", "*")), ("PCR < 0,5 mg/dL", ("proteina_c_reattiva", 0.5, None, "mg/dL", None)), ("Laboratorio: 3 %", None), ("| Cloro | 100 | | mmol/L | 90-110 |", None),
+]
+
+
+def _said_sql(k: int) -> str:
+    shown = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return "CASE s " + " ".join(f"WHEN {i} THEN {shown(answer[k])}" for i, (_, answer) in enumerate(SAID) if answer) + " END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS line_no FROM lineitem), k AS (SELECT *, CAST((l_orderkey + 3 * line_no) % {len(SAID)} AS INT) AS s FROM l)
+  SELECT l_orderkey, CAST(line_no AS INT) AS line_no, {_said_sql(0)} AS name, CAST({_said_sql(1)} AS DOUBLE) AS value, {_said_sql(2)} AS value_text, {_said_sql(3)} AS unit, {_said_sql(4)} AS flag FROM k WHERE s NOT IN (3, 6, 7)""")
+def lab_text_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as lines of a report; a lone pipe row is no table."""
+    from tessera.operators.lab_tables import text_results
+
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_partkey", "l_suppkey"))
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey").select("l_orderkey", place.alias("line_no"))
+    line = F.get(F.array(*[F.lit(text) for text, _ in SAID]), ((F.col("l_orderkey") + 3 * F.col("line_no")) % len(SAID)).cast("int"))
+    return text_results(rows.withColumn("line", line), "l_orderkey").select("l_orderkey", "line_no", "name", "value", "value_text", "unit", "flag")
