@@ -193,9 +193,9 @@ def _apart(kept: DataFrame, vocabulary: DataFrame, groups: DataFrame) -> DataFra
     """lang, source, item, value: each pair of groups of a language, both ways."""
     blocks = groups.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.greatest(F.ceil(F.sqrt("n")), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
-    chunk = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / CHUNK)).cast("int")
-    sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    numbered = vocabulary.join(sizes, "lang").select("lang", "term", chunk.alias("chunk"))
+    # as many chunks in every language as the largest needs, so that no language's terms meet in one task
+    chunks = max(1, -(-(groups.agg(F.max("terms")).first()[0] or 0) // CHUNK))
+    numbered = vocabulary.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(chunks)).cast("int").alias("chunk"))
     numbered = numbered.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")))
     packed = kept.join(numbered, ["lang", "term"]).groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("place", "count")).alias("_pairs"))
     packed = packed.select("lang", "source", "chunk", F.col("_pairs.place").alias("places"), F.col("_pairs.count").alias("counts"))
