@@ -34,7 +34,7 @@ LEAST_DOCUMENTS = 30
 SCALE, PRIOR = 1_000_000_000, 5
 TOP_TERMS = 50
 #: Terms a chunk of the vocabulary has, most groups a block has on average, distinct terms a counting task holds, bytes of a slice of text.
-CHUNK, BLOCK, HELD, SLICE = 1024, 256, 200_000, 1 << 20
+CHUNK, BLOCK, HELD, SLICE = 1024, 256, 400_000, 1 << 20
 
 
 def _words(text: bytes) -> Iterator[list[bytes]]:
@@ -82,7 +82,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count, documents: occurrences of each term in each group, and how many of its documents have it."""
-    return _plain(docs).mapInArrow(_counted, "lang string, source string, term string, count long, documents long").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+    counted = _plain(docs).mapInArrow(_counted, "lang string, source string, term string, count long, documents long")
+    # the tasks have summed already, so rows are dealt as they come and summed once
+    return counted.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
