@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from tessera.operators.evaluation import ratio, text_ratio
+from tessera.operators.evaluation import text_ratio
 from tessera.operators.relational import bounded_pairs
+from tessera.operators.rounds import Rounds
 
 
 def identity_groups(df: DataFrame, identity: list[Column], key: str, order: list[str], rich: Column) -> DataFrame:
@@ -43,33 +45,63 @@ def merge_findings(df: DataFrame, keys: list[str], key: str, order: list[str], g
     return df.groupBy(*keys).agg(F.min_by(key, at).alias("base"), F.array_sort(F.collect_set(key)).alias("merged"), F.max(grade).alias("worst_grade"), F.array_sort(F.collect_set(organs)).alias("organs"))
 
 
-def timeline_dedupe(df: DataFrame) -> DataFrame:
-    """Survivors of a timeline (subject, day, category, entry_id, description, confidence), with merged_into ids.
+def leaders(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, leader): every row in its order joins the first row before it that leads and is its partner, or leads itself.
+
+    ``pairs`` has columns key and before (a partner earlier in the order) and place (the
+    partner's place in the order). In a round a row with a leading partner follows, and
+    one whose partners all follow leads; so no group needs a task of its own. A chain of
+    rows of which each is only the next one's partner takes a round a link.
+    """
+    rounds = Rounds(rows.sparkSession, "leaders")
+    links = rounds.cut(pairs.select(key, "before", "place"))
+    lead, follow = [rounds.cut(rows.select(key).join(links.select(key), key, "left_anti"))], []
+    open_ = links.select(key, "before")
+    while True:
+        now = rounds.cut(open_.join(lead[-1].withColumnRenamed(key, "before"), "before", "left_semi").select(key).distinct())
+        follow.append(now)
+        left = open_.join(now, key, "left_anti")
+        undecided = left.select(key).distinct()
+        left = rounds.cut(left.join(now.withColumnRenamed(key, "before"), "before", "left_anti"))
+        lead.append(rounds.cut(undecided.join(left.select(key), key, "left_anti")))
+        open_ = left
+        if left.isEmpty():
+            break
+    heads = reduce(DataFrame.unionByName, lead)
+    first = links.join(reduce(DataFrame.unionByName, follow), key, "left_semi").join(heads.withColumnRenamed(key, "before"), "before", "left_semi").groupBy(key).agg(F.min_by("before", "place").alias("leader"))
+    out = rounds.cut(heads.select(key, F.col(key).alias("leader")).unionByName(first))
+    rounds.cleared(out)
+    return out
+
 
-    Stage 1 groups exact copies in Spark. Stages 2 and 3 compare inside one subject, date
-    (or week) and category: ratio >= .75 on the same date, >= .95 within seven days. The
-    survivor is the longest description, then the most confident, then the least id.
+def timeline_dedupe(df: DataFrame) -> DataFrame:
+    """Survivors of a timeline (subject, day, category, entry_id, description, confidence), with the merged ids.
+
+    Exact copies (case and white space aside) of a subject, day and category become one.
+    Then, in order of the longest description, the most confident, the least id, an entry
+    joins the first survivor of its subject and category that is like it: ratio >= .75 on
+    the same day, >= .95 within seven days. Pairs come from joins by day and week, and
+    those whose lengths rule the ratio out are not compared. Entries without a
+    subject, day or category only have exact copies. entry_id is unique.
     """
     folded = F.lower(F.trim(F.regexp_replace("description", r"\s+", " ")))
     exact = df.withColumn("_f", folded).groupBy("subject", "day", "category", "_f").agg(
         F.min_by("entry_id", F.struct(-F.length("description"), -F.col("confidence"), F.col("entry_id"))).alias("entry_id"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("entry_id")).alias("merged"), F.min("description").alias("description")
     )
-    schema = "subject long, day date, category string, entry_id long, description string, confidence double, merged array<long>"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(size=-rows["description"].str.len(), conf=-rows["confidence"]).sort_values(["size", "conf", "entry_id"])
-        kept: list[dict] = []
-        for row in rows.to_dict("records"):
-            for other in kept:
-                days = abs((row["day"] - other["day"]).days)
-                if days <= 7 and ratio(row["description"], other["description"]) >= (0.75 if days == 0 else 0.95):
-                    other["merged"] = sorted({*other["merged"], *row["merged"]})
-                    break
-            else:
-                kept.append(row | {"merged": list(row["merged"])})
-        return pd.DataFrame(kept)[["subject", "day", "category", "entry_id", "description", "confidence", "merged"]]
-
-    return exact.drop("_f").groupBy("subject", "category").applyInPandas(fold, schema)
+    rounds = Rounds(df.sparkSession, "timeline")
+    exact = rounds.cut(exact.drop("_f"))
+    placed = exact.select("subject", "category", "day", "entry_id", "description", F.struct((-F.length("description")).alias("size"), (-F.col("confidence")).alias("doubt"), "entry_id").alias("place")).where("day is not null")
+    week = F.floor(F.datediff("day", F.lit("1970-01-05").cast("date")) / 7)
+    late = placed.select("subject", "category", "entry_id", F.col("description").alias("_b"), F.col("place").alias("_pb"), F.col("day").alias("_db"), F.explode(F.array(week - 1, week, week + 1)).alias("_week"))
+    early = placed.select("subject", "category", F.col("entry_id").alias("before"), F.col("description").alias("_a"), "place", F.col("day").alias("_da"), week.alias("_week"))
+    days = F.abs(F.datediff("_da", "_db"))
+    met = late.join(early, ["subject", "category", "_week"]).where((F.col("place") < F.col("_pb")) & (days <= 7)).withColumn("_least", F.when(days == 0, 0.75).otherwise(0.95))
+    a, b = F.length("_a"), F.length("_b")
+    pairs = met.where(2 * F.least(a, b) >= F.col("_least") * (a + b)).where(text_ratio("_b", "_a") >= F.col("_least"))
+    of = leaders(exact.select("entry_id"), pairs, "entry_id")
+    joined = exact.join(of, "entry_id")
+    together = joined.groupBy("leader").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("merged")))).alias("merged")).withColumnRenamed("leader", "entry_id")
+    return exact.drop("merged").join(together, "entry_id").select("subject", "day", "category", "entry_id", "description", "confidence", "merged")
 
 
 def first_of_hash(df: DataFrame, content: str, order: list[str]) -> DataFrame:

@@ -155,6 +155,38 @@ def test_near_copies_equal_a_plain_pass(spark, k):
     assert sorted(map(tuple, dedup.near_copies(df, ["block"], ["i"], "i", "doc", "text", k).collect())) == sorted(want) and want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_timeline_equals_a_fold_over_entries(spark, seed):
+    import datetime as dt
+
+    rng = random.Random(seed)
+    base = ["mild headache reported by the patient at home", "chest pain on exertion", "chest pain at rest"]
+    rows = []
+    for i in range(80):
+        words = rng.choice(base).split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(["new", "old"])
+        text = " ".join(words)
+        rows.append((rng.randrange(2), dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(20)) if i % 13 else None, rng.choice(["symptom", None]), i, text.upper() if i % 5 == 0 else text, rng.choice([0.5, 0.9])))
+    exact = {}
+    for subject, day, category, i, text, sure in rows:
+        exact.setdefault((subject, day, category, " ".join(text.lower().split())), []).append((i, text, sure))
+    kept = []
+    entries = []
+    for (subject, day, category, _), copies in exact.items():
+        lead = min(copies, key=lambda c: (-len(c[1]), -c[2], c[0]))
+        entries.append([subject, day, category, lead[0], min(c[1] for c in copies), max(c[2] for c in copies), [c[0] for c in copies]])
+    for e in sorted(entries, key=lambda e: (-len(e[4]), -e[5], e[3])):
+        for k in kept:
+            if k[0] == e[0] and k[2] is not None and k[2] == e[2] and k[1] and e[1] and abs((k[1] - e[1]).days) <= 7 and evaluation.ratio(e[4], k[4]) >= (0.75 if k[1] == e[1] else 0.95):
+                k[6] += e[6]
+                break
+        else:
+            kept.append(e)
+    got = dedup.timeline_dedupe(spark.createDataFrame(rows, "subject long, day date, category string, entry_id long, description string, confidence double")).collect()
+    assert {r.entry_id: (*r[:3], r.description, r.confidence, list(r.merged)) for r in got} == {k[3]: (*k[:3], k[4], k[5], sorted(k[6])) for k in kept}
+
+
 # --- separated components
 
 
