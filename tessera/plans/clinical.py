@@ -177,7 +177,7 @@ def treatment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, CAST(ts AS DATE) AS day, event_type AS entity, CASE WHEN event_type IN ('click', 'view') THEN 'web' ELSE 'account' END AS system, user_id % 7 AS document, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS category FROM events),
-  c AS (SELECT * FROM o WHERE value < 5), e AS (SELECT * FROM o WHERE value > 100),
+  c AS (SELECT * FROM o WHERE value < 5), e AS (SELECT * FROM o WHERE value >= 5),
   p AS (SELECT c.event_id AS item_id, e.event_id, e.day, c.entity = e.entity AS same, CASE WHEN c.entity = e.entity THEN 7 ELSE 0 END + CASE WHEN c.category = e.category THEN 2 ELSE 0 END + CASE WHEN c.system = e.system THEN 3 ELSE 0 END + CASE WHEN c.document = e.document THEN 3 ELSE 0 END
     + CASE WHEN abs(c.day - e.day) <= 7 THEN 2 WHEN abs(c.day - e.day) <= 30 THEN 1 ELSE 0 END AS score FROM c JOIN e USING (user_id) WHERE c.entity = e.entity OR (c.system = e.system AND c.document = e.document)),
   r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, day DESC, event_id DESC) AS n FROM p WHERE same OR score >= 7) SELECT item_id, event_id, CAST(score AS INT) AS score FROM r WHERE n = 1""")
@@ -187,7 +187,7 @@ def contextual_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = observations(spark, sf_dir).select(
         "user_id", "event_id", "day", "value", F.col("event_type").alias("entity"), F.when(F.col("event_type").isin("click", "view"), "web").otherwise("account").alias("system"), (F.col("user_id") % 7).alias("document"), F.when(F.col("value") > 50, "high").otherwise("low").alias("category")
     )
-    return attach_context(df.where("value < 5").withColumnRenamed("event_id", "item_id"), df.where("value > 100"), "user_id")
+    return attach_context(df.where("value < 5").withColumnRenamed("event_id", "item_id"), df.where("value >= 5"), "user_id")
 
 
 @query("""SELECT user_id, string_agg(CAST(CAST(ts AS DATE) AS VARCHAR) || ' | ' || event_type, chr(10) ORDER BY CAST(ts AS DATE), event_id) AS listing FROM events GROUP BY user_id""")

@@ -33,9 +33,9 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_name, coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '9999') AS order_key
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49""")
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""")
 def join_three_way_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").where("l_quantity >= 49")
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     customers = read(spark, sf_dir, "customer", "c_custkey", "c_name")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, orders.o_custkey == customers.c_custkey)
