@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.series import anchor_offsets
 
-#: Organs and the word stems that point at them, in order.
+#: Organs and the word stems (patterns at a word's beginning) that point at them, in order; abbreviations are whole words.
 LEXICON = {
-    "skin": ["rash", "prurit", "dermat"], "colon": ["diarr", "colit"], "liver": ["epatit", "transamin", "alt", "ast"], "thyroid": ["tiroid", "tsh"],
+    "skin": ["rash", "prurit", "dermat"], "colon": ["diarr", "colit"], "liver": ["epatit", "transamin", r"alt\b", r"ast\b"], "thyroid": ["tiroid", "tsh"],
     "lung": ["polmonit", "dispn"], "heart": ["miocard", "troponin"], "kidney": ["nefrit", "creatinin"],
 }
 GENERIC = ["astenia", "febbre", "nausea"]
