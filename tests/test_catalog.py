@@ -1,14 +1,15 @@
-"""Every query with SQL gives the SQL's rows on the smallest tables; the others are held to brute force elsewhere."""
+"""Every query with SQL gives the SQL's rows on small tables (TEST_SF_DIR); the others are held to brute force elsewhere."""
 
 import datetime
 import decimal
+import os
 
 import duckdb
 import pytest
 
 from tessera.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels conversations".split()
 
 
