@@ -26,7 +26,16 @@ def redact_email_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.md5(tx.redacted(F.col("text"), _SIMPLE)).alias("digest"), counts["email"].alias("email"), counts["phone"].alias("phone"))
 
 
-@query()
+def _passes_sql() -> str:
+    """Each pass on the text that the passes before it left, and how often it matched there."""
+    text, counts = "text", []
+    for name, pattern in tx.PASSES:
+        counts.append(f"CAST(len(regexp_extract_all({text}, '{pattern}')) AS INT) AS {name}")
+        text = f"regexp_replace({text}, '{pattern}', '[{name.upper()}]', 'g')"
+    return f"SELECT doc_id, {text} AS text, {', '.join(counts)} FROM documents"
+
+
+@query(_passes_sql())
 def redact_all_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _documents(spark, sf_dir)
     return df.select("doc_id", tx.redacted(F.col("text")).alias("text"), tx.redaction_counts(F.col("text")).alias("c")).select("doc_id", "text", "c.*")
@@ -151,7 +160,13 @@ def question_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", retrieval.intent(F.col("text"), intents, "general").alias("intent"), (F.length("text") > 4000).alias("is_broad"))
 
 
-@query()
+_FOLDED = "regexp_replace(lower(strip_accents(text)), '[^{}]+', ' ', 'g')"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(string_split({_FOLDED.format("a-z0-9%+")}, ' '), lambda x: x <> '' AND NOT list_contains({_STOPS}, x)) AS tokens,
+  list_filter(string_split({_FOLDED.format("a-z0-9")}, ' '), lambda x: length(x) >= 4 AND NOT list_contains({_STOPS}, x)) AS terms FROM documents)
+  SELECT doc_id, array_to_string(tokens[:20], '_') AS entity, CAST(len(list_distinct(terms)) AS INT) AS terms FROM t""")
 def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", tx.entity_key(F.col("text")).alias("entity"), F.size(tx.semantic_terms(F.col("text"))).alias("terms"))
 
