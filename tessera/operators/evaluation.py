@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +38,38 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([found[pair] for pair in zip(a, b, strict=True)], dtype=float)
 
 
+@lru_cache(maxsize=256)
+def _places(text: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one number; ratio() never matches more characters."""
+    places, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for c in b:
+        if c in places:
+            met = row & places[c]
+            row = (row + met) | (row - met)
+    return len(a) - (row & full).bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """text_ratio where it is ``least`` or more, else null: most pairs are told apart by their common subsequence alone."""
+    found: dict[tuple[str, str, float], float | None] = {}
+    for pair in zip(a, b, least, strict=True):
+        if pair not in found:
+            x, y, bound = pair
+            value = ratio(x, y) if 2 * common(x, y) >= (bound - 1e-12) * (len(x) + len(y)) else None
+            found[pair] = value if value is not None and value >= bound else None
+    return pd.Series([found[pair] for pair in zip(a, b, least, strict=True)], dtype=float)
+
+
 #: What category, entity and date of two events weigh.
 CATEGORY, ENTITY, DATE = 0.35, 0.45, 0.20
 

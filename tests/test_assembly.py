@@ -251,3 +251,17 @@ def test_a_chain_of_one_subject_spans_batches(spark):
     assert tuple(audit.verified(chain, "s").first()) == (7, 30_000, None)
     broken = chain.withColumn("entry_hash", F.when(F.col("id") == 20_500, F.sha2(F.lit("x"), 256)).otherwise(F.col("entry_hash")))
     assert audit.verified(broken, "s").first().first_break == 20_501
+
+
+def test_few_pairs_are_matched_block_by_block(monkeypatch):
+    import pandas as pd
+
+    rng, matched = random.Random(5), []
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40, 90))) for _ in range(40)]
+    texts += [t[:30] + "xy" + t[31:] for t in texts[:10]] + ["", "à" * 70]
+    pairs = [(a, b) for a in texts for b in texts]
+    want = [evaluation.ratio(a, b) for a, b in pairs]
+    whole = evaluation.ratio
+    monkeypatch.setattr(evaluation, "ratio", lambda a, b: matched.append(1) or whole(a, b))
+    got = evaluation.ratio_from.func(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]), pd.Series([0.78] * len(pairs)))
+    assert [None if pd.isna(x) else x for x in got] == [x if x >= 0.78 else None for x in want] and len(matched) < len(pairs) / 4
