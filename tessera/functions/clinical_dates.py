@@ -51,17 +51,23 @@ def single_date(text: Column) -> Column:
         day = F.when(lower_bound(bare).isNotNull(), bare)
         month = F.when(_found(bare, r"^(\d{4})-(\d{1,2})$", 2).try_cast("int").between(1, 12), F.concat(F.substring(bare, 1, 5), F.lpad(_found(bare, r"^\d{4}-(\d{1,2})$", 1), 2, "0")))
         worded = F.when(bare.rlike(named), F.concat_ws("-", _found(bare, named, 2), F.lpad(_lookup(F.lower(_found(bare, named, 1)), MONTHS).cast("string"), 2, "0")))
-        return F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).otherwise(F.coalesce(month, F.when(bare.rlike(r"^(?:19|20)\d{2}$"), bare), parse_italian(bare, month_year=True), worded))
+        other = F.coalesce(month, F.when(bare.rlike(r"^(?:19|20)\d{2}$"), bare), parse_italian(bare, month_year=True), worded)
+        return F.when(bare.rlike(r"\d"), F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).otherwise(other))  # each of them has a digit
 
     return let(F.regexp_replace(F.regexp_replace(_spaced(text), FILLERS, " "), r"^[ ,;:]+|[ ,;:]+$", ""), read)
 
 
 def counted_back(text: Column, report: Column) -> Column:
     """The day a duration in the text ('da tre settimane') lies before the report's day, or null; reports of a month or year count for nothing."""
-    amount, unit = _found(text, DURATION, 1), F.lower(_found(text, DURATION, 2))
-    number = F.coalesce(amount.try_cast("int"), _lookup(F.lower(amount), NUMBERS))
-    kind = F.coalesce(*[F.when(unit.startswith(stem), name) for stem, name in UNITS.items()])
-    return F.when(precision(report) == "day", F.date_format(subtract(lower_bound(report), number, kind), "yyyy-MM-dd"))
+    def number(amount: Column) -> Column:
+        return F.coalesce(amount.try_cast("int"), _lookup(F.lower(amount), NUMBERS))
+
+    def day(d: Column) -> Column:
+        kind = F.coalesce(*[F.when(d["unit"].startswith(stem), name) for stem, name in UNITS.items()])
+        return F.date_format(subtract(lower_bound(report), let(d["amount"], number), kind), "yyyy-MM-dd")
+
+    parts = F.struct(_found(text, DURATION, 1).alias("amount"), F.lower(_found(text, DURATION, 2)).alias("unit"))
+    return F.when((precision(report) == "day") & text.rlike(DURATION), let(parts, day))
 
 
 def normalized(value: Column, report: Column, end: Column | None = None, stated: Column | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 #: Italian month names by number.
 MONTHS = {
     "gennaio": 1, "febbraio": 2, "marzo": 3, "aprile": 4, "maggio": 5, "giugno": 6,
@@ -60,24 +62,31 @@ def parse_italian(text: Column, month_year: bool = True) -> Column:
     """
     months = F.create_map(*[x for name, n in MONTHS.items() for x in (F.lit(name), F.lit(n))])
     names = "|".join(MONTHS)
-    number = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("int")
-    name = lambda pattern, i: F.try_element_at(months, F.lower(F.regexp_extract(text, pattern, i)))
+    number = lambda found, pattern, i: F.regexp_extract(found, pattern, i).try_cast("int")
+    name = lambda found, pattern, i: F.try_element_at(months, F.lower(F.regexp_extract(found, pattern, i)))
     full = lambda y: F.when(y >= 100, y).when(y < 50, y + 2000).otherwise(y + 1900)
 
-    def made(year: Column, month: Column, day: Column) -> Column:
-        stamp = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))
-        return F.when(year.between(1900, 2100) & month.isNotNull() & day.isNotNull(), F.date_format(stamp, "yyyy-MM-dd"))
+    def made(d: Column) -> Column:
+        stamp = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", d["y"], d["m"], d["d"]), F.lit("yyyy-MM-dd"))
+        return F.when(d["y"].between(1900, 2100) & d["m"].isNotNull() & d["d"].isNotNull(), F.date_format(stamp, "yyyy-MM-dd"))
+
+    def form(pattern: str, year, month, day) -> Column:
+        """The form's first match is looked for once; its parts are read only where there is one."""
+        parts = lambda t: F.struct(year(t).alias("y"), month(t).alias("m"), day(t).alias("d"))
+        return F.when(text.rlike(pattern), let(parts(text), made))
+
+    def ordered(pattern: str, year: int, month: int, day: int, short: bool = False, named: bool = False) -> Column:
+        y = lambda t: let(number(t, pattern, year), full) if short else number(t, pattern, year)
+        return form(pattern, y, lambda t: (name if named else number)(t, pattern, month), lambda t: number(t, pattern, day))
 
     marks, blanks = (rf"(?<!\d)(\d{{1,2}}){s}(\d{{1,2}}){s}(\d{{2,4}})(?!\d)" for s in ("[/.-]", " "))
     year_first, named, month_first = r"(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})", rf"(?i)(\d{{1,2}})\s+({names})\s+(\d{{4}})", rf"(?i)({names})\s+(\d{{1,2}}),?\s+(\d{{4}})"
     alone = r"(?<![\d/.-])(\d{1,2})/(\d{4})(?![\d/])"
-    return F.coalesce(
-        *[made(full(number(p, 3)), number(p, 2), number(p, 1)) for p in (marks, blanks)],
-        made(number(year_first, 1), number(year_first, 2), number(year_first, 3)),
-        made(number(named, 3), name(named, 2), number(named, 1)),
-        made(number(month_first, 3), name(month_first, 1), number(month_first, 2)),
-        *([made(number(alone, 2), number(alone, 1), F.lit(1))] if month_year else []),
-    )
+    forms = [ordered(marks, 3, 2, 1, short=True), ordered(blanks, 3, 2, 1, short=True), ordered(year_first, 1, 2, 3), ordered(named, 3, 2, 1, named=True), ordered(month_first, 3, 1, 2, named=True)]
+    if month_year:
+        forms.append(form(alone, lambda t: number(t, alone, 2), lambda t: number(t, alone, 1), lambda t: F.lit(1)))
+    # no form matches a text without digits
+    return F.when(text.rlike(r"\d"), F.coalesce(*forms))
 
 
 def offset_band(days: Column) -> Column:

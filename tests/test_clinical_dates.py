@@ -62,3 +62,13 @@ def test_governing_dates_are_near_headings(spark):
         (1, 1): (None, None), (1, 2): ("12/03/2024", 1), (1, 3): ("12/03/2024", 1), (1, 4): ("1/1/2020", 3), (1, 5): ("12/03/2024", 1), (1, 6): ("12/03/2024", 1), (1, 7): ("12/03/2024", 1),
         (1, 8): (None, None), (1, 9): (None, None), (1, 10): (None, None), (1, 11): ("3 aprile", 10), (2, 1): (None, None),
     }
+
+
+def test_a_note_is_read_in_few_passes(spark):
+    from tessera.functions import dates
+
+    plan = lambda c: spark.range(1).select(F.col("id").cast("string").alias("t")).select(c(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(dates.parse_italian).count("regexp_extract(") <= 40  # were 128: every part of every form for each mention of it
+    days = [("3/2/49 e poi", "2049-02-03"), ("31/02/2020 poi 7 Aprile 2021", "2021-04-07"), ("06/2018", "2018-06-01"), ("0/2018", None), ("marzo 9, 2020", "2020-03-09"), ("12 5 50", "1950-05-12"), ("9/9/99999", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(days)], "i int, t string")
+    assert [r[1] for r in df.select("i", dates.parse_italian(F.col("t"))).orderBy("i").collect()] == [d for _, d in days]
