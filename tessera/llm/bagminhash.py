@@ -15,12 +15,15 @@ made from, is compared with all its members. That joins most classes with work t
 linear in a bucket's size. Only buckets that then still hold two components go on: in
 each, every node outside the largest component is compared with all others, in blocks of
 bounded size, so no bucket is capped and nothing is lost; very large ones are first
-divided by a second band. Each comparison is the exact weighted Jaccard similarity of
+divided by weight, which parts no two similar texts, so the classes are the same
+whether a bucket is divided or not. Each comparison is the exact weighted Jaccard similarity of
 the whole texts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Rows of a block: nodes outside the largest component, and members they are compared with.
 OUTSIDE, INSIDE = 256, 1024
-#: Open buckets with more members are divided by a second band.
+#: Open buckets with more members are divided by weight; the classes do not depend on it.
 LARGE = 8192
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -182,8 +185,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int
     doc_id gets the least non-null doc_id of its class, if any. Texts of 1 to k-1 words
     have one shingle of all their words. Other columns are ignored. An empty table gives
     an empty result. Complete up to the banding's chance of a miss: 24 bands of 4
-    registers miss a pair of similarity 0.8 with a probability of 3e-6, and 5e-5 where all
-    its buckets have more than ``large`` members and hold several classes.
+    registers miss a pair of similarity 0.8 with a probability of 3e-6.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = write_scratch(source.select("doc_id", text_key("text").alias("key"), sketch_udf(bands, rows, k)("text").alias("sketch")), "sketches")
@@ -214,7 +216,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int
 
     # buckets that still hold two components; of two members the one pair has been compared
     now = write_scratch(component(ranked.where("size > 2").select("bucket", "key", "size")), "open")
-    now = _divided(now, nodes, large) if not now.where(F.col("size") > large).isEmpty() else now
+    now = write_scratch(_divided(now, nodes, large, threshold), "open") if not now.where(F.col("size") > large).isEmpty() else now
     shares = now.groupBy("bucket", "component").agg(F.count("*").alias("share"))
     apart = shares.groupBy("bucket").agg(F.sum("share").alias("all"), F.max(F.struct("share", "component")).alias("most")).where(F.col("all") > F.col("most.share"))
     apart = apart.select("bucket", F.col("most.component").alias("largest"), F.ceil(F.col("all") / INSIDE).alias("inner"), F.ceil((F.col("all") - F.col("most.share")) / OUTSIDE).alias("outer"))
@@ -239,12 +241,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int
     return seen.select("doc_id", "key").join(of, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("key").alias("text_key"))
 
 
-def _divided(now: DataFrame, nodes: DataFrame, large: int) -> DataFrame:
-    """Open buckets with large ones divided by each later band: two similar texts share a second band as well."""
+def _divided(now: DataFrame, nodes: DataFrame, large: int, threshold: float) -> DataFrame:
+    """Members of open buckets, those of large ones by weight.
+
+    The weights of similar texts differ at most by the threshold's ratio. Classes of
+    weight are as wide, and a member stands in its own class and the next, so two similar
+    members always meet.
+    """
     few, many = now.where(F.col("size") <= large), now.where(F.col("size") > large)
-    finer = many.join(nodes.select("key", "bands"), "key").select("key", "component", F.col("bucket").alias("of"), "bands", F.posexplode("bands").alias("at", "band"))
-    finer = finer.where(F.col("at") > F.array_position("bands", F.col("of")) - 1).select(F.xxhash64("of", "band").alias("bucket"), "key", "component")
-    return write_scratch(few.select("bucket", "key", "component").unionByName(finer), "open")
+    width = -math.log(min(max(threshold - 1e-9, 1e-9), 1 - 1e-9)) * (1 + 1e-9)
+    own = F.floor(F.log("weight") / width)
+    finer = many.join(nodes.select("key", "weight"), "key").select("key", "component", "bucket", F.explode(F.array(own, own + 1)).alias("at"))
+    return few.select("bucket", "key", "component").unionByName(finer.select(F.xxhash64("bucket", "at").alias("bucket"), "key", "component"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

@@ -135,3 +135,22 @@ def test_key_filter_lets_every_key_pass(spark, most_bits):
     assert len(passed) + len(kept) == 2102 and not {*kept} & {None, *range(7, 2100, 7)}
     assert len(passed) < 600 if most_bits > 1 << 20 else True
     assert key_filter(keys.limit(0), "k")(rows, F.col("k"))[1].count() == 2102
+
+
+def test_classes_do_not_depend_on_what_counts_as_large(spark):
+    shared = [" ".join(f"shared{g}_{i}" for i in range(600)) for g in range(5)]
+    texts = [f"{t} {passage}" for g, passage in enumerate(shared) for seed in range(3) for t in family(6, 20 + 3 * g + seed, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = ({(r.doc_id, r.class_id) for r in bagminhash.near_duplicate_classes(df, bands=1, rows=1, large=n).collect()} for n in (8192, 2))
+    assert few == many and len({c for _, c in few}) < len(texts) / 2
+
+
+def test_similar_weights_meet_in_a_divided_bucket(spark):
+    weights = [*range(1, 60), 64, 80, 100, 125, 1000, 1250]
+    now = spark.createDataFrame([(5, bytes([i]), bytes([i]), len(weights)) for i in range(len(weights))], "bucket long, key binary, component binary, size long")
+    nodes = spark.createDataFrame([(bytes([i]), w, [5, 100 + i]) for i, w in enumerate(weights)], "key binary, weight long, bands array<long>")
+    met = {}
+    for r in bagminhash._divided(now, nodes, 8, 0.8).collect():
+        met.setdefault(r.bucket, set()).add(r.key[0])
+    assert all(any({i, j} <= keys for keys in met.values()) for i, a in enumerate(weights) for j, b in enumerate(weights) if min(a, b) >= 0.8 * max(a, b))
+    assert max(map(len, met.values())) < len(weights) / 2
