@@ -71,7 +71,7 @@ def degree_capped(pairs: DataFrame, within: str, score: str, k: int) -> DataFram
         open_ = rounds.cut(left.select(*pairs.columns))
 
 
-def _roots(parents: DataFrame, rounds: Rounds) -> DataFrame:
+def chain_roots(parents: DataFrame, rounds: Rounds) -> DataFrame:
     """(node, root) of a forest of (node, parent) pointers; roots point at themselves. Pointers double, so a chain of n takes log n joins."""
     now = rounds.cut(parents)
     while True:
@@ -103,7 +103,7 @@ def separated_components(edges: DataFrame, nodes: DataFrame, apart: DataFrame) -
     # one total order: (weight, -place) with the place of ties by (a, b)
     links = rounds.cut(links.select("a", "b", F.struct("weight", (-F.col("a")).alias("x"), (-F.col("b")).alias("y")).alias("_w")))
     forbidden = rounds.cut(flat(apart).distinct())
-    every = nodes.select(F.col(nodes.columns[0]).alias("node")).union(links.select("a")).union(links.select("b")).distinct()
+    every = nodes.select(F.col(nodes.columns[0]).alias("node")).union(links.select(F.explode(F.array("a", "b")))).distinct()
     labels = rounds.cut(every.select("node", F.col("node").alias("component")))
     while True:
         links = rounds.cut(links.join(forbidden, ["a", "b"], "left_anti"))
@@ -116,7 +116,7 @@ def separated_components(edges: DataFrame, nodes: DataFrame, apart: DataFrame) -
         bound = forbidden.select(F.col("a").alias("node")).union(forbidden.select("b")).distinct().withColumn("bound", F.lit(True))
         mutual = F.col("theirs") == F.col("node")
         joins = F.when(mutual, F.least("node", "to")).when(F.col("bound").isNull(), F.col("to")).otherwise(F.col("node"))
-        merged = _roots(chosen.join(back, "to").join(bound, "node", "left").select("node", joins.alias("parent")), rounds)
+        merged = chain_roots(chosen.join(back, "to").join(bound, "node", "left").select("node", joins.alias("parent")), rounds)
         names = merged.groupBy("root").agg(F.min("node").alias("name"))
         now = rounds.cut(merged.join(names, "root").select(F.col("node").alias("component"), F.col("name").alias("next")))
         labels = rounds.cut(labels.join(now, "component", "left").select("node", F.coalesce("next", "component").alias("component")))

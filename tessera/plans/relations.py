@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, dedup, evaluation, graph, retrieval
+from tessera.operators.rounds import Rounds
 from tessera.plans.observations import HIGH, LOW, observations
 from tessera.plans.registry import query, read
 
@@ -17,14 +18,14 @@ _CAND = f"""e AS ({_E}), n AS (SELECT *, row_number() OVER (PARTITION BY user_id
   c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, bool_or(scale = 'local') AS local, bool_or(scale = 'longitudinal') AS longitudinal, CAST(min(days) AS INT) AS days, count(DISTINCT term) AS shared_terms FROM p GROUP BY ALL)"""
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = observations(spark, sf_dir).select("event_id", "user_id", "event_type", "day")
-    return graph.candidates(df, "user_id", "event_type", "day", ["day", "event_id"], "event_id", K, LOCAL, LONG)
+def _candidates(spark: SparkSession, sf_dir: str, carried: list[str] | None = None) -> DataFrame:
+    df = observations(spark, sf_dir).select("event_id", "user_id", "event_type", "value", "day")
+    return graph.related(df, "user_id", "event_type", "day", ["day", "event_id"], "event_id", K, LOCAL, LONG, carried=carried)
 
 
 @query(f"WITH {_CAND} SELECT * FROM c")
 def graph_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)
+    return _candidates(spark, sf_dir).drop("user_id")
 
 
 KINDS = {"purchase": "procedure", "error": "symptom", "click": "medication", "view": "laboratory_finding", "signup": "diagnosis"}
@@ -34,15 +35,14 @@ _KIND = "CASE {} WHEN 'purchase' THEN 'procedure' WHEN 'error' THEN 'symptom' WH
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.episodes import lookup
 
-    df = observations(spark, sf_dir).withColumn("category", lookup(F.col("event_type"), KINDS))
-    side = lambda x: df.select(F.col("event_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("user_id", "event_type", "value", "day", "category")])
-    rows = _candidates(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
+    rows = _candidates(spark, sf_dir, ["event_type", "value", "day"])
+    rows = rows.withColumns({f"category_{end}": lookup(F.col(f"event_type_{end}"), KINDS) for end in "ab"})
     c = F.col
     same = c("event_type_a") == c("event_type_b")
     absent = lambda x: c(f"value_{x}") < LOW
     later = absent("b") & (c("day_b") > c("day_a"))
     rule = graph.rule_relation(same, absent("a") != absent("b"), later, (c("value_a") > HIGH) & (c("value_b") > HIGH) & (c("a") % 2 != c("b") % 2), c("category_a"), c("category_b"), c("local"), c("shared_terms"))
-    return rows.withColumn("rule", rule).select(c("user_id_a").alias("user_id"), "a", "b", "rule.*", graph.priority(same, c("shared_terms"), c("local"), c("days")).alias("priority"))
+    return rows.withColumn("rule", rule).select("user_id", "a", "b", "rule.*", graph.priority(same, c("shared_terms"), c("local"), c("days")).alias("priority"))
 
 
 _RULE = f"""WITH {_CAND}, r AS (SELECT c.*, x.user_id, x.event_type AS ta, y.event_type AS tb, x.value < {LOW} AS na, y.value < {LOW} AS nb, y.value < {LOW} AND y.day > x.day AS later,
@@ -76,7 +76,7 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_bridge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _related(spark, sf_dir).where("effect = 'cohesive' and weight >= 0.72").select("a", "b", "weight")
+    edges = Rounds(spark, "bridges").cut(_related(spark, sf_dir).where("effect = 'cohesive' and weight >= 0.72").select("a", "b", "weight"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
     of = graph.components(edges, nodes).withColumnRenamed("node", "a")
     return graph.split_bridges(edges.join(of, "a").select("component", "a", "b", "weight"), least=0.7)

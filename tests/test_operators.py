@@ -138,3 +138,49 @@ def test_swap_in_replaces(spark, tmp_path):
     for n in (3, 5):
         sinks.swap_in(spark.range(n), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
+def plain_related(rows, k, local_days, long_days):
+    """Each row of (subject, entity, day, item, terms) with its predecessors, by loops."""
+    out = {}
+
+    def meet(group, scale, days, unknown, term):
+        group = sorted(group, key=lambda r: (r[2] is not None, r[2] or 0, r[3]))
+        for i, r in enumerate(group):
+            for p in group[max(0, i - k) : i]:
+                gap = None if r[2] is None or p[2] is None else abs((r[2] - p[2]).days)
+                if unknown if gap is None else gap <= days:
+                    pair = out.setdefault((min(r[3], p[3]), max(r[3], p[3])), {"local": False, "longitudinal": False, "days": gap, "terms": set()})
+                    pair[scale] = True
+                    pair["terms"] |= {term} - {None}
+
+    for s in {r[0] for r in rows} - {None}:
+        mine = [r for r in rows if r[0] == s]
+        meet(mine, "local", local_days, False, None)
+        for e in {r[1] for r in mine} - {None}:
+            meet([r for r in mine if r[1] == e], "longitudinal", long_days, True, e)
+        for t in {t for r in mine for t in r[4] or []}:
+            meet([r for r in mine if t in (r[4] or [])], "longitudinal", long_days, True, t)
+    return {(*pair, x["local"], x["longitudinal"], x["days"], len(x["terms"])) for pair, x in out.items()}
+
+
+@pytest.mark.parametrize("terms", [None, "terms"])
+def test_related_pairs_and_what_they_carry(spark, terms):
+    rng = random.Random(5)
+    day = lambda: rng.choice([None, *[dt.date(2024, 1, 1) + dt.timedelta(d) for d in range(40)]])
+    rows = [(rng.choice([1, 2, None]), rng.choice(["x", "y", None]), day(), i, rng.sample(["t", "u", "x"], rng.randrange(3))) for i in range(160)]
+    df = spark.createDataFrame(rows, "s long, e string, d date, i long, terms array<string>")
+    got = graph.related(df, "s", "e", "d", ["d", "i"], "i", 3, 4, 9, terms=terms, carried=["e"])
+    flat = {(r.a, r.b, r.local, r.longitudinal, r.days, r.shared_terms) for r in got.collect()}
+    assert flat == plain_related(rows if terms else [(*r[:4], []) for r in rows], 3, 4, 9)
+    assert all((r.s, r.e_a, r.e_b) == (rows[r.a][0], rows[r.a][1], rows[r.b][1]) for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["graph_candidates", "graph_rule_relations"])
+def test_related_pairs_are_not_shuffled(spark, name, capsys):
+    """The rows are dealt by subject once, the many pairs made of them not at all."""
+    from tessera.plans import catalog
+
+    catalog.queries()[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(user_id") == plan.count("Exchange") == 1 and "Join" not in plan
