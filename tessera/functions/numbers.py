@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 
 def italian_number(text: Column) -> Column:
     """'1.234,56', '1234,5', '1.234.567', '12.5' to a double; null if it is no number.
@@ -12,13 +14,16 @@ def italian_number(text: Column) -> Column:
     With a comma, dots are thousands marks; two dots or more are too; one dot alone is a
     decimal point.
     """
-    bare = F.regexp_replace(F.trim(text), r"\s", "")
-    plain = (
-        F.when(bare.contains(","), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(bare.rlike(r"^[+-]?\d{1,3}(\.\d{3}){2,}$"), F.replace(bare, F.lit("."), F.lit("")))
-        .otherwise(bare)
-    )
-    return F.when(plain.rlike(r"^[+-]?\d+(\.\d+)?$"), plain.try_cast("double"))
+
+    def read(bare: Column) -> Column:
+        return (
+            F.when(bare.contains(","), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(bare.rlike(r"^[+-]?\d{1,3}(\.\d{3}){2,}$"), F.replace(bare, F.lit("."), F.lit("")))
+            .otherwise(bare)
+        )
+
+    plain = let(F.regexp_replace(F.trim(text), r"\s", ""), read)
+    return let(plain, lambda x: F.when(x.rlike(r"^[+-]?\d+(\.\d+)?$"), x.try_cast("double")))
 
 
 def reference_range(text: Column) -> Column:
@@ -26,8 +31,8 @@ def reference_range(text: Column) -> Column:
     number = r"(\d+(?:[.,]\d+)?)"
     both = rf"^\s*{number}\s*-\s*{number}\s*$"
     below, above = rf"^\s*<=?\s*{number}\s*$", rf"^\s*>=?\s*{number}\s*$"
-    got = lambda p, i: F.replace(F.regexp_extract(text, p, i), F.lit(","), F.lit(".")).try_cast("double")
-    return F.struct(F.coalesce(got(both, 1), got(above, 1)).alias("low"), F.coalesce(got(both, 2), got(below, 1)).alias("high"))
+    got = lambda t, p, i: F.replace(F.regexp_extract(t, p, i), F.lit(","), F.lit(".")).try_cast("double")
+    return let(text, lambda t: F.struct(F.coalesce(got(t, both, 1), got(t, above, 1)).alias("low"), F.coalesce(got(t, both, 2), got(t, below, 1)).alias("high")))
 
 
 def converted(value: Column, factor: Column, offset: Column) -> Column:

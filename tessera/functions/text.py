@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latin letters with marks and their plain forms, place by place.
@@ -17,6 +17,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once a row: a condition on them is not pushed below and computed from their inputs again."""
+    once = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.withColumn("_once", once).select(*[c for c in df.columns if c not in columns], "_once.*")
+
+
 def fold(text: Column, keep: str = "a-z0-9", joiner: str = "_") -> Column:
     """Lower case without marks; runs of characters outside ``keep`` become one joiner."""
     plain = F.translate(F.lower(text), MARKED, PLAIN)

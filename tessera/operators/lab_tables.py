@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import italian_number, reference_range
-from tessera.functions.text import let
+from tessera.functions.text import computed, let
 from tessera.operators.labs import normal_parameter, normal_unit, out_of_range, pipe_rows, with_specimen, worded_abnormal
 
 #: Parts of header names by what the column holds; the first that fits a header counts.
@@ -59,14 +59,13 @@ def plausible_analyte(name: Column, unit: Column) -> Column:
     """True for a name of at most 100 characters with a letter that holds nothing administrative and is known as an analyte's, or has an analyte's unit."""
 
     def judged(row: Column) -> Column:
-        low = F.lower(row["name"])
-        has = lambda parts: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+        has = lambda parts: reduce(lambda a, b: a | b, [F.contains(row["low"], F.lit(p)) for p in parts])
         formed = F.length(row["name"]).between(1, 100) & row["name"].rlike("[A-Za-zÀ-ÿΑ-ω]")
         furniture = reduce(lambda a, b: a | b, [row["name"].rlike(p) for p in FURNITURE])
         return formed & ~furniture & ~has(NO_ANALYTE) & (has(ANALYTES) | F.lower(F.translate(row["unit"], "µ", "μ")).isin(ANALYTE_UNITS))
 
     bare = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\[\d+\]\s*", ""))
-    return let(F.struct(bare.alias("name"), F.coalesce(unit, F.lit("")).alias("unit")), judged)
+    return let(bare, lambda x: let(F.struct(x.alias("name"), F.lower(x).alias("low"), F.coalesce(unit, F.lit("")).alias("unit")), judged))
 
 
 def worded_result(text: Column) -> Column:
@@ -132,16 +131,22 @@ def text_results(lines: DataFrame, document: str, number: str = "line_no", line:
     rows = rows.withColumns({"page": F.last("_page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_block": F.col("_pipe") & beside}).where("_page is null")
 
     bare = F.trim(F.regexp_replace(F.trim("_line"), r"^\[\d+\]\s*", ""))
-    plain = rows.where("not _pipe").withColumn("_bare", bare)
-    colon = F.instr("_bare", ":")
-    name = F.when(colon > 0, F.substring("_bare", F.lit(1), colon - 1)).otherwise(F.regexp_extract("_bare", WITHOUT_COLON, 1))
-    said = F.when(colon > 0, F.substring("_bare", colon + 1, F.length("_bare"))).otherwise(F.regexp_extract("_bare", WITHOUT_COLON, 2))
-    plain = plain.withColumns({"parameter": F.regexp_replace(F.regexp_replace(name, r"\s+", " "), "^[ -]+|[ -]+$", ""), "_said": said}).where("parameter != ''")
-    numeric, worded = F.col("_said").rlike(NUMERIC_RESULT), F.col("_said").rlike(WORDED_RESULT)
-    got = lambda n, w: F.trim(F.when(numeric, F.regexp_extract("_said", NUMERIC_RESULT, n)).otherwise(F.regexp_extract("_said", WORDED_RESULT, w)))
-    plain = plain.where(numeric | worded).withColumns({"unit": normal_unit(got(4, 3)), "_reference": got(5, 4), "_flag": F.upper(got(3, 2)), "_numeric": numeric, "operator": F.nullif(F.when(numeric, F.regexp_extract("_said", NUMERIC_RESULT, 1)), F.lit(""))})
+    plain = computed(rows.where("not _pipe"), {"_bare": bare})
+    plain = computed(plain, {"_colon": F.instr("_bare", ":")})
+    part = lambda i: F.when(F.col("_colon") == 0, F.regexp_extract("_bare", WITHOUT_COLON, i))
+    name = F.coalesce(part(1), F.substring("_bare", F.lit(1), F.col("_colon") - 1))
+    said = F.coalesce(part(2), F.substring("_bare", F.col("_colon") + 1, F.length("_bare")))
+    plain = computed(plain, {"parameter": F.regexp_replace(F.regexp_replace(name, r"\s+", " "), "^[ -]+|[ -]+$", "")}).where("parameter != ''")
+    plain = computed(plain, {"_said": said})
+    plain = computed(plain, {"_numeric": F.col("_said").rlike(NUMERIC_RESULT)})
+    plain = plain.where(F.col("_numeric") | F.col("_said").rlike(WORDED_RESULT))
+    got = lambda n, w: F.trim(F.when(F.col("_numeric"), F.regexp_extract("_said", NUMERIC_RESULT, n)).otherwise(F.regexp_extract("_said", WORDED_RESULT, w)))
+    plain = computed(plain, {"_unit": got(4, 3), "_reference": got(5, 4), "_flag": F.upper(got(3, 2)), "operator": F.nullif(F.when(F.col("_numeric"), F.regexp_extract("_said", NUMERIC_RESULT, 1)), F.lit(""))})
+    plain = computed(plain, {"unit": normal_unit(F.col("_unit"))})
     plain = plain.where(plausible_analyte(F.col("parameter"), F.col("unit")))
-    plain = plain.withColumns({"value": F.when(F.col("_numeric"), counted_value(F.regexp_extract("_said", NUMERIC_RESULT, 2), F.col("unit"))), "value_text": F.when(~F.col("_numeric"), worded_result(F.regexp_extract("_said", WORDED_RESULT, 1)))})
+    result = F.when(F.col("_numeric"), F.regexp_extract("_said", NUMERIC_RESULT, 2)).otherwise(F.regexp_extract("_said", WORDED_RESULT, 1))
+    plain = computed(plain, {"_result": result})
+    plain = computed(plain, {"value": F.when(F.col("_numeric"), counted_value(F.col("_result"), F.col("unit"))), "value_text": F.when(~F.col("_numeric"), worded_result(F.col("_result")))})
     plain = plain.where("value is not null or value_text is not null").withColumn("_r", F.when(F.col("_numeric"), reference_range(F.col("_reference"))))
     status = out_of_range(F.col("value"), F.col("_r.low"), F.col("_r.high"), F.col("_reference"), F.col("_flag"))
     marked = F.when(F.col("_flag").isin("H", "↑"), "H").when(F.col("_flag").isin("L", "↓"), "L").when(F.col("_flag") != "", "*")

@@ -6,11 +6,13 @@ lines and never as one Python object.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import italian_number, reference_range
-from tessera.functions.text import fold, let
+from tessera.functions.text import computed, fold, let
 
 #: Units by their compact lower-case form.
 UNITS = {
@@ -101,29 +103,34 @@ def out_of_range(value: Column, low: Column, high: Column, reference: Column, ma
 
 def worded_abnormal(name: Column, result: Column) -> Column:
     """'altered' always; positive only for markers of a pathogen, never for protective antibodies."""
-    key = fold(name)
     positive = result.isin("POSITIVO", "PRESENTE", "RILEVABILE")
-    hit = F.lit(False)
-    for marker in PATHOGEN_MARKERS:
-        hit = hit | F.contains(key, F.lit(marker))
-    return (result == "ALTERATO") | (positive & hit & ~key.isin(PROTECTIVE_MARKERS))
+
+    def of_pathogen(key: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(key, F.lit(marker)) for marker in PATHOGEN_MARKERS]) & ~key.isin(PROTECTIVE_MARKERS)
+
+    return F.when(result.isNotNull(), (result == "ALTERATO") | (positive & let(fold(name), of_pathogen)))
 
 
 def result_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add parameter, operator, value, value_text, unit, reference, low, high, abnormal, flag to lines that are results."""
     got = lambda pattern, i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
-    rows = lines.withColumns({"_n": got(RESULT, 1), "_w": got(WORDED, 1)}).where("_n is not null or _w is not null")
-    rows = rows.withColumns(
+    rows = computed(lines, {"_n": got(RESULT, 1)})
+    rows = computed(rows, {"_w": F.when(F.col("_n").isNull(), got(WORDED, 1))}).where("_n is not null or _w is not null")
+    numeric = lambda i: F.when(F.col("_n").isNotNull(), F.regexp_extract(line, RESULT, i))
+    rows = computed(rows, {f"_g{i}": numeric(i) for i in range(2, 8)})
+    said = lambda i: F.nullif(f"_g{i}", F.lit(""))
+    rows = computed(
+        rows,
         {
             "parameter": F.regexp_replace(F.coalesce("_n", "_w"), r"\s+", " "),
-            "operator": got(RESULT, 2),
-            "value": italian_number(F.regexp_replace(F.regexp_extract(line, RESULT, 3), "[.,]$", "")),
+            "operator": said(2),
+            "value": italian_number(F.regexp_replace("_g3", "[.,]$", "")),
             "value_text": F.when(F.col("_n").isNull(), _lookup(WORD_RESULTS, F.lower(F.regexp_extract(line, WORDED, 2)))),
-            "unit": F.when(F.col("_n").isNotNull(), normal_unit(F.regexp_extract(line, RESULT, 5))),
-            "reference": got(RESULT, 6),
-            "_marker": F.coalesce(got(RESULT, 4), got(RESULT, 7)),
-        }
-    )
+            "unit": F.when(F.col("_n").isNotNull(), normal_unit(F.col("_g5"))),
+            "reference": said(6),
+            "_marker": F.coalesce(said(4), said(7)),
+        },
+    ).drop(*[f"_g{i}" for i in range(2, 8)])
     rows = rows.withColumn("_r", reference_range(F.col("reference"))).withColumns({"low": F.col("_r.low"), "high": F.col("_r.high")})
     status = out_of_range(F.col("value"), F.col("low"), F.col("high"), F.col("reference"), F.col("_marker"))
     rows = rows.withColumn("_s", status)

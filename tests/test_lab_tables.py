@@ -1,8 +1,10 @@
 """Tables of several layouts, answered by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lab_tables as lt
+from tessera.operators import labs
 
 TABLES = {
     "wide": [["Esame", "Risultato", "U.M.", "Valori di riferimento"], ["Emoglobina", "10,5", "g/dl", "12-16"], ["Glicemia", "95", "mg/dL", "(70-110)"], ["HIV", "Positivo", "", ""], ["Sodio", "nan", "mEq/L", ""], ["", "3", "", ""], ["Pagina", "3", "%", ""]],
@@ -57,3 +59,12 @@ def test_lines_of_text(spark):
         (1, 9): (2, "urine", "glucosio", None, "ASSENTE", None, "", None, None, None), (1, 17): (2, "urine", "potassio", 6.1, None, None, "mmol/L", 3.0, 5.0, "H"), (1, 20): (2, "urine", "proteina_c_reattiva", 0.5, None, "<", "mg/dL", None, None, None),
         (1, 21): (2, "urine", "ca_19-9", 12.0, None, None, "U/mL", None, 37.0, None), (2, 0): (None, None, "ferro", 50.0, None, None, "μg/dL", None, None, None),
     }
+
+
+@pytest.mark.parametrize("name, pattern, most", [("lab_result_lines", labs.RESULT, 7), ("lab_text_results", lt.NUMERIC_RESULT, 6)])
+def test_each_part_of_a_line_is_matched_once(spark, name, pattern, most):
+    """Conditions on what a pattern found do not match it again: one match for the test, one for each part."""
+    from tessera.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(pattern) <= most
