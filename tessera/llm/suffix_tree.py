@@ -19,7 +19,8 @@ a shuffle that deals the runs of the texts and of the tree by the same hash.
 
 Runs travel as sorted arrays of keys, one array for each bucket that a task feeds, and
 as single rows only where a task feeds a bucket few of them: keys have 48 bits, of which the
-first tell the bucket (56 from WIDE_BYTES of text on). The unigram base is exact up to 64-bit hashes of words.
+first tell the bucket (56 from WIDE_BYTES of text on). The levels of the tree travel so too: runs are
+looked up by suffix and by prefix bucket by bucket. The unigram base is exact up to 64-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -71,7 +72,19 @@ class Keys:
 
     def pack(self, key: np.ndarray) -> bytes:
         """The bytes of the keys, place by place, as sorted keys differ little in the first ones."""
-        return np.ascontiguousarray(np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, : self.width].T).tobytes()
+        return self.places(key, self.width)
+
+    @staticmethod
+    def places(numbers: np.ndarray, width: int) -> bytes:
+        """The bytes of 64-bit numbers, place by place, the lowest ``width`` ones."""
+        return np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+    @staticmethod
+    def spread(raw: bytes, width: int) -> np.ndarray:
+        """The keys in the bytes of one pack()."""
+        out = np.zeros((len(raw) // width, 8), np.uint8)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+        return out.view(U).ravel()
 
     def unpack(self, parts: list[bytes], width: int | None = None) -> np.ndarray:
         width = width or self.width
@@ -121,30 +134,32 @@ class KeySet:
         return (self.map[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
-def key_set(keys: Keys, table: DataFrame, n: int) -> KeySet:
-    """The set of ``table``'s column key."""
+def key_set(keys: Keys, packed: DataFrame) -> KeySet:
+    """The set of the keys of ``packed`` (deal, keys): a bucket is a stretch of keys, so it gives a stretch of the map."""
 
     def parts(bits: int):
-        def mapped(batches):
-            held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                at = np.sort(batch.column(0).to_numpy())
-                which, first = np.unique(at >> 15, return_index=True)
-                for part, lo, hi in zip(which.tolist(), first, np.append(first[1:], len(at)), strict=True):
-                    bit = at[lo:hi] & 32767
-                    np.bitwise_or.at(held.setdefault(part, np.zeros(4096, np.uint8)), bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
-
-        at = table.select(F.shiftright("key", 8 * keys.width - bits).alias("at"))
-        made = at.repartition(F.shiftright("at", 15)).mapInArrow(mapped, "part long, bits binary")
+        def mapped(table: pa.Table) -> pa.Table:
+            at = np.sort(keys.unpack(table.column("keys").to_pylist()) >> U(8 * keys.width - bits)).astype(np.int64)
+            held = []
+            for part, lo, hi in _stretches(at >> 15):
+                bit = np.zeros(1 << 15, np.uint8)
+                bit[at[lo:hi] & 32767] = 1
+                held.append((part, np.packbits(bit, bitorder="little").tobytes()))
+            return pa.table([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.binary())], names=["part", "bits"])
+
+        made = packed.select("deal", "keys").groupBy("deal").applyInArrow(mapped, "part long, bits binary")
         return ((r["part"], bytes(r["bits"])) for r in made.collect())
 
-    return KeySet(keys, n, parts)
+    return KeySet(keys, (packed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // keys.width, parts)
 
 
 _FED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("second", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 #: Bucket numbers below zero are those of words.
-_COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "prefix", "suffix", "n")])
+_COUNTED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("word", "n", "deal")], *[T.StructField(c, T.BinaryType()) for c in ("suffixes", "prefixes", "counts")]])
+#: Runs and what their suffixes say of them, dealt by their prefixes.
+_RAISED = T.StructType([T.StructField("deal", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("prefixes", "suffixes", "counts", "above", "chances")]])
+#: Runs with their chances (``gain`` is nan where the context is not retained), or retained contexts with the share they keep.
+_LEVEL = T.StructType([T.StructField("deal", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("keys", "counts", "above", "chances", "gains", "kept")]])
 
 
 def _stretches(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -214,14 +229,46 @@ def _count_runs(keys: Keys, length: int, passes: list, with_words: bool):
     return count
 
 
+def _whole(n: np.ndarray) -> bytes:
+    """Whole numbers, place by place like keys, in as few bytes as the greatest needs."""
+    width = max(1, (int(n.max()).bit_length() + 7) // 8) if len(n) else 1
+    return Keys.places(n.astype(np.int64), width)
+
+
+def _wholes(parts: list[bytes], sizes: list[int]) -> np.ndarray:
+    out = np.zeros((sum(sizes), 8), np.uint8)
+    at = 0
+    for raw, size in zip(parts, sizes, strict=True):
+        if size:
+            planes = np.frombuffer(raw, np.uint8).reshape(-1, size)
+            out[at : at + size, : len(planes)] = planes.T
+        at += size
+    return out.view(np.int64).ravel()
+
+
+def _floats(parts: list[bytes], kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(p, kind) for p in parts]])
+
+
+def _sizes(keys: Keys, parts: list[bytes]) -> list[int]:
+    return [len(p) // keys.width for p in parts]
+
+
+def _packed(schema: T.StructType, rows: list[dict]) -> pa.Table:
+    kinds = {T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
+    return pa.table([pa.array([r.get(f.name) for r in rows], kinds[f.dataType]) for f in schema.fields], names=schema.names)
+
+
 def _merge_runs(keys: Keys, least: int):
+    """Words with their counts, or the runs of one bucket that occur ``least`` times or more, dealt by their suffixes."""
+
     def merge(table: pa.Table) -> pa.Table:
         words = table.column("bucket")[0].as_py() < 0
         firsts, counts = table.column("first").to_pylist(), table.column("counts").to_pylist()
         width = 8 if words else keys.width
         n = np.concatenate([np.frombuffer(c, np.uint32).astype(np.int64) if c is not None else np.ones(len(f) // width, np.int64) for f, c in zip(firsts, counts, strict=True)])
         if words:
-            prefix = suffix = key = np.concatenate([np.frombuffer(f, U) for f in firsts])
+            key = np.concatenate([np.frombuffer(f, U) for f in firsts])
         else:
             prefix, suffix = keys.unpack(firsts), keys.unpack(table.column("second").to_pylist())
             key = keys.join(prefix, suffix)
@@ -229,14 +276,14 @@ def _merge_runs(keys: Keys, least: int):
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         n = np.add.reduceat(n[order], first)
-        kept = np.ones(len(n), bool) if words else n >= least
-        at = order[first[kept]]
-        columns = [key[first[kept]], prefix[at], suffix[at]]
         if words:
-            columns[1] = np.zeros(len(at), U)  # a word stands where the context of a run would
-            columns[2] = columns[0]
-            columns[0] = columns[0] & keys.mask
-        return pa.table([pa.array(c.view(np.int64)) for c in columns] + [pa.array(n[kept])], names=_COUNTED.names)
+            none = [pa.nulls(len(n), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            return pa.table([pa.array(key[first].view(np.int64)), pa.array(n), *none], names=_COUNTED.names)
+        kept = n >= least
+        prefix, suffix, n = prefix[order[first[kept]]], suffix[order[first[kept]]], n[kept]
+        by = np.argsort(suffix)
+        prefix, suffix, n = prefix[by], suffix[by], n[by]
+        return _packed(_COUNTED, [{"deal": b, "suffixes": keys.pack(suffix[lo:hi]), "prefixes": keys.pack(prefix[lo:hi]), "counts": _whole(n[lo:hi])} for b, lo, hi in _stretches(keys.bucket(suffix))])
 
     return merge
 
@@ -246,27 +293,108 @@ def _counted(texts: DataFrame, keys: Keys, length: int, passes: list, with_words
     return fed.groupBy("bucket").applyInArrow(_merge_runs(keys, least), _COUNTED)
 
 
-def _level(now: DataFrame, below: DataFrame, total: int, divergence: float, root: bool) -> DataFrame:
-    """The runs of one more symbol with their chances, and which of their contexts are retained.
+def _pack_words(keys: Keys):
+    """A task: the words' keys, counts and chances as the lowest level."""
+
+    def pack(batches):
+        for batch in batches:
+            key, n, above, chance = (batch.column(i).to_numpy() for i in range(4))
+            order = np.argsort(key)
+            key, n, above, chance = key[order].view(U), n[order], above[order], chance[order]
+            yield from _packed(_LEVEL, [
+                {"deal": b, "keys": keys.pack(key[lo:hi]), "counts": _whole(n[lo:hi]), "above": _whole(above[lo:hi]), "chances": chance[lo:hi].tobytes()} for b, lo, hi in _stretches(keys.bucket(key))
+            ]).to_batches()
 
-    key, n, above_n (of the suffix), chance, and where the context is retained: context,
-    keep (the share it leaves to its suffix) and gain (log10 of the chance over what the
-    suffix leaves).
+    return pack
+
+
+def _level_below(keys: Keys, below: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order with counts, counts of their suffixes and chances; one key that no run has stands last."""
+    raw = below.column("keys").to_pylist()
+    sizes = _sizes(keys, raw)
+    key = keys.unpack(raw)
+    order = np.argsort(key)
+    n, above = (_wholes(below.column(c).to_pylist(), sizes) for c in ("counts", "above"))
+    chance = _floats(below.column("chances").to_pylist(), kind)
+    return np.append(key[order], ~U(0)), np.append(n[order], 0), np.append(above[order], 0), np.append(chance[order], kind(0))
+
+
+def _raise_runs(keys: Keys, kind: type):
+    """Runs of one bucket of suffixes get their suffix's count and chance, and are dealt by their prefixes."""
+
+    def raised(now: pa.Table, below: pa.Table) -> pa.Table:
+        raw = now.column("suffixes").to_pylist()
+        suffix, prefix, n = keys.unpack(raw), keys.unpack(now.column("prefixes").to_pylist()), _wholes(now.column("counts").to_pylist(), _sizes(keys, raw))
+        known, count, _, chance = _level_below(keys, below, kind)
+        at = np.searchsorted(known, suffix)
+        hit = np.flatnonzero(known[at] == suffix)
+        hit = hit[np.argsort(prefix[hit])]
+        suffix, prefix, n, at = suffix[hit], prefix[hit], n[hit], at[hit]
+        above, chance = count[at], chance[at]
+        return _packed(_RAISED, [
+            {"deal": b, "prefixes": keys.pack(prefix[lo:hi]), "suffixes": keys.pack(suffix[lo:hi]), "counts": _whole(n[lo:hi]), "above": _whole(above[lo:hi]), "chances": chance[lo:hi].tobytes()}
+            for b, lo, hi in _stretches(keys.bucket(prefix))
+        ])
+
+    return raised
+
+
+def _retain(keys: Keys, divergence: float, kind: type):
+    """Runs of one bucket of prefixes: which of these contexts are retained, and all runs' chances, dealt by the runs' keys."""
+
+    def retain(runs_: pa.Table, below: pa.Table) -> pa.Table:
+        raw = runs_.column("prefixes").to_pylist()
+        sizes = _sizes(keys, raw)
+        prefix, suffix = keys.unpack(raw), keys.unpack(runs_.column("suffixes").to_pylist())
+        n, above = (_wholes(runs_.column(c).to_pylist(), sizes) for c in ("counts", "above"))
+        above_chance = _floats(runs_.column("chances").to_pylist(), kind).astype(float)
+        if not len(prefix):
+            return _packed(_LEVEL, [])
+        order = np.argsort(prefix)
+        prefix, suffix, n, above, above_chance = prefix[order], suffix[order], n[order], above[order], above_chance[order]
+        first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+        kinds = np.diff(np.append(first, len(prefix)))
+        of = np.repeat(np.arange(len(first)), kinds)
+        known, count, count_above, _ = _level_below(keys, below, kind)
+        at = np.searchsorted(known, prefix[first])
+        found = known[at] == prefix[first]
+        whole, above_whole = np.where(found, count[at], 1).astype(float), np.where(found, count_above[at], 1).astype(float)
+        held, above_held = np.add.reduceat(n, first), np.add.reduceat(above, first)
+        rest = whole - held
+        left_over = np.where(found & (rest > 0), rest, 0.0)
+        gain = np.add.reduceat(n * np.log(n / above), first) + held * np.log(above_whole / whole)
+        share = np.where(left_over > 0, left_over / whole, 1.0) / np.maximum(1 - above_held / above_whole, 1e-9)
+        gain += np.where(left_over > 0, left_over * np.log(share), 0.0)
+        keep = 1 - (held - kinds) / whole
+        kept = found & (gain >= divergence * (kinds + (left_over > 0))) & (keep > 0)  # two runs of one key, a few in 10^8, could leave nothing
+        left = keep[of] * above_chance
+        in_kept = kept[of]
+        chance = np.where(in_kept, (n - 1) / whole[of] + left, above_chance)
+        gain = np.full(len(n), np.nan, np.float32)
+        gain[in_kept] = np.log10(chance[in_kept] / left[in_kept])
+        key, chance = keys.join(prefix, suffix), chance.astype(np.float32)
+        order = np.argsort(key)
+        key, n, above, chance, gain = key[order], n[order], above[order], chance[order], gain[order]
+        out = [
+            {"deal": b, "keys": keys.pack(key[lo:hi]), "counts": _whole(n[lo:hi]), "above": _whole(above[lo:hi]), "chances": chance[lo:hi].tobytes(), "gains": gain[lo:hi].tobytes()}
+            for b, lo, hi in _stretches(keys.bucket(key))
+        ]
+        context, held, keep = prefix[first[kept]], held[kept], keep[kept].astype(np.float32)
+        out += [{"deal": b, "keys": keys.pack(context[lo:hi]), "counts": _whole(held[lo:hi]), "kept": keep[lo:hi].tobytes()} for b, lo, hi in _stretches(keys.bucket(context))]
+        return _packed(_LEVEL, out)
+
+    return retain
+
+
+def _level(now: DataFrame, below: DataFrame, keys: Keys, divergence: float, kind: type) -> DataFrame:
+    """The runs of one more symbol with their chances and gains (log10 of the chance over what the suffix leaves), and the contexts retained with the share they keep.
+
+    ``below`` is the level of the shorter runs; its keys are unique and its buckets even,
+    so runs are looked up in it bucket by bucket, first by their suffixes, then by their
+    prefixes.
     """
-    # ``below`` has unique keys, so its hash partitions are even and serve as the build side of hash joins
-    suffix = below.select(F.col("key").alias("suffix"), F.col("n").alias("above_n"), F.col("chance").alias("above_chance")).hint("shuffle_hash")
-    prefix = below.select(F.col("key").alias("prefix"), F.col("n").alias("whole"), (F.lit(total).cast("long") if root else F.col("above_n")).alias("above_whole")).hint("shuffle_hash")
-    full = now.join(suffix, "suffix").drop("suffix").repartition("prefix")
-    n, above = F.col("n"), F.col("above_n")
-    of = full.groupBy("prefix").agg(F.sum(n).alias("held"), F.sum(above).alias("above"), F.count("*").alias("kinds"), F.sum(n * F.log(n / above)).alias("gain")).join(prefix, "prefix")
-    whole, rest = F.col("whole"), F.col("whole") - F.col("held")
-    gain = F.col("gain") + F.col("held") * F.log(F.col("above_whole") / whole)
-    other = F.when(rest > 0, rest * F.log((rest / whole) / F.greatest(1 - F.col("above") / F.col("above_whole"), F.lit(1e-9)))).otherwise(0.0)
-    retained = of.where(gain + other >= divergence * (F.col("kinds") + (rest > 0).cast("int"))).select("prefix", "whole", (1 - (F.col("held") - F.col("kinds")) / whole).alias("keep")).where("keep > 0")  # two runs of one key, a few in 10^8, could leave nothing
-    joined = full.join(retained.hint("shuffle_hash"), "prefix", "left")
-    left = F.col("keep") * F.col("above_chance")
-    chance = F.when(F.col("keep").isNotNull(), (n - 1) / whole + left).otherwise(F.col("above_chance"))
-    return joined.select("key", "n", "above_n", chance.cast("float").alias("chance"), F.when(F.col("keep").isNotNull(), F.col("prefix")).alias("context"), F.col("keep").cast("float").alias("keep"), F.log10(chance / left).cast("float").alias("gain"))
+    raised = now.groupBy("deal").cogroup(below.groupBy("deal")).applyInArrow(_raise_runs(keys, kind), _RAISED)
+    return raised.groupBy("deal").cogroup(below.groupBy("deal")).applyInArrow(_retain(keys, divergence, kind), _LEVEL)
 
 
 def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergence: float = DIVERGENCE) -> tuple[Keys, DataFrame, list[DataFrame], list]:
@@ -275,40 +403,79 @@ def grow_tree(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, di
     name = texts.columns[0]
     keys = Keys(texts.agg(F.sum(F.octet_length(name) + 1)).first()[0] or 0)
     both = write_scratch(_counted(texts, keys, min(2, depth + 1), [None] * min(1, depth), True, least), "counts")
-    words = both.where("prefix = 0 AND suffix IS NOT NULL AND (suffix & %d) = key" % int(keys.mask)).select(F.col("suffix").alias("word"), "n", "key")
+    words = both.where("deal IS NULL").select("word", "n", F.col("word").bitwiseAND(F.lit(int(keys.mask))).alias("key"))
     words = write_scratch(words, "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     below = words.groupBy("key").agg(F.sum("n").alias("n"))
     kinds = words.count()
-    below = below.withColumns({"above_n": F.lit(total), "chance": (F.col("n") + 0.5) / F.lit(float(total + 0.5 * (kinds + 1)))})
+    below = below.select("key", "n", F.lit(total).cast("long").alias("above"), ((F.col("n") + 0.5) / F.lit(float(total + 0.5 * (kinds + 1)))).alias("chance"))
+    below = write_scratch(below.mapInArrow(_pack_words(keys), _LEVEL), "level")
+    lowest = below
     levels, sets, passes = [], [], [None]
     for length in range(2, depth + 2):
         if length > 2:
             both = write_scratch(_counted(texts, keys, length, passes, least=least), "counts")
-        level = write_scratch(_level(both.where("prefix != 0"), below, total, divergence, length == 2), "level")
+        now = both.where("deal IS NOT NULL").select("deal", "suffixes", "prefixes", "counts")
+        level = write_scratch(_level(now, below, keys, divergence, np.float64 if length == 2 else np.float32), "level")
         levels.append(level)
-        below = level
+        below = level.where("chances IS NOT NULL")
         drop_scratch(both)
         if length <= depth:
-            held = spark.sparkContext.broadcast(key_set(keys, level, level.count()))
+            held = spark.sparkContext.broadcast(key_set(keys, below))
             sets.append(held)
             passes = [*passes, held]
+    drop_scratch(lowest)
     return keys, words, levels, sets
 
 
+_TREE = T.StructType([T.StructField("deal", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("keys", "values", "counts")]])
+
+
+def _add_values(table: pa.Table) -> pa.Table:
+    """The runs of one bucket: what each adds to a text's log10 probability, as a context and as a whole, and how often."""
+    of, value, n = [], [], []
+    for key, count, chance, gain, kept in zip(*[table.column(c).to_pylist() for c in ("keys", "counts", "chances", "gains", "kept")], strict=True):
+        worth = np.log10(np.frombuffer(kept, np.float32).astype(float)) if chance is None else np.frombuffer(gain, np.float32).astype(float)
+        some, width = ~np.isnan(worth), len(key) // len(worth)
+        of.append(Keys.spread(key, width)[some]), value.append(worth[some]), n.append(_wholes([count], [len(worth)])[some])
+    key, value, n = (np.concatenate(x) for x in (of, value, n))
+    if not len(key):
+        return _packed(_TREE, [])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    value, n = (np.add.reduceat(x[order], first) for x in (value, n))
+    return _packed(_TREE, [{"deal": table.column("deal")[0].as_py(), "keys": Keys.places(key[first], width), "values": value.astype(np.float32).tobytes(), "counts": _whole(n)}])
+
+
+def packed_tree(levels: list[DataFrame]) -> DataFrame:
+    """A row for each bucket: its runs, what each adds to a text's log10 probability, and how often they occur."""
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.groupBy("deal").applyInArrow(_add_values, _TREE)
+
+
+def _unpack_tree(choose=None):
+    """A task: the rows (key, value, n) of a packed tree, those that ``choose`` picks by n."""
+
+    def unpack(batches):
+        for batch in batches:
+            for key, value, count in zip(*[batch.column(c).to_pylist() for c in ("keys", "values", "counts")], strict=True):
+                value = np.frombuffer(value, np.float32)
+                key, n = Keys.spread(key, len(key) // len(value)), _wholes([count], [len(value)])
+                some = np.flatnonzero(choose(n)) if choose else np.arange(len(n))
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(value[some]), pa.array(n[some])], ["key", "value", "n"])
+
+    return unpack
+
+
+_RUN = "key long, value float, n long"
+
+
 def tree_values(levels: list[DataFrame]) -> DataFrame:
     """key, value, n: what each run adds to a text's log10 probability, as a context and as a whole."""
-    none = F.lit(None)
-    parts = []
-    for level in levels:
-        rows = level.where("context IS NOT NULL")
-        parts.append(rows.select("key", F.col("gain").cast("double").alias("gain"), none.cast("float").alias("keep"), "n"))
-        parts.append(rows.select(F.col("context").alias("key"), none.cast("double").alias("gain"), "keep", "n"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    of = out.groupBy("key").agg(F.sum("gain").alias("gain"), F.max("keep").alias("keep"), F.sum("n").alias("n"))
-    return of.select("key", (F.coalesce("gain", F.lit(0.0)) + F.coalesce(F.log10("keep"), F.lit(0.0))).cast("float").alias("value"), "n")
+    return packed_tree(levels).mapInArrow(_unpack_tree(), _RUN)
 
 
 _SCORED = T.StructType(
@@ -415,36 +582,6 @@ def _score_texts(fields: T.StructType, keys: Keys, depth: int, passes: list, val
     return score
 
 
-_PACKED = T.StructType([T.StructField("deal", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("values", T.BinaryType())])
-
-
-def _pack_tree(keys: Keys):
-    """A task: the runs (key, value) of the tree by bucket."""
-
-    def pack(batches):
-        held, size = [], 0
-
-        def hand_on():
-            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(key)
-            key, value = key[order], value[order]
-            deal, first = np.unique(keys.bucket(key), return_index=True)
-            cuts = list(zip(first, np.append(first[1:], len(key)), strict=True))
-            packed = [pa.array([keys.pack(key[lo:hi]) for lo, hi in cuts], pa.binary()), pa.array([value[lo:hi].tobytes() for lo, hi in cuts], pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(deal.astype(np.int64)), *packed], _PACKED.names)
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()))
-            size += batch.num_rows
-            if size > 4 * HELD:
-                yield hand_on()
-                held, size = [], 0
-        if size:
-            yield hand_on()
-
-    return pack
-
-
 def _look_up(keys: Keys):
     """The runs of one bucket of texts in the same bucket of the tree: sums by chunk and place. Rows of texts pass."""
 
@@ -452,7 +589,7 @@ def _look_up(keys: Keys):
         names = [c for c in texts.column_names if c not in ("runs", "deal")]
         if texts.num_rows and texts.column("deal")[0].as_py() < 0:
             return texts.select(names).append_column("sums", pa.nulls(texts.num_rows, pa.binary()))
-        known = keys.unpack(tree.column("runs").to_pylist())
+        known = keys.unpack(tree.column("keys").to_pylist())
         value = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(v, np.float32) for v in tree.column("values").to_pylist()]])
         order = np.argsort(known)
         known, value = np.append(known[order], ~U(0)), np.append(value[order].astype(float), 0.0)
@@ -464,7 +601,7 @@ def _look_up(keys: Keys):
             total = np.bincount(place[hit], value[found[hit]])
             some = np.flatnonzero(total)
             if len(some):
-                chunks.append(chunk), places.append(some.astype(np.uint16).tobytes()), sums.append(total[some].tobytes())
+                chunks.append(chunk), places.append(some.astype(np.uint16).tobytes()), sums.append(Keys.places(total[some], 8))
         given = {"chunk": pa.array(chunks, pa.int64()), "places": pa.array(places, pa.binary())}
         columns = [given[c] if c in given else pa.nulls(len(chunks), texts.schema.field(c).type) for c in names]
         return pa.table([*columns, pa.array(sums, pa.binary())], names=[*names, "sums"])
@@ -477,21 +614,41 @@ _TOTALS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("pla
 
 def _add_up(table: pa.Table) -> pa.Table:
     place = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("places").to_pylist()])
-    total = np.bincount(place, np.concatenate([np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist()]))
+    total = np.bincount(place, np.concatenate([Keys.spread(x, 8).view(np.float64) for x in table.column("sums").to_pylist()]))
     some = np.unique(place)
     return pa.table([pa.array(np.full(len(some), table.column("chunk")[0].as_py())), pa.array(some.astype(np.int32)), pa.array(total[some])], names=_TOTALS.names)
 
 
-def _frequent(rows: DataFrame, room: int) -> DataFrame:
-    """The most frequent rows (n), by whole steps of a logarithmic scale, as many as there is room for."""
-    step = F.floor(8 * F.log2("n"))
-    least = None
-    for at, n in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):
+def _least_step(steps: list, room: int) -> float:
+    """The lowest whole step of a logarithmic scale from which on all rows fit the room; ``steps`` holds (step, rows)."""
+    least = float("inf")
+    for at, n in sorted(steps, reverse=True):
         room -= n
         if room < 0:
             break
         least = at
-    return rows.where(step >= least) if least is not None else rows.limit(0)
+    return least
+
+
+def _frequent(rows: DataFrame, room: int) -> DataFrame:
+    """The most frequent rows (n), by whole steps of a logarithmic scale, as many as there is room for."""
+    step = F.floor(8 * F.log2("n"))
+    least = _least_step(rows.groupBy(step.alias("step")).count().collect(), room)
+    return rows.where(step >= int(least)) if least != float("inf") else rows.limit(0)
+
+
+def _frequent_runs(tree: DataFrame, room: int) -> DataFrame:
+    """The same of a packed tree, as rows (key, value, n)."""
+    step = lambda n: np.floor(8 * np.log2(n)).astype(np.int64)
+
+    def steps(batches):
+        for batch in batches:
+            for value, count in zip(batch.column("values").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                at, n = np.unique(step(_wholes([count], [len(value) // 4])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["step", "n"])
+
+    least = _least_step(tree.select("values", "counts").mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n")).collect(), room)
+    return tree.mapInArrow(_unpack_tree(lambda n: step(n) >= least), _RUN)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -522,16 +679,16 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
         slots[slot], logs[slot] = word, np.log10((n + 0.5) / whole)
         head = share((slots, logs))
 
-        values = write_scratch(tree_values(levels), "tree")
+        tree = write_scratch(packed_tree(levels), "tree")
         for level in levels:
             drop_scratch(level)
         run_slots, run_values = np.full(RUN_SLOTS, ~U(0)), np.zeros(RUN_SLOTS, np.float32)  # no key has 64 bits
-        table = _frequent(values, HEAD_RUNS).toArrow()
+        table = _frequent_runs(tree, HEAD_RUNS).toArrow()
         order = np.argsort(table.column("n").to_numpy(), kind="stable")  # of two in one slot the more frequent stays
         run, value = table.column("key").to_numpy().view(U)[order], table.column("value").to_numpy()[order]
         slot = _slot(run, RUN_SLOTS)
         run_slots[slot], run_values[slot] = run, value
-        valued = share(key_set(keys, values, values.count()))
+        valued = share(key_set(keys, tree))
 
     rows = source.select("doc_id", held_out().alias("held_out"), "text")
     fields = rows.schema
@@ -540,9 +697,8 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
     with setting(spark, BATCH_ROWS, str(CHUNK)), setting(spark, "spark.sql.parquet.compression.codec", "zstd"):  # the tail of the runs goes into the shuffle at once and stands nowhere else
         score = _score_texts(fields, keys, depth, passes, valued, share((run_slots, run_values)), head, log(ends))
         met = rows.mapInArrow(score, T.StructType(own + _SCORED.fields)).groupBy("deal")
-        tree = values.select("key", "value").mapInArrow(_pack_tree(keys), _PACKED).groupBy("deal")
-        scored = write_scratch(met.cogroup(tree).applyInArrow(_look_up(keys), T.StructType(own + _FOUND.fields)), "scored")
-    drop_scratch(values)
+        scored = write_scratch(met.cogroup(tree.select("deal", "keys", "values").groupBy("deal")).applyInArrow(_look_up(keys), T.StructType(own + _FOUND.fields)), "scored")
+    drop_scratch(tree)
     sums = scored.where("place IS NULL").select("chunk", "places", "sums")
     scored = scored.where("place IS NOT NULL").drop("places", "sums")
     rare = scored.select("chunk", "place", F.explode(F.arrays_zip("words", "times")).alias("w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

@@ -123,3 +123,14 @@ def test_wide_keys_and_clashing_columns(spark, monkeypatch):
     assert suffix_tree.lm_scores(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, "a b"), (None, "a b")], "doc_id long, text string")
     assert sorted((r.n_tokens, r.held_out) for r in suffix_tree.lm_scores(nulls).collect()) == [(1, False), (3, False), (3, False)]
+
+
+def test_levels_travel_as_buckets_not_as_rows(spark, monkeypatch):
+    texts = corpus(np.random.default_rng(5))
+    monkeypatch.setattr(suffix_tree, "BUCKET", 1000)
+    keys, _, levels, _ = suffix_tree.grow_tree(table(spark, texts).select("text"))
+    assert 1 < keys.buckets < 8
+    for level in levels:
+        assert level.count() <= 2 * keys.buckets**2
+    runs = suffix_tree.tree_values(levels)
+    assert runs.count() == runs.select("key").distinct().count() > 2 * len(levels) * keys.buckets**2
