@@ -4,7 +4,7 @@ Ten phases in order, each also a function of its own. Most are column expression
 the text. Sections are skipped by a two-state automaton over lines: every line is a map
 of the states (a blank line or another heading leads to keeping, a section heading
 toggles, other lines change nothing), maps compose, so the state before a line is the
-parity of the section headings since the last line that fixes it: two running sums. What
+parity of the section headings since the last line that fixes it: a running sum and its value there. What
 labels take away of the lines above them is a stack whose depth is a running sum less
 its running minimum. Both are windows, so no line waits for a loop over the text.
 """
@@ -99,6 +99,15 @@ RESIDUES = [
     (r"^\s*##\s*DATI\s*(?:NOME\s+E\s+COGNOME|ANAGRAFICI)?\s*$", "m"),
     (r"^\s*##\s*(?:Medico|Dirigente|Specializzando)\s+.*$", "im"),
 ]
+#: For the patterns of REMOVED and RESIDUES in their order: no text without one of these (in the pattern's case, or folded where the pattern takes any case) can match; none given: always tried.
+REMOVED_NEED = [
+    ["[MEDICO]"], ["prof.", "dott.", "dr."], ["medico", "dirigente", "specializzando"], ["pieve", "fraction"], ["-", "–"], ["provenienza"], ["service"], ["___"], ["COGNOME", "NASCITA"], ["[nato]"],
+    ["("], ["documento"], ["sensi", "codice", "firma"], ["REFERTO"], ["@"], ["via", "piazza", "corso", "strada", "localit", "contrada"], ["via", "piazza"], ["pag.:"], ["aziend", "spedal", "policlinico", "istituto"],
+    ["servizio"], ["servizio"], ["provenienza"], ["PAZIENTE", "NATO", "MEDICO", "INDIRIZZO", "CF", "TEL"], ["DATI"], ["COGNOME", "NASCITA"], ["["], ["["], ["referto"], ["visita", "medicazione"], ["referto"],
+    [":"], ["[INDIRIZZO]"], ["[INDIRIZZO]"], [], [], ["-"], [], ["informatica"], ["<!--"], ["uo", "u.o.", "dip.", "unit"], ["arcispedale"], ["dipartimento"], ["firma"], ["riservat"], ["regolamento", "gdpr", "trattamento"],
+    ["##"], ["DATI"],
+]
+RESIDUES_NEED = [["["], ["[INDIRIZZO]"], ["["], ["-", "–"], ["pieve"], ["provenienza"], ["service"], ["DATI"], ["medico", "dirigente", "specializzando"]]
 NAME_LABEL = r"\b(?:NOME\s+E\s+COGNOME|COGNOME\s+E\s+NOME)\b"
 NO_NAME = [
     "NOME", "COGNOME", "LUOGO", "DATA", "NASCITA", "SESSO", "CODICE", "FISCALE", "REPARTO", "AMBULATORIO", "UNITA", "UNITÀ", "OPERATIVA", "DAY", "SERVICE", "OSPEDALE", "AZIENDA", "SANITARIA", "DATI", "ANAGRAFICI", "PRESTAZIONI",
@@ -117,16 +126,35 @@ def _pattern(pattern: str, flags: str = "") -> str:
 
 
 def _stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    """``line`` is a column or a variable: it is named more than once. Only lines that begin or end with white space are searched for it."""
+    ends = F.concat(F.substring(line, 1, 1), F.substring(line, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(line, r"(?U)^\s+|\s+$", "")).otherwise(line)
+
+
+def _folded(text: Column) -> Column:
+    """Letters as patterns of any case compare them: the four letters beyond ASCII that equal one of it (ſ, ı, K, İ) become that one."""
+    return F.lower(reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ["İi", "ſs", "ıi"], text))
+
 
+def _without(text: Column, patterns: list[tuple[str, str]], needs: list[list[str]] | None = None) -> Column:
+    """The text without what the patterns match, one after another; a pattern is tried only where the text, as it then is, holds what a match needs."""
+    if needs is None:
+        return reduce(lambda t, p: F.regexp_replace(t, _pattern(*p), ""), patterns, text)
+    both = lambda x: F.struct(x.alias("t"), _folded(x).alias("f"))
+    steps = [F.struct(F.lit(_pattern(*p)).alias("pattern"), F.lit("i" in p[1]).alias("folds"), F.array(*[F.lit(n) for n in need]).cast("array<string>").alias("needs")) for p, need in zip(patterns, needs, strict=True)]
 
-def _without(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, _pattern(*p), ""), patterns, text)
+    def drop(now: Column, step: Column) -> Column:
+        # a text that a pattern leaves alone is not folded again
+        tried = let(F.regexp_replace(now["t"], step["pattern"], F.lit("")), lambda x: F.when(x == now["t"], now).otherwise(both(x)))
+        among = F.when(step["folds"], now["f"]).otherwise(now["t"])
+        return F.when((F.size(step["needs"]) == 0) | F.exists(step["needs"], lambda n: among.contains(n)), tried).otherwise(now)
+
+    return F.aggregate(F.array(*steps), let(text, both), drop)["t"]
 
 
 def without_patterns(text: Column) -> Column:
     """Phase 1: time stamps, codes, addresses, signatures and the like."""
-    return _without(text, REMOVED)
+    return _without(text, REMOVED, REMOVED_NEED)
 
 
 def _kept_lines(text: Column, keep) -> Column:
@@ -169,7 +197,7 @@ def _beside_label(text: Column) -> Column:
         found = F.array(*[_as_name(x) for x in (after, before, *[F.get(rows, i + k) for k in (-1, 1, -2, 2, -3, 3)], *pairs)])
         return F.when(line.rlike(label), F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
 
-    rows = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    rows = F.when(_folded(text).contains("cognome"), F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))))
     return let(rows, lambda r: F.get(F.filter(F.transform(r, lambda line, i: near(r, line, i)), lambda x: x.isNotNull()), F.lit(0)))
 
 
@@ -200,9 +228,21 @@ def patient_name(text: Column, guess: bool = True) -> Column:
     """The patient's name, or null: beside its label, below the heading of the personal data, above or after a label in running text; else, if ``guess``, a name often written in capitals."""
     text = F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("\r\n"), F.lit("\n"))
     run = r"([A-ZÀ-Ü]{2,}(?:\s+[A-ZÀ-Ü]{2,}){1,4})"
-    said = lambda pattern: F.nullif(_stripped(F.regexp_extract(text, _pattern(pattern, "i"), 1)), F.lit(""))
-    found = [_beside_label(text), _below_heading(text), said(rf"{run}\s*\n\s*(?:NOME\s+E\s+COGNOME|COGNOME\s+E\s+NOME)"), said(rf"(?:Cognome\s+e\s+nome)\s*:?\s*{run}")]
-    return F.coalesce(*found, *([_often_capital(text)] if guess else []))
+    below = r"\s*\n\s*(?:NOME\s+E\s+COGNOME|COGNOME\s+E\s+NOME)"
+    # the first match never begins inside a word, and no word or blank is given back: what follows it is no part of it
+    first_run = r"(?<![A-ZÀ-Ü])([A-ZÀ-Ü]{2,}+(?:\s++[A-ZÀ-Ü]{2,}+){1,4})"
+
+    def find(state: Column) -> Column:
+        text, folded = state["t"], state["f"]
+        said = lambda pattern: let(F.regexp_extract(text, _pattern(pattern, "i"), 1), lambda x: F.nullif(_stripped(x), F.lit("")))
+        labelled = lambda test, found: F.when(folded.contains("cognome") & test, found)
+        headed = F.when(folded.contains("anagrafici"), _below_heading(text))
+        # a run ends right before the line end, so texts without a letter there are not searched for runs
+        above = labelled(text.rlike(_pattern(rf"[A-ZÀ-Ü]{below}", "i")), said(rf"{first_run}{below}"))
+        found = [_beside_label(text), headed, above, labelled(F.lit(True), said(rf"(?:Cognome\s+e\s+nome)\s*:?\s*{run}"))]
+        return F.coalesce(*found, *([_often_capital(text)] if guess else []))
+
+    return let(let(text, lambda x: F.struct(x.alias("t"), _folded(x).alias("f"))), find)
 
 
 def without_patient(text: Column, name: Column) -> Column:
@@ -273,13 +313,14 @@ def without_patient_data(text: Column) -> Column:
 
 def without_residues(text: Column) -> Column:
     """Phase 9: what earlier phases leave of addresses, places and headings."""
-    return _without(text, RESIDUES)
+    return _without(text, RESIDUES, RESIDUES_NEED)
 
 
 def whitespace_cleaned(text: Column) -> Column:
     """Phase 10: rules of dashes or underscores go, three or more line ends become two, blanks at ends go."""
     ruled = _without(text, [(r"^_{3,}\s*$", "m"), (r"^\s*-{3,}\s*$", "m")])
-    return _stripped(F.regexp_replace(_stripped(F.regexp_replace(ruled, r"\n{3,}", "\n\n")), r"(?dmU)[\s&&[^\n]]+$", ""))
+    blanks = lambda x: F.regexp_replace(x, r"(?dmU)[\s&&[^\n]]+$", "")
+    return let(let(F.regexp_replace(ruled, r"\n{3,}", "\n\n"), lambda x: blanks(_stripped(x))), _stripped)
 
 
 def cleaned(df: DataFrame, key: str, text: str = "text") -> DataFrame:

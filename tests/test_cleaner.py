@@ -169,3 +169,27 @@ def test_sections_toggle_and_labels_stack(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "d int, line_no int, line string")
     assert [r.line for r in c.without_sections(df, "d").orderBy("line_no").collect()] == ["a", "## Dati anagrafici", "kept", "", "end"]
     assert c.cleaned(spark.createDataFrame([], "id int, text string"), "id").count() == 0
+
+
+#: Texts that every pattern of REMOVED and RESIDUES finds something in, some with letters that equal ASCII ones only when case is ignored.
+SIGNS = [
+    "[MEDICO] .ssa ROSSI MARIA '", "visto dal dott. ROSSI MARIO", "DR. BIANCHI", "## Medico in Formazione", "Dirigente Medico", "SPECIALIZZANDO", "Pieve di Cento", "FRACTION OF x", "- 44100 FERRARA (FE)", "– 44100 CENTO FE",
+    "Provenienza: casa", "DAY service oncologia", "abc ____ def", "ROSSI MARIO LUOGO E DATA DI NASCITA", "ROSSI MARIO NOME E COGNOME", "rossi [nato] luogo e data di nascita", "FERRARA (FE)", "Documento riservato", "documento informatico x",
+    "ai sensi del decreto", "firmato digitalmente da x", "codice dell'amministrazione digitale", "REFERTO", "a.b@c.it", "Via Roma, 12 x", "Località Alta 3", "viale Po 44100 Ferrara", "Pag.: 1 / 2", "Azienda Ospedaliera x", "istituto clinico y",
+    "arcispedale z", "## Servizio sanitario regionale x", "servizio sanitario nazionale y", "PROVENIENZA DH x", "[[PAZIENTE]]", "[TEL]", "## DATI ANAGRAFICI", "COGNOME E NOME", "[NATO] 10:20:30 x", "[CF]",
+    "referto del 1.2.2020 delle ore 10:20:30", "Visita oncologica di controllo", "medicazione ustioni", "## Referto", "1/2/2020 10:20", "[INDIRIZZO] /3 - 44100 FERRARA (FE)", "[INDIRIZZO] - 44100 FERRARA FE", "RSSMRA80A01H501U", "123456789",
+    "1234567890", "AB-12 (3)", "copia informatica del referto x", "<!-- image -->", "UO medicina", "Unità Operativa x", "Arcispedale S. Anna di x", "Dipartimento ad attività integrata x", "la firma del medico", "informazioni riservate x", "GDPR x",
+    "regolamento UE 2016/679", "trattamento dei dati", "##", "## DATI", "## Medico curante", "f\u0131rma x", "\u0130nformaz\u0131oni riservate", "V\u0130S\u0130TA oncologica", "\u017fervizio \u017fanitario regionale x", "prof. CARLO x", "nulla", "", "ſ", "İ\nK",
+]
+
+
+def test_patterns_are_tried_wherever_they_can_match(spark):
+    df = spark.createDataFrame([(i, x, f"{x}\n{y}") for i, (x, y) in enumerate(zip(SIGNS, SIGNS[1:] + SIGNS[:1], strict=True))], "i int, text string, two string")
+    for patterns, needs in ((c.REMOVED, c.REMOVED_NEED), (c.RESIDUES, c.RESIDUES_NEED)):
+        plain = [c._without(F.col("text"), [p]) for p in patterns]
+        guarded = [c._without(F.col("text"), [p], [n]) for p, n in zip(patterns, needs, strict=True)]
+        rows = df.select("text", F.array(*plain).alias("plain"), F.array(*guarded).alias("guarded")).collect()
+        assert all(r.plain == r.guarded for r in rows)
+        assert all(any(r.plain[k] != r.text for r in rows) for k in range(len(patterns)))
+        both = df.select(c._without(F.col("two"), patterns).alias("plain"), c._without(F.col("two"), patterns, needs).alias("guarded"))
+        assert all(r.plain == r.guarded for r in both.collect())
