@@ -264,21 +264,29 @@ def without_sections(rows: DataFrame, document: str, number: str = "line_no", li
     """
     bare = _stripped(F.col(line))
     heading = bare.rlike(r"(?U)^##\s")
-    marked = rows.withColumns({"_blank": bare == "", "_start": heading & F.lower(bare).rlike(_pattern("|".join(BLOCK_STARTS))), "_label": F.lower(bare).isin(LABELS), "_fixes": (bare == "") | heading})
-    marked = marked.withColumn("_fixes", F.col("_fixes") & ~F.col("_start"))
-    before = lambda *keys: Window.partitionBy(document, *keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = lambda test, *keys: F.coalesce(F.sum(F.col(test).cast("int")).over(before(*keys)), F.lit(0))
-    marked = marked.withColumn("_part", so_far("_fixes")).withColumn("_skips", so_far("_start", "_part") % 2 == 1)
-    kept = marked.where(F.when(F.col("_skips"), F.col("_fixes") | F.col("_start")).otherwise(~F.col("_start")))
-    kept = kept.withColumn("_label", F.col("_label") & ~F.col("_skips"))
-
-    kept = kept.withColumn("_run", so_far("_blank"))
-    here = Window.partitionBy(document, "_run", "_blank").orderBy(number)
-    kept = kept.withColumn("_sum", F.sum(F.when(F.col("_label"), -1).otherwise(1)).over(here))
-    kept = kept.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(here)))
-    later = F.min("_depth").over(here.rowsBetween(1, Window.unboundedFollowing))
-    kept = kept.withColumn("_later", later)
-    stays = F.col("_blank") | ~F.col("_label") & F.coalesce(F.col("_later") >= F.col("_depth"), F.lit(True))
+    lower = F.lower(bare)
+    kind = F.when(bare == "", 1).when(heading & lower.rlike(_pattern("|".join(BLOCK_STARTS))), 2).when(heading, 3).when(lower.isin(LABELS), 4).otherwise(0)
+    marked = rows.withColumn("_kind", kind.cast("byte"))
+    # every sum is taken over the whole document in one order, and what a part of it began with is subtracted: one sort serves them all
+    order = Window.partitionBy(document).orderBy(number)
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda test: F.coalesce(F.sum(test.cast("int")).over(before), F.lit(0))
+    blank, start, fixes, label = ((F.col("_kind") == k) for k in (1, 2, 3, 4))
+    fixes = blank | fixes
+    marked = marked.withColumn("_starts", count(start))
+    marked = marked.withColumn("_skips", (F.col("_starts") - F.coalesce(F.last(F.when(fixes, F.col("_starts")), ignorenulls=True).over(before), F.lit(0))) % 2 == 1).drop("_starts")
+    kept = marked.where(F.when(F.col("_skips"), fixes | start).otherwise(~start))
+    kept = kept.withColumn("_step", F.when(blank, 0).when(label & ~F.col("_skips"), -1).otherwise(1)).drop("_skips", "_kind")
+
+    # runs between blank lines: a number with the run in front and the value behind orders values by run
+    step, run, wide = F.col("_step"), F.col("_run"), F.lit(1 << 32)
+    kept = kept.withColumns({"_run": count(step == 0), "_sum": F.sum("_step").over(so_far)})
+    kept = kept.withColumn("_sum", F.col("_sum") - F.coalesce(F.last(F.when(step == 0, F.col("_sum")), ignorenulls=True).over(before), F.lit(0)))
+    least = F.min(F.when(step != 0, F.col("_sum") - run * wide)).over(so_far) + run * wide
+    kept = kept.withColumn("_depth", run * wide + F.col("_sum") - F.least(F.lit(0), least)).drop("_sum", "_run")
+    after = Window.partitionBy(document).orderBy(F.desc(number)).rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("_later", F.min(F.when(step != 0, F.col("_depth"))).over(after))
+    stays = (step == 0) | (step == 1) & (F.coalesce(F.col("_later") >= F.col("_depth"), F.lit(True)))
     return kept.where(stays).select(rows.columns)
 
 

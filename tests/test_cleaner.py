@@ -193,3 +193,11 @@ def test_patterns_are_tried_wherever_they_can_match(spark):
         assert all(any(r.plain[k] != r.text for r in rows) for k in range(len(patterns)))
         both = df.select(c._without(F.col("two"), patterns).alias("plain"), c._without(F.col("two"), patterns, needs).alias("guarded"))
         assert all(r.plain == r.guarded for r in both.collect())
+
+
+def test_sections_are_found_in_two_orders_of_the_lines(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "Sesso"), (1, 2, "b")], "doc int, line_no int, line string")
+    out = c.without_sections(rows, "doc")
+    assert [r.line for r in out.collect()] == ["b"]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") >= 3
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Sort [") <= 2
