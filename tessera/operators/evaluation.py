@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +23,27 @@ def micro_macro(df: DataFrame, group: str, gold: str, predicted: str) -> DataFra
     return sums.select("tp", "fp", "fn", r4(rate("tp", "fp")).alias("micro_precision"), r4(rate("tp", "fn")).alias("micro_recall"), r4(F.col("_p")).alias("macro_precision"), r4(F.col("_r")).alias("macro_recall"))
 
 
+def matched(a: str, b: str) -> int:
+    """Characters of the matching blocks: the longest one (first in a, then in b), then likewise left and right of it, each found by searching substrings."""
+    total, open_ = 0, [(a, b)]
+    while open_:
+        a, b = open_.pop()
+        at = size = 0
+        for i in range(len(a)):
+            if i + size >= len(a):
+                break
+            while i + size < len(a) and a[i : i + size + 1] in b:
+                at, size = i, size + 1
+        if size:
+            start = b.find(a[at : at + size])
+            total += size
+            open_ += [(a[:at], b[:start]), (a[at + size :], b[start + size :])]
+    return total
+
+
 def ratio(a: str, b: str) -> float:
-    """Ratcliff-Obershelp similarity of two strings; characters that occur often count like others."""
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    """Ratcliff-Obershelp similarity of two strings, as difflib has it; characters that occur often count like others."""
+    return 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 @F.pandas_udf(T.DoubleType())
@@ -47,15 +64,52 @@ def _places(text: str) -> dict[str, int]:
     return out
 
 
+def shared_start(a: str, b: str) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table as the bits of one number; ratio() never matches more characters."""
+    """Length of the longest common subsequence, a row of the table as the bits of one number; ratio() never matches more characters.
+
+    What both begin and end with is in it, so of texts that share most only the middle is compared.
+    """
+    start = shared_start(a, b)
+    end = shared_start(a[start:][::-1], b[start:][::-1])
+    if 2 * (start + end) < len(a):  # the places of the whole text are kept for its next pair
+        start = end = 0
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     places, full = _places(a), (1 << len(a)) - 1
     row = full
     for c in b:
         if c in places:
             met = row & places[c]
             row = (row + met) | (row - met)
-    return len(a) - (row & full).bit_count()
+    return start + len(a) - (row & full).bit_count() + end
+
+
+def ratio_if(a: str, b: str, least: float) -> float | None:
+    """ratio() where it is ``least`` or more, else None."""
+    if 2 * common(a, b) < (least - 1e-12) * (len(a) + len(b)):
+        return None
+    value = ratio(a, b)
+    return value if value >= least else None
+
+
+@lru_cache(maxsize=1 << 15)
+def _known(a: str, b: str, least: float) -> float | None:
+    return ratio_if(a, b, least)
+
+
+#: Texts of at most so many characters together are remembered beyond their batch.
+SHORT = 160
 
 
 @F.pandas_udf(T.DoubleType())
@@ -64,12 +118,21 @@ def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     found: dict[tuple[str, str, float], float | None] = {}
     for pair in zip(a, b, least, strict=True):
         if pair not in found:
-            x, y, bound = pair
-            value = ratio(x, y) if 2 * common(x, y) >= (bound - 1e-12) * (len(x) + len(y)) else None
-            found[pair] = value if value is not None and value >= bound else None
+            found[pair] = _known(*pair) if len(pair[0]) + len(pair[1]) <= SHORT else ratio_if(*pair)
     return pd.Series([found[pair] for pair in zip(a, b, least, strict=True)], dtype=float)
 
 
+def odd_characters(text: str) -> Column:
+    """64 bits, one a class of characters: whether the text holds an odd number of them."""
+    flip = lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.length(c).cast("long"), F.ascii(c) % 64))  # noqa: E731  an empty text is split into one empty part
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), flip)
+
+
+def most_shared(odd_a: Column, odd_b: Column, length: Column) -> Column:
+    """Of the ``length`` characters of two texts no more are in matching blocks: each bit that differs is a character without a partner."""
+    return length - F.bit_count(odd_a.bitwiseXOR(odd_b))
+
+
 #: What category, entity and date of two events weigh.
 CATEGORY, ENTITY, DATE = 0.35, 0.45, 0.20
 

@@ -265,3 +265,51 @@ def test_few_pairs_are_matched_block_by_block(monkeypatch):
     monkeypatch.setattr(evaluation, "ratio", lambda a, b: matched.append(1) or whole(a, b))
     got = evaluation.ratio_from.func(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]), pd.Series([0.78] * len(pairs)))
     assert [None if pd.isna(x) else x for x in got] == [x if x >= 0.78 else None for x in want] and len(matched) < len(pairs) / 4
+
+
+def test_the_ratio_is_that_of_difflib():
+    import time
+
+    rng = random.Random(11)
+    for letters in ("ab", "abc", "abcdefgh ", "abé\U0001f600"):
+        for _ in range(1500):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in "ab")
+            b = rng.choice([b, a[:5] + b + a[5:]])
+            assert evaluation.ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
+    long, began = "a" * 12_000, time.time()
+    assert evaluation.ratio(long, long[:6_000] + "b" + long[:5_999]) == 2 * 11_999 / 24_000
+    assert time.time() - began < 5  # in proportion to all pairs of places it takes longer
+
+
+def test_odd_characters_never_rule_out_a_like_pair(spark):
+    rng = random.Random(3)
+    texts = ["", "a", "\U0001f600\U0001f600b", "é\u0301e"] + ["".join(rng.choice("ab1 é\U0001f600") for _ in range(rng.randrange(20))) for _ in range(40)]
+    rows = [(a, b, evaluation.ratio(a, b) * (len(a) + len(b))) for a in texts for b in texts]
+    df = spark.createDataFrame(rows, "a string, b string, twice double").withColumn("most", evaluation.most_shared(evaluation.odd_characters("a"), evaluation.odd_characters("b"), F.length("a") + F.length("b")))
+    assert df.where("most < twice - 1e-9").count() == 0
+    assert df.where("most < length(a) + length(b)").count() > len(rows) / 2
+
+
+def test_timeline_across_weeks_and_without_text(spark):
+    import datetime as dt
+
+    sunday = dt.date(2024, 1, 7)
+    texts = {1: ("Reading of 37 was recorded at the ward", 0), 2: ("Reading of 32 was recorded at the ward", 7), 3: ("Reading of 73 was recorded at the ward", 8), 4: (None, 0), 5: (None, 0), 6: ("", 0), 7: (" ", 1), 8: ("\U0001f600" * 20, 0), 9: ("\U0001f600" * 20 + "x", 7), 10: ("Reading of 37 was  recorded at the ward", 0)}
+    rows = [(1, sunday + dt.timedelta(days=days), "c", i, text, 0.5) for i, (text, days) in texts.items()]
+    kept = []
+    exact = {}
+    for _, day, _, i, text, _ in rows:
+        exact.setdefault((day, text and " ".join(text.lower().split())), []).append((i, text))
+    heads = []
+    for (day, _), copies in exact.items():
+        heads.append([day, min(copies, key=lambda c: (-len(c[1] or ""), c[0]))[0], min((c[1] for c in copies if c[1] is not None), default=None), [c[0] for c in copies]])
+    for day, i, text, ids in sorted(heads, key=lambda h: (-len(h[2] or ""), h[1])):
+        for k in kept:
+            if text is not None and k[2] is not None and abs((k[0] - day).days) <= 7 and evaluation.ratio(text, k[2]) >= (0.75 if k[0] == day else 0.95):
+                k[3] += ids
+                break
+        else:
+            kept.append([day, i, text, ids])
+    got = dedup.timeline_dedupe(spark.createDataFrame(rows, "subject long, day date, category string, entry_id long, description string, confidence double")).collect()
+    assert {r.entry_id: (r.day, r.description, list(r.merged)) for r in got} == {k[1]: (k[0], k[2], sorted(k[3])) for k in kept}
+    assert sorted(len(r.merged) for r in got)[-1] > 2
