@@ -201,13 +201,13 @@ def micro_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_copy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences as facts: those of one language, first word and number of words, against eight predecessors."""
-    from tessera.operators.dedup import near_copies
+    """Sentences as facts: those of one language, first word and number of words, each against all others; ratio 1.0 marks the copies of a linked sentence."""
+    from tessera.operators.dedup import near_copy_links
 
-    rows = _documents(spark, sf_dir, "lang").select("doc_id", "lang", F.posexplode(F.split("text", "[.!?]+[ \\n]+")).alias("seq", "sentence"))
-    words = F.split(F.trim("sentence"), "[ \\n]+")
-    rows = rows.withColumns({"first": F.lower(F.get(words, F.lit(0))), "words": F.size(words), "fact": F.concat_ws(":", "doc_id", "seq")}).where("words >= 5")
-    return near_copies(rows, ["lang", "first", "words"], ["doc_id", "seq"], "fact", "doc_id", "sentence")
+    parted = F.transform(F.split("text", "[.!?]+[ \\n]+"), lambda s: F.struct(s.alias("sentence"), F.split(F.trim(s), "[ \\n]+").alias("words")))  # once for all that reads the words
+    rows = _documents(spark, sf_dir, "lang").select("doc_id", "lang", F.posexplode(parted).alias("seq", "_s")).select("doc_id", "lang", "seq", "_s.sentence", F.lower(F.get("_s.words", F.lit(0))).alias("first"), F.size("_s.words").alias("words"))
+    rows = rows.withColumn("fact", F.concat_ws(":", "doc_id", "seq")).where("words >= 5")
+    return near_copy_links(rows, ["lang", "first", "words"], "doc_id", ["seq"], "fact", "sentence")
 
 
 @query("SELECT lang, source, count(*) AS documents, min(doc_id) AS first_doc, any_value(len) AS longest FROM (SELECT *, max(length(text)) OVER (PARTITION BY lang, source) AS len FROM documents) GROUP BY lang, source")
